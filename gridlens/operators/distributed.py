@@ -31,64 +31,70 @@ def _sorted_slices(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     return materialize(placed)
 
 
-def _slice_offsets(placed: DataFrame, aggregates: Mapping[str, Column]) -> DataFrame:
-    """Exclusive running totals over the slices; the input has one row per sort partition."""
-    totals = placed.groupBy("_slice").agg(*[value.alias(name) for name, value in aggregates.items()])
-    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
-        "_slice", *[F.sum(name).over(earlier).alias(name) for name in aggregates]
-    )
-
-
 def global_row_number(df: DataFrame, order: Sequence[Column | str], name: str = "row_number") -> DataFrame:
     """Add the one-based position of every row in a total order.
 
     ``order`` has to end in a unique column, both for a defined result and so that ties never share a partition.
     """
     placed = _sorted_slices(df, order)
-    offsets = _slice_offsets(placed, {"_before": F.count(F.lit(1))})
+    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per sort partition: the only window without PARTITION BY runs over this small table.
+    offsets = placed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     return (
         placed.join(offsets, "_slice")
-        .withColumn(name, F.col("_place").bitwiseAND(F.lit(_ROW_MASK)) + 1 + F.coalesce("_before", F.lit(0)))
+        .withColumn(name, F.col("_place").bitwiseAND(F.lit(_ROW_MASK)) + 1 + F.col("_before"))
         .drop("_slice", "_place", "_before")
     )
 
 
-def global_running_sum(df: DataFrame, order: Sequence[Column | str], sums: Mapping[str, Column | str],
-                       *, number: str | None = None) -> DataFrame:
-    """Add inclusive running sums (and optionally positions) over a total order of the whole frame."""
-    placed = df
-    inputs = {}
-    for index, (out, value) in enumerate(sums.items()):
-        column = F.col(value) if isinstance(value, str) else value
-        placed = placed.withColumn(f"_in{index}", column)
-        inputs[out] = f"_in{index}"
-    placed = _sorted_slices(placed, order)
-    aggregates = {f"_off{i}": F.sum(c) for i, c in enumerate(inputs.values())}
-    aggregates["_before"] = F.count(F.lit(1))
-    offsets = _slice_offsets(placed, aggregates)
-    inside = Window.partitionBy("_slice").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    result = placed
-    for i, column in enumerate(inputs.values()):
-        result = result.withColumn(f"_run{i}", F.sum(column).over(inside))
-    result = result.join(offsets, "_slice")
-    for i, out in enumerate(inputs):
-        result = result.withColumn(out, F.col(f"_run{i}") + F.coalesce(F.col(f"_off{i}"), F.lit(0)))
-    if number:
-        result = result.withColumn(
-            number, F.col("_place").bitwiseAND(F.lit(_ROW_MASK)) + 1 + F.coalesce("_before", F.lit(0))
-        )
-    helpers = [c for c in result.columns if c.startswith(("_in", "_run", "_off")) or c in {"_slice", "_place", "_before"}]
-    return result.drop(*helpers)
-
-
-def first_per_key(df: DataFrame, key: Sequence[str], row_id: str) -> DataFrame:
-    """Keep each key's row with the smallest id.
-
-    The minimum is partially aggregated before the shuffle, so a key held by a third of all rows costs one
+_COMBINE = {
+    "sum": (F.sum, lambda inside, before: inside + F.coalesce(before, F.lit(0))),
+    "min": (F.min, F.least),
+    "max": (F.max, F.greatest),
+}
+
+
+def running(df: DataFrame, order: Sequence[str], measures: Mapping[str, tuple[str, Column]], *,
+            keys: Sequence[str] = ()) -> DataFrame:
+    """Inclusive running sums, minima and maxima in a total order, restarting at every key.
+
+    ``measures`` maps an output name to (``sum``/``min``/``max``, value).  Rows are range partitioned by keys and
+    order, so even a key that holds a third of all rows is spread over many tasks; what crosses between tasks is
+    one row per key and slice.
+    """
+    keys = list(keys)
+    inputs = {out: f"_in{i}" for i, out in enumerate(measures)}
+    source = df
+    for out, (_, value) in measures.items():
+        source = source.withColumn(inputs[out], value)
+    placed = _sorted_slices(source, [*keys, *order])
+    totals = placed.groupBy(*keys, "_slice").agg(
+        *[_COMBINE[kind][0](inputs[out]).alias(f"_tot{i}") for i, (out, (kind, _)) in enumerate(measures.items())])
+    by_key = Window.partitionBy(*keys) if keys else Window
+    earlier = by_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_slice", *[
+        _COMBINE[kind][0](f"_tot{i}").over(earlier).alias(f"_off{i}")
+        for i, (kind, _) in enumerate(measures.values())])
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_place").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    result = placed.select("*", *[
+        _COMBINE[kind][0](inputs[out]).over(inside).alias(f"_run{i}")
+        for i, (out, (kind, _)) in enumerate(measures.items())])
+    result = null_safe_join(result, offsets, [*keys, "_slice"])
+    return result.select(*df.columns, *[
+        _COMBINE[kind][1](F.col(f"_run{i}"), F.col(f"_off{i}")).alias(out)
+        for i, (out, (kind, _)) in enumerate(measures.items())])
+
+
+def first_per_key(df: DataFrame, key: Sequence[str], row_id: str, *, last: bool = False) -> DataFrame:
+    """Keep each key's row with the smallest (or largest) unique id.
+
+    The extreme is partially aggregated before the shuffle, so a key held by a third of all rows costs one
     number per map task instead of one oversized window partition; the rows come back by their unique id.
     """
-    winners = df.groupBy(*key).agg(F.min(row_id).alias(row_id)).select(row_id)
+    pick = F.max if last else F.min
+    winners = df.groupBy(*key).agg(pick(row_id).alias(row_id)).select(row_id)
     return df.join(winners, row_id, "left_semi")
 
 

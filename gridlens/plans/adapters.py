@@ -9,6 +9,7 @@ from gridlens import protocol as P
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -99,3 +100,39 @@ cells AS (
          CASE WHEN condition_id <> 'zero' AND status = 'completed' THEN (tax_cents % 2)::DOUBLE END
            AS commitment_observed
   FROM cells1)"""
+
+
+def attempts(spark: SparkSession, folder: str) -> DataFrame:
+    """Attempt ledger from the event stream: the user is the cell, the event type the outcome."""
+    status = (
+        F.when(F.col("event_type") == "purchase", "completed")
+        .when(F.col("event_type") == "error", "http_error")
+        .when(F.col("event_type") == "signup", "truncated")
+        .otherwise("timeout")
+    )
+    return table(spark, folder, "events").select(
+        F.col("event_id").alias("attempt_id"), F.col("user_id").alias("cell_id"), F.col("ts").alias("started_at"),
+        "event_type", status.alias("status"), F.col("value").alias("accounted_cost_usd"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("requested_max_tokens"),
+    )
+
+
+ATTEMPTS_SQL = """
+attempts AS (
+  SELECT event_id AS attempt_id, user_id AS cell_id, ts AS started_at, event_type,
+         CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'http_error'
+              WHEN 'signup' THEN 'truncated' ELSE 'timeout' END AS status,
+         value AS accounted_cost_usd, (props->>'$.k')::BIGINT AS requested_max_tokens
+  FROM events)"""
+
+
+def turn_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions and responses from conversations: a user turn, the reply to it, and the next user turn's reply.
+
+    Turns are joined on the conversation and turn number, which is unique, so no conversation is gathered.
+    """
+    turns = table(spark, folder, "conversations")
+    stems = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("stem"))
+    replies = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"),
+                                                        F.col("text").alias("facts"))
+    return stems.join(replies, ["conv_id", "turn"])

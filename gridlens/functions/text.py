@@ -65,52 +65,64 @@ def lexical_text(text: Column) -> Column:
     return F.regexp_replace(F.translate(folded(text), "’‘", "''"), "[‐‑–—-]", " ")
 
 
-def raw_tokens(text: Column) -> Column:
-    """Word and number tokens longer than one character, without possessive endings."""
-    found = F.regexp_extract_all(lexical_text(text), F.lit(L.TOKEN), F.lit(0))
-    bare = F.transform(found, lambda t: F.when((F.length(t) > 2) & t.endswith("'s"), F.regexp_replace(t, "'s$", ""))
-                       .otherwise(t))
-    return F.filter(bare, lambda t: F.length(t) > 1)
+def words(items: Sequence[str]) -> Column:
+    """Constant array of words."""
+    return F.split(F.lit(" ".join(items)), " ")
 
 
-def canonical_term(token: Column) -> Column:
-    """Collapse a few safe English inflections."""
-    size = F.length(token)
+def _cut(token: Column, n: int) -> Column:
+    return F.substring(token, F.lit(1), F.length(token) - n)
 
-    def cut(n: int) -> Column:
-        return F.substring(token, F.lit(1), size - n)
 
-    irregular = F.create_map(*[F.lit(part) for pair in L.IRREGULAR.items() for part in pair])
-    regular = (
-        F.when((size > 4) & token.rlike("[^aeiou]ies$"), F.concat(cut(3), F.lit("y")))
-        .when((size > 4) & token.rlike("(?:xes|zes|ches|shes|sses)$"), cut(2))
-        .when((size > 3) & token.rlike("(?<![sui])s$"), cut(1))
-        .otherwise(token)
-    )
-    return F.coalesce(irregular[token], regular)
+def listed_tokens(lexical: Column, stopwords: Sequence[str] = ()) -> Column:
+    """Tokens of text that already went through :func:`lexical_text`."""
+    found = F.regexp_extract_all(lexical, F.lit(L.TOKEN), F.lit(0))
+    bare = F.transform(found, lambda t: F.when((F.length(t) > 2) & t.endswith("'s"), _cut(t, 2)).otherwise(t))
+    if not stopwords:
+        return F.filter(bare, lambda t: F.length(t) > 1)
+    return F.filter(bare, lambda t: (F.length(t) > 1) & ~t.isin(list(stopwords)))
 
 
-def words(items: Sequence[str]) -> Column:
-    return F.array(*[F.lit(w) for w in items])
+def raw_tokens(text: Column, stopwords: Sequence[str] = ()) -> Column:
+    """Word and number tokens longer than one character, without possessive endings or stopwords."""
+    return listed_tokens(lexical_text(text), stopwords)
 
 
-def without(tokens: Column, stopwords: Sequence[str]) -> Column:
-    """Tokens that are not stopwords; repetitions stay."""
-    return F.filter(tokens, lambda t: ~t.isin(list(stopwords)))
+def canonical_terms(tokens: Column) -> Column:
+    """Collapse a few safe English inflections; tokens without a final s are left alone at once."""
+    irregular = F.create_map(*[F.lit(part) for pair in L.IRREGULAR.items() for part in pair])
+
+    def canonical(t: Column) -> Column:
+        size = F.length(t)
+        plural = (
+            F.when((size > 4) & t.endswith("ies") & ~F.substring(t, -4, 1).isin(*"aeiou"), F.concat(_cut(t, 3), F.lit("y")))
+            .when((size > 4) & (t.endswith("xes") | t.endswith("zes") | t.endswith("ches") | t.endswith("shes")
+                                | t.endswith("sses")), _cut(t, 2))
+            .when((size > 3) & ~F.substring(t, -2, 2).isin("ss", "us", "is"), _cut(t, 1))
+            .otherwise(t)
+        )
+        return F.when(t.endswith("s"), plural).when(t.isin(list(L.IRREGULAR)), irregular[t]).otherwise(t)
+
+    return F.transform(tokens, canonical)
 
 
 def content_tokens(text: Column) -> Column:
-    return without(raw_tokens(text), L.ANCHOR_STOPWORDS)
+    return raw_tokens(text, L.ANCHOR_STOPWORDS)
 
 
 def term_tokens(text: Column) -> Column:
     """TF-IDF terms: stopwords leave before inflections collapse."""
-    return F.transform(without(raw_tokens(text), L.TERM_STOPWORDS), canonical_term)
+    return canonical_terms(raw_tokens(text, L.TERM_STOPWORDS))
 
 
 def anchor_tokens(text: Column) -> Column:
     """Canonical content terms followed by negation anchors for the three terms after each negator."""
-    return with_negation_anchors(F.transform(content_tokens(text), canonical_term))
+    return with_negation_anchors(canonical_terms(content_tokens(text)))
+
+
+def kept_words(tokens: Column, stopwords: Sequence[str]) -> Column:
+    """Tokens longer than one character that are not stopwords."""
+    return F.filter(tokens, lambda t: (F.length(t) > 1) & ~t.isin(list(stopwords)))
 
 
 def with_negation_anchors(tokens: Column) -> Column:
@@ -125,13 +137,13 @@ def with_negation_anchors(tokens: Column) -> Column:
     return let(tokens, anchored)
 
 
+_HEAVY = f"^(?:NEG::.*|{'|'.join(L.NEGATIONS)}|[.]*\\p{{Nd}}[\\p{{Nd}}.]*)$"
+_MEDIUM = f"^(?:{'|'.join(L.LATERALITY + L.TIMING)}|.*%)$"
+
+
 def anchor_weight(term: Column) -> Column:
-    plain = F.regexp_replace(term, "^NEG::", "")
-    return (
-        F.when(term.startswith("NEG::") | plain.isin(L.NEGATIONS) | plain.rlike(r"^[.]*\p{Nd}[\p{Nd}.]*$"), 2.0)
-        .when(plain.isin(L.LATERALITY) | plain.isin(L.TIMING) | plain.endswith("%"), 1.5)
-        .otherwise(1.0)
-    )
+    """Polarity and numbers weigh double, side, time and percentages one and a half."""
+    return F.when(term.rlike(_HEAVY), 2.0).when(term.rlike(_MEDIUM), 1.5).otherwise(1.0)
 
 
 def measurement_stem(stem: Column) -> Column:
@@ -211,9 +223,8 @@ def sentences(text: Column) -> Column:
 
 def fact_tokens(text: Column) -> Column:
     """Tokens of the fact measure: ASCII words with inner hyphens, and numbers."""
-    found = F.regexp_extract_all(text, F.lit(L.FACT_TOKEN), F.lit(0))
-    bare = F.transform(found, lambda t: F.lower(t))
-    return F.filter(bare, lambda t: (F.length(t) > 1) & ~t.isin(L.FACT_STOPWORDS))
+    found = F.regexp_extract_all(F.lower(text), F.lit(L.FACT_TOKEN), F.lit(0))
+    return kept_words(found, L.FACT_STOPWORDS)
 
 
 FEATURE_KINDS = ("numbers", "negation", "laterality", "timing", "direction")

@@ -7,6 +7,8 @@ repeats need counting.  Response text is never exploded or shuffled for scoring.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from gridlens.functions import lexicon as L
 from gridlens.functions import text as X
 
 _NO_TERMS = "array<string>"
+_REVIEWED = json.dumps([{"abbr": a, "terms": e.split()} for a, e in L.ABBREVIATIONS.items()])
 
 
 def smooth_idf(documents: Column, frequency: Column, cap: float = L.IDF_CAP) -> Column:
@@ -69,24 +72,31 @@ def expansions(stem: Column) -> Column:
         width = F.length(pair["short"])
         window = F.when(F.size(parts) >= width, F.slice(parts, F.size(parts) - width + 1, width))
         initials = F.array_join(F.transform(window, lambda w: F.upper(F.substring(w, 1, 1))), "")
-        kept = F.filter(F.transform(window, lambda w: F.lower(w)),
-                        lambda w: (F.length(w) > 1) & ~w.isin(L.TERM_STOPWORDS))
-        terms = F.transform(kept, X.canonical_term)
+        terms = X.canonical_terms(X.kept_words(F.transform(window, lambda w: F.lower(w)), L.TERM_STOPWORDS))
         return F.when((initials == pair["short"]) & (F.size(terms) > 0),
                       F.struct(F.lower(pair["short"]).alias("abbr"), terms.alias("terms")))
 
-    written = F.array_compact(F.transform(pairs, explicit))
-    reviewed = F.array(*[
-        F.struct(F.lit(a).alias("abbr"), F.array(*[F.lit(w) for w in e.split()]).alias("terms"))
-        for a, e in L.ABBREVIATIONS.items()])
-    # A later pair for the same abbreviation wins.
-    last = F.filter(written, lambda p, i: ~F.exists(
-        F.slice(written, i + 2, F.greatest(F.size(written) - i - 1, F.lit(0))), lambda q: q["abbr"] == p["abbr"]))
-    own = F.transform(last, lambda p: p["abbr"])
-    kept = F.filter(reviewed, lambda r: ~F.array_contains(own, r["abbr"]))
-    return F.transform(F.concat(kept, last), lambda p: F.struct(
-        p["abbr"].alias("abbr"), X.canonical_term(p["abbr"]).alias("abbr_term"),
-        F.transform(p["terms"], X.canonical_term).alias("terms")))
+    kind = "array<struct<abbr:string,terms:array<string>>>"
+    # The pattern for spelled-out forms is costly, so it only runs where an abbreviation stands in parentheses.
+    written = F.when(stem.rlike(r"\([A-Z][A-Z0-9]{1,7}\)"), F.array_compact(F.transform(pairs, explicit))).otherwise(
+        F.array().cast(kind))
+
+    def canonical(items: Column) -> Column:
+        return F.transform(items, lambda p: F.struct(
+            p["abbr"].alias("abbr"), X.canonical_terms(F.array(p["abbr"]))[0].alias("abbr_term"),
+            X.canonical_terms(p["terms"]).alias("terms")))
+
+    reviewed = canonical(F.from_json(F.lit(_REVIEWED), kind))
+
+    def merged(found: Column) -> Column:
+        # A later pair for the same abbreviation wins.
+        last = F.filter(found, lambda p, i: ~F.exists(
+            F.slice(found, i + 2, F.greatest(F.size(found) - i - 1, F.lit(0))), lambda q: q["abbr"] == p["abbr"]))
+        own = F.transform(last, lambda p: p["abbr"])
+        kept = F.filter(reviewed, lambda r: ~F.array_contains(own, r["abbr"]))
+        return F.when(F.size(found) == 0, reviewed).otherwise(F.concat(kept, canonical(last)))
+
+    return X.let(written, merged)
 
 
 def stem_profiles(questions: DataFrame, frequencies: DataFrame, documents: int, *, key: str = "question_id",
@@ -128,33 +138,37 @@ def _anchor_credit(candidate: Column, anchors: Column, stem_anchors: Column, kno
     """Anchor terms of a response plus abbreviation credit for written acronyms."""
     acronyms = F.transform(F.regexp_extract_all(candidate, F.lit(L.ACRONYM), F.lit(0)), lambda a: F.lower(a))
 
-    def credit(pair: Column) -> Column:
-        to_long = F.when(F.array_contains(acronyms, pair["abbr"]) & X.contains_phrase(stem_anchors, pair["terms"]),
-                         pair["terms"]).otherwise(F.array().cast(_NO_TERMS))
-        to_short = F.when(F.array_contains(stem_anchors, pair["abbr_term"]) & X.contains_phrase(anchors, pair["terms"]),
-                          F.array(pair["abbr_term"])).otherwise(F.array().cast(_NO_TERMS))
-        return F.concat(to_long, to_short)
+    def credited(written: Column) -> Column:
+        def credit(pair: Column) -> Column:
+            to_long = F.when(F.array_contains(written, pair["abbr"]) & X.contains_phrase(stem_anchors, pair["terms"]),
+                             pair["terms"]).otherwise(F.array().cast(_NO_TERMS))
+            to_short = F.when(
+                F.array_contains(stem_anchors, pair["abbr_term"]) & X.contains_phrase(anchors, pair["terms"]),
+                F.array(pair["abbr_term"])).otherwise(F.array().cast(_NO_TERMS))
+            return F.concat(to_long, to_short)
+
+        return F.concat(anchors, F.flatten(F.transform(known, credit)))
 
-    return F.concat(anchors, F.flatten(F.transform(known, credit)))
+    return X.let(acronyms, credited)
 
 
-def _overlap(entries: Column, candidates: list[Column]) -> Column:
-    """Stem entries with the count that every candidate shares with the stem.
+def _overlap(entries: Column, first: Column, second: Column) -> Column:
+    """Stem entries with the count the response shares with them (with both lists, where a second one is given).
 
-    ``entries`` may carry any weights; a count beyond one is only looked up for terms the stem repeats.
+    Shared terms come from a hashed intersection; a count beyond one is only looked up for terms the stem repeats.
     """
     names = F.transform(entries, lambda e: e["term"])
-    sides = F.array(*[F.struct(F.array_intersect(names, c).alias("hits"), c.alias("tokens")) for c in candidates])
+    sides = F.array_compact(F.array(
+        F.struct(F.array_intersect(names, first).alias("hits"), first.alias("tokens")),
+        F.when(second.isNotNull(), F.struct(F.array_intersect(names, second).alias("hits"), second.alias("tokens")))))
 
-    def measured(known: Column) -> Column:
-        def common(entry: Column) -> Column:
-            counts = [F.when(~F.array_contains(known[i]["hits"], entry["term"]), 0).when(entry["n"] == 1, 1).otherwise(
-                F.size(F.filter(known[i]["tokens"], lambda t: t == entry["term"]))) for i in range(len(candidates))]
-            return F.least(entry["n"], *counts)
+    def common(known: Column, entry: Column) -> Column:
+        counts = F.transform(known, lambda side: F.when(~F.array_contains(side["hits"], entry["term"]), 0).when(
+            entry["n"] == 1, 1).otherwise(F.size(F.filter(side["tokens"], lambda t: t == entry["term"]))))
+        return F.least(entry["n"], F.array_min(counts))
 
-        return F.transform(entries, lambda e: F.struct(e.alias("entry"), common(e).alias("shared")))
-
-    return X.let(sides, measured)
+    return X.let(sides, lambda known: F.transform(
+        entries, lambda e: F.struct(e.alias("entry"), common(known, e).alias("shared"))))
 
 
 def _sum(items: Column, value) -> Column:
@@ -165,66 +179,74 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def _tfidf(overlap: Column, minimum: float | None = None) -> tuple[Column, Column]:
-    """Recall and credited weight of an overlap."""
-    kept = overlap if minimum is None else F.filter(overlap, lambda o: o["entry"]["idf"] >= F.lit(minimum))
-    total = _sum(kept, lambda o: term_weight(o["entry"]["n"], o["entry"]["idf"]))
-    credited = _sum(kept, lambda o: term_weight(o["shared"], o["entry"]["idf"]))
-    return _ratio(credited, total), credited
+def _tfidf(overlap: Column) -> Column:
+    """Recall, credited weight and recall over rare terms of an overlap."""
+    weighed = F.transform(overlap, lambda o: F.struct(
+        (o["entry"]["idf"] >= F.lit(L.HIGH_IDF)).cast("double").alias("rare"),
+        term_weight(o["entry"]["n"], o["entry"]["idf"]).alias("whole"),
+        term_weight(o["shared"], o["entry"]["idf"]).alias("part")))
+
+    def measured(items: Column) -> Column:
+        part, whole = _sum(items, lambda w: w["part"]), _sum(items, lambda w: w["whole"])
+        rare_part, rare_whole = _sum(items, lambda w: w["part"] * w["rare"]), _sum(items, lambda w: w["whole"] * w["rare"])
+        return F.struct(_ratio(part, whole).alias("recall"), part.alias("credit"),
+                        _ratio(rare_part, rare_whole).alias("rare_recall"))
+
+    return X.let(weighed, measured)
 
 
 def _anchor(overlap: Column) -> Column:
-    total = _sum(overlap, lambda o: o["entry"]["weight"] * o["entry"]["n"])
-    return _ratio(_sum(overlap, lambda o: o["entry"]["weight"] * o["shared"]), total)
+    whole = _sum(overlap, lambda o: o["entry"]["weight"] * o["entry"]["n"])
+    return _ratio(_sum(overlap, lambda o: o["entry"]["weight"] * o["shared"]), whole)
+
+
+def _side(first: Column, second: Column | None = None) -> Column:
+    return F.struct(first.alias("a"), (second if second is not None else F.lit(None).cast(_NO_TERMS)).alias("b"))
 
 
 def score_coverage(responses: DataFrame, profiles: DataFrame, *, key: str = "question_id", facts: str = "facts",
                    implications: str = "implications") -> DataFrame:
     """Twelve coverage measures of every response; other columns pass through."""
     joined = responses.join(profiles, key)
-    prepared = joined.select(
+    texts = joined.select(
+        "*", F.array(facts, implications, F.concat_ws(" ", facts, implications)).alias("_texts"),
+        F.array(X.lexical_text(F.col(facts)), X.lexical_text(F.col(implications))).alias("_lexical"))
+    whole = F.concat("_lexical", F.array(F.array_join("_lexical", " ")))
+    prepared = texts.select(
         "*",
-        X.term_tokens(F.col(facts)).alias("_ft"), X.term_tokens(F.col(implications)).alias("_it"),
-        X.anchor_tokens(F.col(facts)).alias("_fa"), X.anchor_tokens(F.col(implications)).alias("_ia"),
-        X.anchor_tokens(F.concat_ws(" ", facts, implications)).alias("_pa"),
-    )
+        F.transform("_lexical", lambda t: X.canonical_terms(X.listed_tokens(t, L.TERM_STOPWORDS))).alias("_terms"),
+        F.transform(whole, lambda t: X.with_negation_anchors(
+            X.canonical_terms(X.listed_tokens(t, L.ANCHOR_STOPWORDS)))).alias("_anchors"))
+    stem, known, anchors = F.col("stem_tokens"), F.col("expansions"), F.col("anchor_list")
     credited = prepared.select(
+        "*", F.transform("_terms", lambda t: _with_credit(t, stem, known)).alias("_t"),
+        F.transform(F.arrays_zip("_texts", "_anchors"), lambda z: _anchor_credit(
+            z["_texts"], z["_anchors"], anchors, known)).alias("_a"))
+    t, a, plain = F.col("_t"), F.col("_a"), F.col("_anchors")
+    term_sides = F.array(_side(t[0]), _side(t[1]), _side(F.concat(t[0], t[1])), _side(t[0], t[1]))
+    anchor_sides = F.array(_side(a[0]), _side(a[1]), _side(a[2]), _side(plain[0], plain[1]))
+    measured = credited.select(
         "*",
-        _with_credit(F.col("_ft"), F.col("stem_tokens"), F.col("expansions")).alias("_fc"),
-        _with_credit(F.col("_it"), F.col("stem_tokens"), F.col("expansions")).alias("_ic"),
-        *[_anchor_credit(text, F.col(tokens), F.col("anchor_list"), F.col("expansions")).alias(name)
-          for text, tokens, name in ((F.col(facts), "_fa", "_fac"), (F.col(implications), "_ia", "_iac"),
-                                     (F.concat_ws(" ", facts, implications), "_pa", "_pac"))],
-    )
-    both = F.concat("_fc", "_ic")
-    overlaps = credited.select(
-        "*",
-        _overlap(F.col("terms"), [F.col("_fc")]).alias("_of"), _overlap(F.col("terms"), [F.col("_ic")]).alias("_oi"),
-        _overlap(F.col("terms"), [both]).alias("_op"),
-        _overlap(F.col("terms"), [F.col("_fc"), F.col("_ic")]).alias("_os"),
-        _overlap(F.col("anchors"), [F.col("_fac")]).alias("_af"), _overlap(F.col("anchors"), [F.col("_iac")]).alias("_ai"),
-        _overlap(F.col("anchors"), [F.col("_pac")]).alias("_ap"),
-        _overlap(F.col("anchors"), [F.col("_fa"), F.col("_ia")]).alias("_as"),
-        (F.size("_ft") + F.size("_it")).cast("double").alias("_n"),
-    )
-    recall, credit = _tfidf(F.col("_op"))
+        F.transform(term_sides, lambda s: _tfidf(_overlap(F.col("terms"), s["a"], s["b"]))).alias("_tm"),
+        F.transform(anchor_sides, lambda s: _anchor(_overlap(F.col("anchors"), s["a"], s["b"]))).alias("_am"),
+        (F.size(F.col("_terms")[0]) + F.size(F.col("_terms")[1])).cast("double").alias("_n"))
     helpers = {"stem_tokens", "terms", "anchors", "anchor_list", "expansions"}
-    passed = [c for c in overlaps.columns if not c.startswith("_") and c not in helpers]
-    return overlaps.select(
+    passed = [c for c in measured.columns if not c.startswith("_") and c not in helpers]
+    tm, am, n = F.col("_tm"), F.col("_am"), F.col("_n")
+    return measured.select(
         *passed,
-        _tfidf(F.col("_of"))[0].alias("facts_tfidf_recall"),
-        _tfidf(F.col("_oi"))[0].alias("implications_tfidf_recall"),
-        recall.alias("preanswer_tfidf_recall"),
-        _tfidf(F.col("_op"), L.HIGH_IDF)[0].alias("preanswer_high_idf_tfidf_recall"),
-        _tfidf(F.col("_os"))[0].alias("facts_implications_shared_tfidf_recall"),
-        _tfidf(F.col("_os"), L.HIGH_IDF)[0].alias("facts_implications_shared_high_idf_recall"),
-        F.when(F.col("_n") > 0, F.lit(100.0) * credit / F.col("_n")).otherwise(0.0).alias(
-            "preanswer_tfidf_density_per_100_tokens"),
-        F.col("_n").alias("preanswer_tfidf_token_count"),
-        _anchor(F.col("_af")).alias("facts_anchor_recall"),
-        _anchor(F.col("_ai")).alias("implications_anchor_recall"),
-        _anchor(F.col("_ap")).alias("preanswer_anchor_recall"),
-        _anchor(F.col("_as")).alias("shared_anchor_recall"),
+        tm[0]["recall"].alias("facts_tfidf_recall"),
+        tm[1]["recall"].alias("implications_tfidf_recall"),
+        tm[2]["recall"].alias("preanswer_tfidf_recall"),
+        tm[2]["rare_recall"].alias("preanswer_high_idf_tfidf_recall"),
+        tm[3]["recall"].alias("facts_implications_shared_tfidf_recall"),
+        tm[3]["rare_recall"].alias("facts_implications_shared_high_idf_recall"),
+        F.when(n > 0, F.lit(100.0) * tm[2]["credit"] / n).otherwise(0.0).alias("preanswer_tfidf_density_per_100_tokens"),
+        n.alias("preanswer_tfidf_token_count"),
+        am[0].alias("facts_anchor_recall"),
+        am[1].alias("implications_anchor_recall"),
+        am[2].alias("preanswer_anchor_recall"),
+        am[3].alias("shared_anchor_recall"),
     )
 
 
@@ -235,7 +257,7 @@ def anchor_recall(stem: Column, output: Column) -> Column:
     entries = F.transform(_counted(stem_anchors), lambda e: F.struct(
         e["term"].alias("term"), e["n"].alias("n"), X.anchor_weight(e["term"]).alias("weight")))
     tokens = _anchor_credit(output, X.anchor_tokens(output), stem_anchors, expansions(scored))
-    return _anchor(_overlap(entries, [tokens]))
+    return _anchor(_overlap(entries, tokens, F.lit(None).cast(_NO_TERMS)))
 
 
 def multiset_only_left(left: DataFrame, right: DataFrame, keys: list[str], count: str) -> DataFrame:

@@ -13,6 +13,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Use every core for costly per-row work when the input has too few splits; large inputs pass unchanged."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    splits = frame._jdf.queryExecution().toRdd().getNumPartitions()
+    return frame.repartition(cores, key) if splits < cores else frame
+
+
+def texts(spark: SparkSession, folder: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    return spread(table(spark, folder, name), key)
+
+
 def grid_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Cells from line items: eight parts form a question, the supplier picks the model, the order the condition."""
     items = table(spark, folder, "lineitem").select(
@@ -131,7 +142,7 @@ def turn_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
     Turns are joined on the conversation and turn number, which is unique, so no conversation is gathered.
     """
-    turns = table(spark, folder, "conversations")
+    turns = spread(table(spark, folder, "conversations"), "conv_id")
     stems = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("stem"))
     replies = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"),
                                                         F.col("text").alias("facts"))

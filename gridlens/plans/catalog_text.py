@@ -10,34 +10,34 @@ from gridlens.operators import facts as facts_ops
 from gridlens.operators import lexical
 from gridlens.operators.distributed import first_per_key
 from gridlens.plans import text_sql as S
-from gridlens.plans.adapters import table, turn_pairs
+from gridlens.plans.adapters import table, texts, turn_pairs
 from gridlens.plans.registry import query
 
 
 @query("normalized_text", f"SELECT doc_id, md5({S.normalized('text')}) AS digest FROM documents")
 def normalized_text(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.md5(X.normalized(F.col("text"))).alias("digest"))
+    return texts(spark, folder).select("doc_id", F.md5(X.normalized(F.col("text"))).alias("digest"))
 
 
 @query("dedup_norm_text", f"""SELECT doc_id FROM documents
 QUALIFY row_number() OVER (PARTITION BY {S.normalized('text')} ORDER BY doc_id) = 1""")
 def dedup_norm_text(spark, folder):
     """First document of every normalised text; the key is a digest, so texts are not shuffled."""
-    keyed = table(spark, folder, "documents").select("doc_id", F.sha2(X.normalized(F.col("text")), 256).alias("norm"))
+    keyed = texts(spark, folder).select("doc_id", F.sha2(X.normalized(F.col("text")), 256).alias("norm"))
     return first_per_key(keyed, ["norm"], "doc_id").select("doc_id")
 
 
 @query("raw_tokens", f"""SELECT doc_id, len({S.raw_tokens('text')}) AS n,
 md5(array_to_string({S.raw_tokens('text')}, ' ')) AS digest FROM documents""")
 def raw_tokens(spark, folder):
-    tokens = table(spark, folder, "documents").select("doc_id", X.raw_tokens(F.col("text")).alias("t"))
+    tokens = texts(spark, folder).select("doc_id", X.raw_tokens(F.col("text")).alias("t"))
     return tokens.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
 @query("term_tokens", f"""SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest
 FROM (SELECT doc_id, {S.term_tokens('text')} AS t FROM documents)""")
 def term_tokens(spark, folder):
-    tokens = table(spark, folder, "documents").select("doc_id", X.term_tokens(F.col("text")).alias("t"))
+    tokens = texts(spark, folder).select("doc_id", X.term_tokens(F.col("text")).alias("t"))
     return tokens.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
@@ -52,7 +52,7 @@ neg AS (
 @query("anchor_tokens", f"""WITH {_ANCHORS_SQL}
 SELECT doc_id, len(extra) AS negated, md5(array_to_string(list_concat(t, extra), ' ')) AS digest FROM neg""")
 def anchor_tokens(spark, folder):
-    tokens = table(spark, folder, "documents").select("doc_id", X.anchor_tokens(F.col("text")).alias("t"))
+    tokens = texts(spark, folder).select("doc_id", X.anchor_tokens(F.col("text")).alias("t"))
     return tokens.select(
         "doc_id", F.size(F.filter("t", lambda x: x.startswith("NEG::"))).cast("bigint").alias("negated"),
         F.md5(F.array_join("t", " ")).alias("digest"))
@@ -61,7 +61,7 @@ def anchor_tokens(spark, folder):
 @query("term_frequency", f"""SELECT doc_id, term, count(*) AS tf
 FROM (SELECT doc_id, unnest({S.term_tokens('text')}) AS term FROM documents) GROUP BY 1, 2""")
 def term_frequency(spark, folder):
-    return lexical.term_frequencies(table(spark, folder, "documents"), "doc_id", "text")
+    return lexical.term_frequencies(texts(spark, folder), "doc_id", "text")
 
 
 _DF_SQL = f"""df AS (SELECT term, count(*) AS df FROM (
@@ -72,7 +72,7 @@ size AS (SELECT count(*) AS n FROM documents)"""
 @query("idf_table", f"""WITH {_DF_SQL}
 SELECT term, df, round(least(ln((n + 1.0) / (df + 1.0)) + 1, 10.0), 6) AS idf FROM df, size""")
 def idf_table(spark, folder):
-    documents = table(spark, folder, "documents")
+    documents = texts(spark, folder)
     idf = lexical.smooth_idf(F.lit(float(documents.count())), F.col("df"))
     return lexical.document_frequencies(documents, "text").select("term", "df", F.round(idf, 6).alias("idf"))
 
@@ -82,7 +82,7 @@ terms AS (SELECT DISTINCT unnest({S.term_tokens(S.measurement_stem('text'))}) AS
 SELECT term, coalesce(df, 0) AS df FROM terms LEFT JOIN df USING (term)""")
 def reference_frequencies(spark, folder):
     terms = lexical.selected_terms(table(spark, folder, "benchmark"), "text")
-    return lexical.reference_frequencies(terms, lexical.document_frequencies(table(spark, folder, "documents"), "text"))
+    return lexical.reference_frequencies(terms, lexical.document_frequencies(texts(spark, folder), "text"))
 
 
 @query("turn_pairs", """SELECT u.conv_id, u.turn, md5(u.text) AS stem, md5(a.text) AS reply
@@ -94,7 +94,7 @@ def paired_turns(spark, folder):
 
 def scored_turns(spark, folder):
     """Every user turn as a stem; its reply gives the facts and the following reply the implications."""
-    documents = table(spark, folder, "documents")
+    documents = texts(spark, folder)
     frequencies = lexical.document_frequencies(documents, "text")
     pairs = turn_pairs(spark, folder)
     later = pairs.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("facts").alias("implications"))
@@ -203,7 +203,7 @@ r AS (SELECT lang, term, count(*) AS n FROM (
 
 
 def term_bags(spark, folder):
-    documents = table(spark, folder, "documents")
+    documents = texts(spark, folder)
     bags = []
     for sources in (("src0", "src1"), ("src2", "src3")):
         terms = documents.filter(F.col("source").isin(*sources)).select(
@@ -235,7 +235,7 @@ c AS (SELECT doc_id, max(n) AS top FROM (SELECT doc_id, term, count(*) AS n FROM
 SELECT t.doc_id, len(t) >= 6 AND len(list_distinct(t)) >= 4 AND coalesce(top::DOUBLE / len(t) <= 0.5, false) AS informative
 FROM t LEFT JOIN c USING (doc_id)""")
 def informative_filter(spark, folder):
-    tokens = table(spark, folder, "documents").select("doc_id", X.content_tokens(F.col("text")).alias("t"))
+    tokens = texts(spark, folder).select("doc_id", X.content_tokens(F.col("text")).alias("t"))
     return tokens.select("doc_id", X.informative(F.col("t"), 6).alias("informative"))
 
 
@@ -249,7 +249,7 @@ def _sentences_sql(text: str) -> str:
 @query("sentence_split", f"""SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS digest
 FROM (SELECT doc_id, {_sentences_sql('text')} AS s FROM documents)""")
 def sentence_split(spark, folder):
-    split = table(spark, folder, "documents").select("doc_id", X.sentences(F.col("text")).alias("s"))
+    split = texts(spark, folder).select("doc_id", X.sentences(F.col("text")).alias("s"))
     return split.select("doc_id", F.size("s").cast("bigint").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
@@ -264,7 +264,7 @@ def _feature_sql(words) -> str:
   {_feature_sql(L.FACT_DIRECTION)} AS direction
 FROM (SELECT doc_id, text, {S.fact_tokens('text')} AS t FROM documents)""")
 def hard_features(spark, folder):
-    found = table(spark, folder, "documents").select("doc_id", X.hard_features(F.col("text")).alias("f"))
+    found = texts(spark, folder).select("doc_id", X.hard_features(F.col("text")).alias("f"))
     return found.select("doc_id", *[
         F.coalesce(F.array_join(F.col("f")[k], ","), F.lit("")).alias(k) for k in X.FEATURE_KINDS])
 
@@ -272,7 +272,7 @@ def hard_features(spark, folder):
 @query("fact_tokens", f"""SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest
 FROM (SELECT doc_id, {S.fact_tokens('text')} AS t FROM documents)""")
 def fact_tokens(spark, folder):
-    tokens = table(spark, folder, "documents").select("doc_id", X.fact_tokens(F.col("text")).alias("t"))
+    tokens = texts(spark, folder).select("doc_id", X.fact_tokens(F.col("text")).alias("t"))
     return tokens.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
@@ -301,12 +301,12 @@ def fact_coverage(spark, folder):
 def plain_text_html(spark, folder):
     """Markup flattening with entities left to a placeholder, since SQL has no entity table."""
     html = F.regexp_replace("html", "&(amp|copy|middot|nbsp|lt|gt|quot);", "?")
-    return table(spark, folder, "pages").select("page_id", F.md5(X.plain_text(html)).alias("digest"))
+    return texts(spark, folder, "pages", "page_id").select("page_id", F.md5(X.plain_text(html)).alias("digest"))
 
 
 @query("visible_page_text")
 def visible_page_text(spark, folder):
-    return table(spark, folder, "pages").select("page_id", X.plain_text(F.col("html")).alias("text"))
+    return texts(spark, folder, "pages", "page_id").select("page_id", X.plain_text(F.col("html")).alias("text"))
 
 
 @query("heading_counts", """SELECT page_id, len(regexp_extract_all(html, '(?i)<h[1-6]\\b[^<>]*>')) AS headings,
@@ -315,11 +315,11 @@ def heading_counts(spark, folder):
     def tags(pattern):
         return F.size(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).cast("bigint")
 
-    return table(spark, folder, "pages").select(
+    return texts(spark, folder, "pages", "page_id").select(
         "page_id", tags(r"(?i)<h[1-6]\b[^<>]*>").alias("headings"), tags(r"(?i)<p\b[^<>]*>").alias("paragraphs"))
 
 
 @query("markdown_stripped", """SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?m)^[ \\t]{0,3}#{1,6}[ \\t]*', '', 'g'),
   '\\*\\*|__|~~|`+', '', 'g')) AS digest FROM documents""")
 def markdown_stripped(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.md5(X.strip_markdown(F.col("text"))).alias("digest"))
+    return texts(spark, folder).select("doc_id", F.md5(X.strip_markdown(F.col("text"))).alias("digest"))

@@ -205,13 +205,19 @@ def _side(first: Column, second: Column | None = None) -> Column:
 
 
 def score_coverage(responses: DataFrame, profiles: DataFrame, *, key: str = "question_id", facts: str = "facts",
-                   implications: str = "implications") -> DataFrame:
-    """Twelve coverage measures of every response; other columns pass through."""
+                   implications: str = "implications", keep_all: bool = False,
+                   further: dict[str, Column] | None = None) -> DataFrame:
+    """Twelve coverage measures of every response; other columns pass through (all of them with ``keep_all``).
+
+    ``further`` names more texts whose anchor recall is wanted.
+    """
+    further = further or {}
     joined = responses.join(profiles, key)
     texts = joined.select(
-        "*", F.array(facts, implications, F.concat_ws(" ", facts, implications)).alias("_texts"),
-        F.array(X.lexical_text(F.col(facts)), X.lexical_text(F.col(implications))).alias("_lexical"))
-    whole = F.concat("_lexical", F.array(F.array_join("_lexical", " ")))
+        "*", F.array(facts, implications, F.concat_ws(" ", facts, implications), *further.values()).alias("_texts"),
+        F.array(X.lexical_text(F.col(facts)), X.lexical_text(F.col(implications))).alias("_lexical"),
+        *([F.array(*[X.lexical_text(c) for c in further.values()]).alias("_further")] if further else []))
+    whole = F.concat("_lexical", F.array(F.array_join("_lexical", " ")), *(["_further"] if further else []))
     prepared = texts.select(
         "*",
         F.transform("_lexical", lambda t: X.canonical_terms(X.listed_tokens(t, L.TERM_STOPWORDS))).alias("_terms"),
@@ -224,14 +230,17 @@ def score_coverage(responses: DataFrame, profiles: DataFrame, *, key: str = "que
             z["_texts"], z["_anchors"], anchors, known)).alias("_a"))
     t, a, plain = F.col("_t"), F.col("_a"), F.col("_anchors")
     term_sides = F.array(_side(t[0]), _side(t[1]), _side(F.concat(t[0], t[1])), _side(t[0], t[1]))
-    anchor_sides = F.array(_side(a[0]), _side(a[1]), _side(a[2]), _side(plain[0], plain[1]))
+    anchor_sides = F.array(_side(a[0]), _side(a[1]), _side(a[2]), _side(plain[0], plain[1]),
+                           *[_side(a[3 + i]) for i in range(len(further))])
     measured = credited.select(
         "*",
         F.transform(term_sides, lambda s: _tfidf(_overlap(F.col("terms"), s["a"], s["b"]))).alias("_tm"),
         F.transform(anchor_sides, lambda s: _anchor(_overlap(F.col("anchors"), s["a"], s["b"]))).alias("_am"),
         (F.size(F.col("_terms")[0]) + F.size(F.col("_terms")[1])).cast("double").alias("_n"))
     helpers = {"stem_tokens", "terms", "anchors", "anchor_list", "expansions"}
-    passed = [c for c in measured.columns if not c.startswith("_") and c not in helpers]
+    own = {"_texts", "_lexical", "_terms", "_anchors", "_t", "_a", "_tm", "_am", "_n", "_further"}
+    passed = [c for c in measured.columns if c not in own and c not in helpers
+              and (keep_all or not c.startswith("_"))]
     tm, am, n = F.col("_tm"), F.col("_am"), F.col("_n")
     return measured.select(
         *passed,
@@ -247,17 +256,21 @@ def score_coverage(responses: DataFrame, profiles: DataFrame, *, key: str = "que
         am[1].alias("implications_anchor_recall"),
         am[2].alias("preanswer_anchor_recall"),
         am[3].alias("shared_anchor_recall"),
+        *[am[4 + i].alias(name) for i, name in enumerate(further)],
     )
 
 
 def anchor_recall(stem: Column, output: Column) -> Column:
     """Anchor recall of one response for its stem, without prepared profiles."""
     scored = X.measurement_stem(stem)
-    stem_anchors = X.anchor_tokens(scored)
-    entries = F.transform(_counted(stem_anchors), lambda e: F.struct(
-        e["term"].alias("term"), e["n"].alias("n"), X.anchor_weight(e["term"]).alias("weight")))
-    tokens = _anchor_credit(output, X.anchor_tokens(output), stem_anchors, expansions(scored))
-    return _anchor(_overlap(entries, tokens, F.lit(None).cast(_NO_TERMS)))
+
+    def measured(sides: Column) -> Column:
+        entries = F.transform(_counted(sides["stem"]), lambda e: F.struct(
+            e["term"].alias("term"), e["n"].alias("n"), X.anchor_weight(e["term"]).alias("weight")))
+        tokens = _anchor_credit(output, sides["output"], sides["stem"], expansions(scored))
+        return _anchor(_overlap(entries, tokens, F.lit(None).cast(_NO_TERMS)))
+
+    return X.let(F.struct(X.anchor_tokens(scored).alias("stem"), X.anchor_tokens(output).alias("output")), measured)
 
 
 def multiset_only_left(left: DataFrame, right: DataFrame, keys: list[str], count: str) -> DataFrame:

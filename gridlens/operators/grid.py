@@ -93,7 +93,8 @@ def question_rules(normalized: Column) -> dict[str, Column]:
         "texts_distinct": F.size(F.array_distinct(normalized)) == F.size("choices"),
         "texts_present": ~F.exists(normalized, lambda t: t == ""),
         "gold_is_label": F.array_contains(labels, F.col("gold")),
-        "gold_text_matches": F.filter("choices", lambda c: c["label"] == F.col("gold"))[0]["text"] == F.col("gold_text"),
+        "gold_text_matches": F.get(F.filter("choices", lambda c: c["label"] == F.col("gold")), F.lit(0))["text"]
+        == F.col("gold_text"),
         "stem_present": F.trim("stem") != "",
     }
 

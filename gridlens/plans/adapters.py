@@ -114,14 +114,19 @@ cells AS (
 
 
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
-    """Attempt ledger from the event stream: the user is the cell, the event type the outcome."""
+    """Attempt ledger from the event table."""
+    return attempts_of(table(spark, folder, "events"))
+
+
+def attempts_of(events: DataFrame) -> DataFrame:
+    """Attempts from events, stored or streamed: the user is the cell, the event type the outcome."""
     status = (
         F.when(F.col("event_type") == "purchase", "completed")
         .when(F.col("event_type") == "error", "http_error")
         .when(F.col("event_type") == "signup", "truncated")
         .otherwise("timeout")
     )
-    return table(spark, folder, "events").select(
+    return events.select(
         F.col("event_id").alias("attempt_id"), F.col("user_id").alias("cell_id"), F.col("ts").alias("started_at"),
         "event_type", status.alias("status"), F.col("value").alias("accounted_cost_usd"),
         F.get_json_object("props", "$.k").cast("bigint").alias("requested_max_tokens"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridlens.functions import billing, keys
 from gridlens.operators import ledger
 from gridlens.plans.adapters import ATTEMPTS_SQL, attempts, table
-from gridlens.plans.registry import query
+from gridlens.plans.registry import ORACLES, query
 
 
 @query("spend_total", f"""WITH {ATTEMPTS_SQL}
@@ -66,7 +66,11 @@ _FINAL = ("CASE event_type WHEN 'purchase' THEN 'completed' "
 
 
 def state_events(spark, folder):
-    return attempts(spark, folder).selectExpr(
+    return state_events_of(attempts(spark, folder))
+
+
+def state_events_of(frame):
+    return frame.selectExpr(
         "attempt_id AS event_id", "cell_id", f"{_EVENT_KIND} AS kind", f"{_FINAL} AS final_status",
         "CASE WHEN requested_max_tokens % 2 = 0 THEN ' ' ELSE 'code ' || requested_max_tokens END AS event_error",
         "CASE WHEN event_type = 'purchase' THEN 'answer ' || attempt_id END AS event_content")

@@ -323,3 +323,51 @@ def heading_counts(spark, folder):
   '\\*\\*|__|~~|`+', '', 'g')) AS digest FROM documents""")
 def markdown_stripped(spark, folder):
     return texts(spark, folder).select("doc_id", F.md5(X.strip_markdown(F.col("text"))).alias("digest"))
+
+
+def protocol_cells(spark, folder):
+    """Cells whose responses follow the protocol headings, put together from replies and the stem's own words."""
+    pairs = turn_pairs(spark, folder)
+    tokens = F.split(F.regexp_replace("stem", r"\s+", " "), " ")
+    choices = F.array(*[F.struct(F.lit(label).alias("label"), F.array_join(F.slice(tokens, 1 + 3 * i, 3), " ").alias("text"))
+                        for i, label in enumerate("ABCD")])
+    odd = F.col("turn") % 4 == 0
+    content = F.concat_ws(
+        "\n", F.lit("1. Facts"), "stem", F.lit("2. Implications"), "facts", F.lit("3. Provisional answer"),
+        F.concat(F.lit("Option A because "), F.substring("facts", 1, 200)), F.lit("4. Best alternative"),
+        F.concat(F.lit("Option B but less likely given "), F.substring("stem", 1, 80)), F.lit("5. Decisive distinction"), "stem",
+        F.lit("6. What would change the answer"), F.lit("If the finding were absent, option B would become best."),
+        F.lit("7. Reconsideration"), F.concat(F.lit("Retain option A since "), F.col("stem")), F.lit("8. Final answer"),
+        F.when(odd, "Option A").otherwise("Option C"))
+    return pairs.select(
+        F.concat_ws("/", "conv_id", "turn").alias("question_id"), F.concat_ws("/", "conv_id", "turn").alias("cell_id"),
+        F.lit("m0").alias("model_id"), F.when(F.col("turn") == 6, "zero").otherwise("system").alias("condition_id"),
+        F.lit("turns").alias("dataset"), F.when(F.col("conv_id") % 7 == 0, "failed").otherwise("completed").alias("status"),
+        "stem", choices.alias("choices"), F.lit("A").alias("gold"), content.alias("content"))
+
+
+@query("judge_cells")
+def judge_cells(spark, folder):
+    """Full judgments of protocol responses."""
+    from gridlens.operators import judge as judging
+
+    documents = texts(spark, folder)
+    cells = facts_ops.fact_inventory(protocol_cells(spark, folder))
+    profiles = lexical.stem_profiles(cells.select("question_id", "stem"),
+                                     lexical.document_frequencies(documents, "text"), documents.count())
+    return judging.judge(cells, profiles)
+
+
+@query("recovered_sections", """SELECT u.conv_id || '/' || u.turn AS cell_id, 8 AS roles, true AS ordered,
+  CASE WHEN u.turn % 4 = 0 THEN 'A' ELSE 'C' END AS final_option, 'retain' AS decision, 'A' AS provisional,
+  'B' AS alternative FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant'""")
+def recovered_sections(spark, folder):
+    """Roles, options and decision of protocol responses."""
+    from gridlens.operators.sections import recover
+
+    found = recover(protocol_cells(spark, folder))
+    return found.select(
+        "cell_id", F.size(F.filter("role_counts", lambda n: n >= 1)).alias("roles"), "ordered",
+        F.col("recovered_final_option").alias("final_option"), "decision", F.col("provisional_option").alias("provisional"),
+        F.col("second_best_option").alias("alternative"))

@@ -14,7 +14,7 @@ TRUNCATION_REASONS = ("length", "max_tokens", "max_output_tokens")
 SAFETY_REASONS = ("content_filter", "safety", "blocked")
 TRANSIENT_HTTP = (408, 409, 425, 429, 500, 502, 503, 504)
 REASONING_FIELDS = ("reasoning", "reasoning_content", "thinking", "reasoning_details")
-HTTP_DATE_FORMATS = ("EEE, dd MMM yyyy HH:mm:ss 'GMT'", "EEEE, dd-MMM-yy HH:mm:ss 'GMT'", "EEE MMM d HH:mm:ss yyyy")
+HTTP_DATE_FORMATS = ("EEE, dd MMM yyyy HH:mm:ss 'GMT'", "EEEE, dd-MMM-yyyy HH:mm:ss 'GMT'", "EEE MMM d HH:mm:ss yyyy")
 
 
 def prompt_tokens(characters: Column) -> Column:
@@ -60,7 +60,9 @@ def _date_format(full: str) -> str:
 
 def _date_text(value: Column, full: str) -> Column:
     if ", " in full:
-        return F.regexp_extract(value, r"^[A-Za-z]+, (.*)$", 1)
+        rest = F.regexp_extract(value, r"^[A-Za-z]+, (.*)$", 1)
+        # Two-digit years from 69 on belong to the last century.
+        return F.regexp_replace(F.regexp_replace(rest, r"-(69|[7-9]\d) ", "-19$1 "), r"-(\d\d) ", "-20$1 ")
     return F.regexp_replace(F.regexp_extract(value, r"^[A-Za-z]{3} (.*)$", 1), r"\s+", " ")
 
 

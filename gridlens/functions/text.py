@@ -248,3 +248,14 @@ def text_sign(value: Column, tolerance: float = 1e-12) -> Column:
 def format_p(value: Column) -> Column:
     """p-value for a report."""
     return F.when(value.isNull(), "NA").when(value < 0.0001, "<0.0001").otherwise(F.format_string("%.4f", value))
+
+
+def highlighted(text: Column, terms: Column) -> Column:
+    """Text as HTML with every word whose canonical form is a wanted term marked."""
+    parts = F.split(text, r"(?<=\s)(?=\S)|(?<=\S)(?=\s)")
+    bare = F.transform(parts, lambda p: F.regexp_replace(F.lower(p), r"[^\p{L}\p{N}%.']|[.]$", ""))
+    safe = F.transform(parts, lambda p: F.replace(F.replace(F.replace(p, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                                                  F.lit(">"), F.lit("&gt;")))
+    pairs = F.arrays_zip(safe.alias("html"), canonical_terms(bare).alias("term"))
+    return F.array_join(F.transform(pairs, lambda p: F.when(
+        F.array_contains(terms, p["term"]), F.concat(F.lit("<mark>"), p["html"], F.lit("</mark>"))).otherwise(p["html"])), "")

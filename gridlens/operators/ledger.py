@@ -289,3 +289,38 @@ def shared_capacity(routes: DataFrame, concurrency: int, per_model: int) -> Data
     providers = routes.groupBy("backend", "provider").agg(
         F.sum(demand).alias("demand"), F.min("route_concurrency").alias("limit"))
     return providers.agg(F.least(F.lit(concurrency), F.sum(F.least("demand", "limit"))).alias("capacity"))
+
+
+def retry_rounds(cells: DataFrame, attempt, rounds: int) -> DataFrame:
+    """Sweep open cells until none is left or the rounds are used up.
+
+    ``attempt`` maps open cells (in schedule order) to their new status, error and content; transient failures come
+    back as ``retryable`` and take part in the next sweep.  Each sweep is materialised, so a retry never repeats it.
+    """
+    current = cells
+    for _ in range(rounds + 1):
+        open_cells = current.filter(F.col("status").isin(list(P.OPEN_STATUSES)))
+        if open_cells.isEmpty():
+            break
+        swept = attempt(open_cells.orderBy(keys.schedule_key(F.col("cell_id"))))
+        current = materialize(upsert(current, swept.select(*current.columns), "cell_id"))
+    return current
+
+
+def bottlenecks(routes: DataFrame) -> DataFrame:
+    """Constrained routes, the most constrained first."""
+    unconstrained = F.least("route_concurrency", "model_concurrency")
+    limit = F.least(F.col("current_limit"), unconstrained)
+    saturated = (limit < unconstrained) & (F.col("active") >= limit)
+    return routes.filter(saturated | (F.col("cooldown") > 0)).withColumn("ratio", limit / unconstrained).orderBy(
+        "ratio", F.desc("cooldown"), "model_id")
+
+
+def ceiling_rules() -> dict[str, Column]:
+    """Release rules of an output ceiling against the largest observed output and the model's capability."""
+    ceiling = F.col("output_ceiling")
+    return {
+        "ceiling_has_headroom": ceiling >= F.col("observed_max") * 1.25,
+        "ceiling_is_multiple_of_256": ceiling % 256 == 0,
+        "ceiling_within_capability": ceiling <= F.col("capability"),
+    }

@@ -138,3 +138,116 @@ def fair_dequeue(cells: DataFrame, group: str, order: str) -> DataFrame:
     """Round-robin order over groups: everyone's first item, then everyone's second, and so on."""
     turns = running(cells, [order], {"turn": ("sum", F.lit(1).cast("bigint"))}, keys=[group])
     return turns.orderBy("turn", group)
+
+
+def balanced_pick(candidates: DataFrame, n: int, seed: str, *, hinted: str = "hinted",
+                  balance: Sequence[str] = ("model_id", "dataset", "condition_id")) -> DataFrame:
+    """Greedy pick of n cells from different questions that keeps models, datasets and conditions even.
+
+    Each step takes the cell whose model, dataset and condition were picked least, hinted cells first, then by hash.
+    A cell of one model, dataset and condition only competes with the n smallest hashes of that design stratum,
+    because n picks use up at most n questions; Spark keeps those, and the greedy walk runs over that bounded table.
+    """
+    strata = [*balance, hinted]
+    keyed = candidates.withColumn("_hash", hash_key(seed, F.col("cell_id")))
+    window = Window.partitionBy(*strata).orderBy("_hash", "cell_id")
+    short = keyed.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= n).select(
+        "cell_id", "question_id", *strata, "_hash")
+    pools: dict[tuple, list] = {}
+    for row in sorted(short.collect(), key=lambda r: r["_hash"]):  # at most n rows per design stratum
+        pools.setdefault(tuple(row[s] for s in strata), []).append(row)
+    counts: list[dict] = [{} for _ in balance]
+    used: set = set()
+    picked = []
+    while len(picked) < n:
+        best = None
+        for stratum, rows in pools.items():
+            while rows and rows[0]["question_id"] in used:
+                rows.pop(0)
+            if rows:
+                key = (*(c.get(v, 0) for c, v in zip(counts, stratum)), 0 if stratum[-1] else 1, rows[0]["_hash"])
+                best = min(best, (key, stratum)) if best else (key, stratum)
+        if best is None:
+            break
+        row = pools[best[1]].pop(0)
+        used.add(row["question_id"])
+        for count, value in zip(counts, best[1]):
+            count[value] = count.get(value, 0) + 1
+        picked.append((len(picked) + 1, row["cell_id"], row["question_id"], *best[1]))
+    names = ["pick", "cell_id", "question_id", *strata]
+    fields = [candidates.schema[c].simpleString().replace(":", " ", 1) for c in names[1:]]
+    return candidates.sparkSession.createDataFrame(picked, "pick int, " + ", ".join(fields))
+
+
+def audit_tasks(pairs: DataFrame, version: str, roles: Sequence[str], *, lexical: str = "lexical_eligible",
+                lexical_count: int = 79, question_count: int = 148, per_role: int = 15) -> DataFrame:
+    """Blinded rating tasks: lexical pairs from distinct questions, then an equal number for every role.
+
+    ``roles`` are boolean eligibility columns.  The pairs of the further questions are dealt to roles in rotation; a
+    role is then filled by hash from the pairs of all chosen questions that are still unused.  No pair is used twice,
+    so the ``per_role`` + number-of-tasks smallest hashes of a role decide, and only those leave Spark.
+    Result: task, role, pair_id, question_id, treatment_response, display_order.
+    """
+    lexical_rows = one_per_question(pairs.filter(F.col(lexical)), lexical_count, version, "lexical").collect()
+    if len(lexical_rows) < lexical_count:
+        raise ValueError(f"need {lexical_count} questions with an eligible lexical pair, found {len(lexical_rows)}")
+    any_role = F.lit(False)
+    for role in roles:
+        any_role = any_role | F.col(role)
+    chosen = pairs.sparkSession.createDataFrame([(r["question_id"],) for r in lexical_rows], "question_id string")
+    rest = pairs.filter(any_role).join(chosen, "question_id", "left_anti")
+    extra = one_per_question(rest, question_count - lexical_count, version, "role-question-coverage")
+    flags = extra.join(pairs.select("pair_id", *roles), "pair_id")
+    order = hash_key(version, F.col("question_id"), "role-question-coverage", "question")
+    extra_rows = flags.orderBy(order, "question_id").collect()  # question_count - lexical_count rows at most
+    dealt: dict[str, list] = {role: [] for role in roles}
+    cursor = 0
+    for row in extra_rows:
+        for step in range(len(roles)):
+            role = roles[(cursor + step) % len(roles)]
+            if len(dealt[role]) < per_role and row[role]:
+                dealt[role].append((row["pair_id"], row["question_id"]))
+                cursor = roles.index(role) + 1
+                break
+    used = {r["pair_id"] for r in lexical_rows} | {r["pair_id"] for r in extra_rows}
+    questions = pairs.sparkSession.createDataFrame(
+        [(r["question_id"],) for r in (*lexical_rows, *extra_rows)], "question_id string")
+    pool = pairs.join(questions, "question_id", "left_semi")
+    bound = lexical_count + question_count + per_role * len(roles)
+    by_role = pool.select("pair_id", "question_id", F.explode(F.array_compact(F.array(*[
+        F.when(F.col(r), F.lit(r)) for r in roles]))).alias("role"))
+    hashed = by_role.withColumn("_hash", hash_key(version, F.col("pair_id"), F.concat(F.lit("role-fill:"), F.col("role"))))
+    window = Window.partitionBy("role").orderBy("_hash")
+    ranked = hashed.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= bound)
+    fill: dict[str, list] = {role: [] for role in roles}
+    for row in sorted(ranked.collect(), key=lambda r: r["_rank"]):  # bound rows per role at most
+        fill[row["role"]].append(row)
+    for role in roles:
+        for row in fill[role]:
+            if len(dealt[role]) >= per_role:
+                break
+            if row["pair_id"] not in used:
+                used.add(row["pair_id"])
+                dealt[role].append((row["pair_id"], row["question_id"]))
+        if len(dealt[role]) < per_role:
+            raise ValueError(f"not enough unused pairs for {role}")
+    tasks = [("lexical", None, r["pair_id"], r["question_id"]) for r in lexical_rows]
+    tasks += [("role", role, *item) for role in roles for item in dealt[role]]
+    frame = pairs.sparkSession.createDataFrame(tasks, "task string, role string, pair_id string, question_id string")
+    side = hash_parity(hash_key(version, F.col("pair_id"), F.coalesce("role", F.lit("lexical")), "side"))
+    ordered = Window.partitionBy(F.lit(True)).orderBy(hash_key(version, F.col("pair_id"), F.coalesce("role", F.lit("lexical")), "display"))
+    return frame.withColumn("treatment_response", F.when(side == 0, "A").otherwise("B")).withColumn(
+        "display_order", F.row_number().over(ordered))
+
+
+def preference_order(discovered: Column, preferred: Column) -> Column:
+    """Preferred names that were discovered, in that order, then the others alphabetically; case does not matter."""
+    lower = lambda names: F.transform(names, lambda n: F.lower(n))
+    known = F.filter(discovered, lambda n: F.trim(n) != "")
+    last = F.filter(known, lambda n, i: ~F.array_contains(lower(F.slice(known, i + 2, F.size(known))), F.lower(n)))
+    wanted = F.array_distinct(lower(preferred))
+    first = F.flatten(F.transform(wanted, lambda p: F.filter(last, lambda n: F.lower(n) == p)))
+    rest = F.filter(last, lambda n: ~F.array_contains(wanted, F.lower(n)))
+    ordered = F.transform(F.array_sort(F.transform(rest, lambda n: F.struct(F.lower(n).alias("k"), n.alias("n")))),
+                          lambda s: s["n"])
+    return F.concat(first, ordered)

@@ -238,3 +238,62 @@ def seeded_shuffle(spark, folder):
 FROM events""")
 def fair_dequeue(spark, folder):
     return sampling.fair_dequeue(table(spark, folder, "events").select("event_id", "event_type"), "event_type", "event_id")
+
+
+@query("balanced_pick")
+def balanced_pick(spark, folder):
+    """Sixty completed cells from different questions, even over models, datasets and conditions."""
+    cells = grid_cells(spark, folder).filter("status = 'completed' and condition_id <> 'zero'").select(
+        F.concat_ws("/", "question_id", "model_id", "condition_id").alias("cell_id"), "question_id", "model_id",
+        "dataset", "condition_id", (F.col("output_tokens") % 4 == 0).alias("hinted"))
+    return sampling.balanced_pick(cells, 60, "seed")
+
+
+@query("audit_tasks")
+def audit_tasks(spark, folder):
+    """A small blinded audit over all pairs of the grid."""
+    flagged = judged_pairs(spark, folder).select(
+        "pair_id", "question_id", (F.col("stratum") != "tie").alias("lexical_eligible"),
+        (F.col("control_recall") > 0).alias("facts"), (F.col("treatment_recall") > 0).alias("implications"))
+    return sampling.audit_tasks(flagged, AUDIT, ["facts", "implications"], lexical_count=8, question_count=14, per_role=5)
+
+
+@query("provider_order", """SELECT n_regionkey AS region, list_concat(
+  list_filter(['NATION 7', 'NATION 3', 'NATION 12'], lambda p: list_contains(list_transform(names, lambda n: upper(n)), p)),
+  list_sort(list_filter(list_transform(names, lambda n: upper(n)), lambda n: n NOT IN ('NATION 7', 'NATION 3', 'NATION 12'))))
+  AS names FROM (SELECT n_regionkey, list(n_name) AS names FROM nation GROUP BY 1)""")
+def provider_order(spark, folder):
+    """Nations as providers of their region: preferred ones first, the rest alphabetically."""
+    regions = table(spark, folder, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(
+        F.collect_list("n_name").alias("names"))
+    preferred = F.array(F.lit("nation 7"), F.lit("Nation 3"), F.lit("NATION 12"))
+    ordered = sampling.preference_order(F.col("names"), preferred)
+    return regions.select("region", F.transform(ordered, lambda n: F.upper(n)).alias("names"))
+
+
+@query("ceiling_violations", """SELECT s_suppkey AS row_id, rule FROM (
+  SELECT s_suppkey, s_suppkey % 9 * 128 AS c, s_suppkey % 700 AS o, 768 AS k FROM supplier), (
+  SELECT unnest(['ceiling_has_headroom', 'ceiling_is_multiple_of_256', 'ceiling_within_capability']) AS rule)
+WHERE (rule = 'ceiling_has_headroom' AND c < o * 1.25) OR (rule = 'ceiling_is_multiple_of_256' AND c % 256 <> 0)
+  OR (rule = 'ceiling_within_capability' AND c > k)""")
+def ceiling_violations(spark, folder):
+    from gridlens.operators.ledger import ceiling_rules
+
+    models = table(spark, folder, "supplier").select(
+        "s_suppkey", (F.col("s_suppkey") % 9 * 128).alias("output_ceiling"),
+        (F.col("s_suppkey") % 700).alias("observed_max"), F.lit(768).alias("capability"))
+    return grid.violations(models, "s_suppkey", ceiling_rules())
+
+
+@query("route_bottlenecks", """SELECT s_suppkey AS model_id, round(least(c, u) / u, 6) AS ratio, cooldown FROM (
+  SELECT s_suppkey, least(s_suppkey % 13 + 1, 8) AS u, s_suppkey % 5 + 1 AS c, s_suppkey % 3 AS active,
+         s_nationkey % 4 AS cooldown FROM supplier)
+WHERE (least(c, u) < u AND active >= least(c, u)) OR cooldown > 0""")
+def route_bottlenecks(spark, folder):
+    from gridlens.operators.ledger import bottlenecks
+
+    key = F.col("s_suppkey")
+    routes = table(spark, folder, "supplier").select(
+        key.alias("model_id"), (key % 13 + 1).alias("route_concurrency"), F.lit(8).alias("model_concurrency"),
+        (key % 5 + 1).alias("current_limit"), (key % 3).alias("active"), (F.col("s_nationkey") % 4).alias("cooldown"))
+    return bottlenecks(routes).select("model_id", F.round("ratio", 6).alias("ratio"), "cooldown")

@@ -170,3 +170,59 @@ def test_retry_after_dates(spark):
     now = F.to_timestamp(F.lit("1994-11-06 08:48:37"))
     rows = frame.select(retry_delay(F.lit("k"), F.lit(0), F.col("h"), now).alias("d")).collect()
     assert [round(r["d"]) for r in rows][:4] == [60, 60, 60, 75] and rows[4]["d"] < 2
+
+
+def test_balanced_pick_is_the_greedy_walk(spark):
+    import hashlib
+    from collections import Counter
+
+    rng = random.Random(2)
+    rows = [(f"c{i}", f"q{i % 90}", f"m{rng.randrange(3)}", f"d{i % 90 % 2}", f"k{i}"[:2], rng.random() < 0.3)
+            for i in range(400)]
+    frame = spark.createDataFrame(
+        rows, "cell_id string, question_id string, model_id string, dataset string, condition_id string, hinted boolean")
+    counts, used, expected = [Counter(), Counter(), Counter()], set(), []
+    while len(expected) < 25:
+        pool = [r for r in rows if r[1] not in used]
+        best = min(pool, key=lambda r: (counts[0][r[2]], counts[1][r[3]], counts[2][r[4]], not r[5],
+                                        hashlib.sha256(f"s\0{r[0]}".encode()).hexdigest()))
+        expected.append(best[0])
+        used.add(best[1])
+        for c, v in zip(counts, best[2:5]):
+            c[v] += 1
+    found = sampling.balanced_pick(frame, 25, "s").orderBy("pick").collect()
+    assert [r["cell_id"] for r in found] == expected
+
+
+def test_audit_tasks_never_reuse_a_pair(spark):
+    rows = [(f"p{i}", f"q{i % 40}", i % 3 != 0, i % 2 == 0, i % 5 != 0) for i in range(240)]
+    pairs = spark.createDataFrame(rows, "pair_id string, question_id string, lexical_eligible boolean, a boolean, b boolean")
+    tasks = sampling.audit_tasks(pairs, "v", ["a", "b"], lexical_count=10, question_count=18, per_role=6).collect()
+    assert len(tasks) == 22 and len({t["pair_id"] for t in tasks}) == 22
+    assert len({t["question_id"] for t in tasks}) == 18
+    flags = {r[0]: {"a": r[3], "b": r[4]} for r in rows}
+    assert all(flags[t["pair_id"]][t["role"]] for t in tasks if t["task"] == "role")
+    assert sorted(t["display_order"] for t in tasks) == list(range(1, 23))
+
+
+def test_retry_rounds(spark):
+    cells = spark.createDataFrame([(f"c{i}", "pending", i % 4) for i in range(12)], "cell_id string, status string, left int")
+
+    def attempt(frame):
+        done = F.when(F.col("left") == 0, "completed").otherwise("retryable")
+        return frame.select("cell_id", done.alias("status"), F.greatest(F.col("left") - 1, F.lit(0)).alias("left"))
+
+    statuses = {r["cell_id"]: r["status"] for r in ledger.retry_rounds(cells, attempt, 2).collect()}
+    assert sum(s == "completed" for s in statuses.values()) == 9
+    assert {s for c, s in statuses.items() if int(c[1:]) % 4 == 3} == {"retryable"}
+
+
+def test_highlighting(spark):
+    frame = spark.createDataFrame([("Left ears & <pain>.", ["ear", "pain"])], "t string, w array<string>")
+    row = frame.select(X.highlighted(F.col("t"), F.col("w"))).first()
+    assert row[0] == "Left <mark>ears</mark> &amp; <mark>&lt;pain&gt;.</mark>"
+
+
+def test_provider_order(spark):
+    frame = spark.createDataFrame([(["b", "Zed", "a", "zed"], ["ZED", "x"])], "d array<string>, p array<string>")
+    assert frame.select(sampling.preference_order(F.col("d"), F.col("p"))).first()[0] == ["zed", "a", "b"]

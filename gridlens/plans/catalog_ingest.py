@@ -114,15 +114,16 @@ def ledger_additions(spark, folder):
     return Q.ledger_additions(entries)
 
 
-@query("split_filter", """SELECT user_id % 3 AS shape, count(*) AS n FROM events
-WHERE user_id % 3 = 2 OR event_type IN ('click', 'view') GROUP BY 1""")
+@query("split_filter", """SELECT event_type, count(*) AS n FROM events
+WHERE event_type = 'signup' OR value >= 20 GROUP BY 1""")
 def split_filter(spark, folder):
-    """Rows whose first named split is a test split, or that name none."""
-    name = F.when(F.col("event_type").isin("click", "view"), " Internal Test ").otherwise("train")
-    shape = F.col("user_id") % 3
+    """Rows whose first named split is a test split, or that name none: sign-ups name no split here."""
+    name = F.when(F.col("value") >= 20, " Internal Test ").otherwise("train")
+    kind = F.col("event_type")
     kept = table(spark, folder, "events").filter(Q.wanted_split(
-        F.when(shape == 0, name), F.when(shape == 1, name), F.lit(None).cast("string")))
-    return kept.groupBy(shape.alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+        F.when(kind.isin("click", "error"), name), F.when(kind.isin("view", "purchase"), name),
+        F.lit(None).cast("string")))
+    return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 _KEY_SQL = """k AS (

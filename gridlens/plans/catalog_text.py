@@ -197,16 +197,17 @@ def anchor_recall(spark, folder):
 
 
 _BAGS_SQL = f"""l AS (SELECT lang, term, count(*) AS n FROM (
-  SELECT lang, unnest({S.term_tokens('text')}) AS term FROM documents WHERE source IN ('src0', 'src1')) GROUP BY ALL),
+  SELECT lang, unnest({S.term_tokens('text')}) AS term FROM documents WHERE substr(source, 4)::INT % 2 = 0) GROUP BY ALL),
 r AS (SELECT lang, term, count(*) AS n FROM (
-  SELECT lang, unnest({S.term_tokens('text')}) AS term FROM documents WHERE source IN ('src2', 'src3')) GROUP BY ALL)"""
+  SELECT lang, unnest({S.term_tokens('text')}) AS term FROM documents WHERE substr(source, 4)::INT % 2 = 1) GROUP BY ALL)"""
 
 
 def term_bags(spark, folder):
+    """Terms of the even and of the odd sources; together they hold every document."""
     documents = texts(spark, folder)
     bags = []
-    for sources in (("src0", "src1"), ("src2", "src3")):
-        terms = documents.filter(F.col("source").isin(*sources)).select(
+    for side in (0, 1):
+        terms = documents.filter(F.substring("source", 4, 10).cast("int") % 2 == side).select(
             "lang", F.explode(X.term_tokens(F.col("text"))).alias("term"))
         bags.append(terms.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")))
     return bags

@@ -150,7 +150,7 @@ class _Join:
         self.cuts = pivots(sketch, levels, fragments).tolist()
 
     def prefixes(self, shared: bytes | None) -> DataFrame:
-        """(shingle, class, n, score) of every prefix; with ``shared``, only those whose shingle may be shared.
+        """(shingle, class, n, place in the order, score) of every prefix; with ``shared``, only those whose shingle may be shared.
 
         The score is the part of a prefix that may be shared.  Each task returns a row once.
         """
@@ -172,30 +172,37 @@ class _Join:
                     place = np.arange(len(order)) - sets.bounds[sets.texts]
                     fresh = np.array([c not in seen and not seen.add(c) for c in classes.tolist()])
                     take = (place < length[sets.texts]) & fresh[sets.texts]
-                    hashes, texts = sets.hashes[order][take], sets.texts[take]
+                    hashes, texts, places = sets.hashes[order][take], sets.texts[take], place[take]
                     score = np.zeros(len(classes), np.float32)
                     if bits is not None:
                         may = in_bitmap(bits, hashes)
                         score = np.bincount(texts, weights=may, minlength=len(classes)) / np.maximum(length, 1)
-                        hashes, texts = hashes[may], texts[may]
+                        hashes, texts, places = hashes[may], texts[may], places[may]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(th.signed(hashes)), pa.array(classes[texts]), pa.array(sets.sizes[texts], pa.int64()),
-                         pa.array(score[texts], pa.float32())], names=["shingle", "class", "n", "score"])
+                         pa.array(places, pa.int64()), pa.array(score[texts], pa.float32())],
+                        names=["shingle", "class", "n", "place", "score"])
 
-        return self.docs.select("text").mapInArrow(run, "shingle long, class long, n long, score float")
+        return self.docs.select("text").mapInArrow(run, "shingle long, class long, n long, place long, score float")
 
     def lists(self) -> DataFrame:
-        """Prefix rows of shingles that at least two classes hold in their prefixes."""
-        shared = stored(
-            self.prefixes(None).groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-            .filter("low <> high").select("shingle"))
+        """Prefix rows of shingles that at least two classes hold in their prefixes.
+
+        A class whose copies lie in different tasks counts more than once at first; its list then has one row.
+        """
+        shared = stored(self.prefixes(None).groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"))
+                        .filter("rows > 1").select("shingle"))
         rows = self.prefixes(bitmap(shared, "shingle", FILTER_BITS))
         return stored(rows.join(shared, "shingle", "left_semi").groupBy("shingle", "class")
-                      .agg(F.max("n").alias("n"), F.max("score").alias("score")))
+                      .agg(*[F.max(c).alias(c) for c in ("n", "place", "score")]))
 
     def segments(self, pairs: DataFrame) -> DataFrame:
-        """(class, fragment, values): sorted order keys of each class in ``pairs``, cut at the pivots."""
-        active = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+        """(class, fragment, values): sorted set of each class that may be in ``pairs``, cut at the pivots.
+
+        A value is the lower six bytes of an order key, which within a fragment stand for all of it.  A class whose
+        copies lie in different tasks comes more than once.
+        """
+        active = pairs.select(F.explode(F.array("a", "b")).alias("class"))
         wanted = self.spark.sparkContext.broadcast(bitmap(active, "class", FILTER_BITS))
         levels, size, cuts = self.levels, self.size, self.cuts
 
@@ -224,26 +231,30 @@ class _Join:
                             if high > low:
                                 out[0].append(name)
                                 out[1].append(f)
-                                out[2].append(own[low:high].tobytes())
+                                out[2].append(own[low:high].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                     if out[0]:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())],
                             names=["class", "fragment", "values"])
 
-        rows = self.docs.select("text").mapInArrow(run, "class long, fragment int, values binary")
-        return rows.join(active, "class", "left_semi").groupBy("class", "fragment").agg(F.first("values").alias("values"))
+        return self.docs.select("text").mapInArrow(run, "class long, fragment int, values binary")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b, na, nb) those that reach the threshold, by partial overlaps per fragment."""
-        segments = stored(self.segments(pairs))
-        left = segments.select(F.col("class").alias("a"), "fragment", F.col("values").alias("left"))
-        right = segments.select(F.col("class").alias("b"), "fragment", F.col("values").alias("right"))
-        met = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "left", "right")
+        sides = pairs.select("a", "b", "na", "nb", F.explode(F.array("a", "b")).alias("class"))
+        side = F.struct("class", "values")
+        met = self.segments(pairs).join(sides, "class").groupBy("a", "b", "na", "nb", "fragment").agg(
+            F.min(side).alias("left"), F.max(side).alias("right"))
+        met = met.filter("left.class <> right.class").select(
+            "a", "b", "na", "nb", F.col("left.values").alias("left"), F.col("right.values").alias("right"))
+
+        def values(cell: pa.Scalar) -> np.ndarray:
+            parts = np.frombuffer(cell.as_buffer(), np.uint8).reshape(-1, 6)
+            return np.concatenate([parts, np.zeros((len(parts), 2), np.uint8)], axis=1).view(np.uint64).ravel()
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                partial = [len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64),
-                                              assume_unique=True))
+                partial = [len(np.intersect1d(values(x), values(y), assume_unique=True))
                            for x, y in zip(batch.column("left"), batch.column("right"))]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("a", "b", "na", "nb")],
                                                   pa.array(partial, pa.int64())], names=["a", "b", "na", "nb", "partial"])
@@ -266,23 +277,27 @@ class _Join:
                 rows = rows.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
             else:
                 rows = rows.withColumn("root", F.col("class"))
-            rows = rows.select("shingle", "class", "n", "score", "root")
+            rows = rows.select("shingle", "class", "n", "place", "score", "root")
             mixed = rows.groupBy("shingle").agg(
                 F.min("root").alias("low"), F.max("root").alias("high"),
-                F.max(F.struct("score", "class", "n", "root")).alias("first")).filter("low <> high")
+                F.max(F.struct("score", "class", "n", "place", "root")).alias("first")).filter("low <> high")
             if step < STAR_ROUNDS:
                 met = rows.join(mixed.select("shingle", "first"), "shingle").select(
-                    F.col("first.class").alias("x"), F.col("class").alias("y"), F.col("first.n").alias("nx"),
-                    F.col("n").alias("ny"), F.col("first.root").alias("rx"), F.col("root").alias("ry"))
+                    F.struct("first.class", "first.n", "first.place", "first.root").alias("x"),
+                    F.struct("class", "n", "place", "root").alias("y"))
             else:
-                left = rows.join(mixed.select("shingle"), "shingle", "left_semi").select(
-                    "shingle", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-                right = rows.select("shingle", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-                met = left.join(right, "shingle").filter("x < y")
-            pairs = met.filter("rx <> ry").filter(self.near("nx", "ny")).select(
-                F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
-                F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"),
-                F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
+                row = F.struct("class", "n", "place", "root")
+                left = rows.join(mixed.select("shingle"), "shingle", "left_semi").select("shingle", row.alias("x"))
+                met = left.join(rows.select("shingle", row.alias("y")), "shingle").filter("x.class < y.class")
+            met = met.filter("x.root <> y.root").filter(self.near("x.n", "y.n")).select(
+                F.when(F.col("x.class") < F.col("y.class"), F.col("x")).otherwise(F.col("y")).alias("x"),
+                F.when(F.col("x.class") < F.col("y.class"), F.col("y")).otherwise(F.col("x")).alias("y"))
+            # What stands before the first common shingle of two prefixes is not shared.  A star does not see all
+            # common shingles and may pass over a pair; the last step sees all and takes up what was passed over.
+            pairs = met.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.n").alias("na"),
+                                F.col("y.n").alias("nb")).agg(F.min("x.place").alias("pa"), F.min("y.place").alias("pb"))
+            most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+            pairs = pairs.filter(most * (100 + self.percent) >= self.percent * (F.col("na") + F.col("nb"))).drop("pa", "pb")
             if done is not None:
                 pairs = pairs.join(done, ["a", "b"], "left_anti")
             pairs = stored(pairs)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlens.llm import bpe, decontaminate, ngram_join, substring_dedup, toxicity
+from gridlens.llm import bpe, decontaminate, line_rules, ngram_join, substring_dedup, toxicity, url_filter
 from gridlens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,13 +75,66 @@ links AS (
   JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
   GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
 reached AS (
-  SELECT doc_id AS start, doc_id AS at FROM words
+  SELECT doc_id AS source_id, doc_id AS node_id FROM words
   UNION
-  SELECT start, y FROM reached JOIN links ON at = x)
+  SELECT source_id, y FROM reached JOIN links ON node_id = x)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
-FROM words LEFT JOIN sizes USING (doc_id) JOIN (SELECT start AS doc_id, min(at) AS component_id FROM reached GROUP BY 1) USING (doc_id)"""
+FROM words LEFT JOIN sizes USING (doc_id) JOIN (SELECT source_id AS doc_id, min(node_id) AS component_id FROM reached GROUP BY 1) USING (doc_id)"""
 
 
 @_query
 def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
+# The rules of the registered query.
+URL_RULES = [url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"),
+             url_filter.Rule("block", "example.org", "/en/1"), url_filter.Rule("allow", "com", "/fr/"),
+             url_filter.Rule("block", "com", "/de/")]
+
+
+@_query
+def op1_redirect_equivalence(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, folder, "pages"), URL_RULES).drop("by_alias")
+
+
+ORACLES["op1_redirect_equivalence"] = r"""
+WITH RECURSIVE rules(rule, verdict, host, path) AS (VALUES
+  ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'),
+  ('example.org/en/1', 'block', 'example.org', '/en/1'), ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')),
+tags AS (
+  SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+  FROM pages WHERE html IS NOT NULL AND url IS NOT NULL),
+targets AS (
+  SELECT url, replace(trim(CASE
+    WHEN regexp_matches(tag, '(?i)\srel\s*=\s*["'']?canonical') THEN regexp_extract(tag, '(?is)\shref\s*=\s*["'']?([^\s"''>]+)', 1)
+    WHEN regexp_matches(tag, '(?i)\shttp-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?is)url\s*=\s*["'']?([^\s"''>]+)', 1)
+    ELSE '' END), '&amp;', '&') AS target FROM tags),
+resolved AS (
+  SELECT url AS source, CASE
+    WHEN contains(target, '://') THEN target
+    WHEN starts_with(target, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || target
+    WHEN starts_with(target, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || target
+    ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)', 1) || target END AS target
+  FROM targets WHERE target <> '' AND NOT starts_with(target, '#')),
+nodes AS (
+  SELECT regexp_extract(source, '(?s)^([^#]*)', 1) AS source, regexp_extract(target, '(?s)^([^#]*)', 1) AS target FROM resolved),
+links AS (SELECT source AS x, target AS y FROM nodes UNION SELECT target, source FROM nodes),
+parts AS (
+  SELECT u, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT url AS u FROM pages UNION SELECT x FROM links)),
+ruled AS (
+  SELECT u, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
+  FROM parts JOIN rules r ON (parts.host = r.host OR ends_with(parts.host, '.' || r.host)) AND starts_with(parts.path, r.path) GROUP BY u),
+reached AS (SELECT x AS source_id, y AS node_id FROM links UNION SELECT source_id, y FROM reached JOIN links ON node_id = x),
+blocked AS (SELECT DISTINCT source_id FROM reached JOIN ruled ON u = node_id WHERE verdict = 'block')
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+       coalesce(verdict, CASE WHEN source_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages LEFT JOIN parts ON parts.u = url LEFT JOIN ruled ON ruled.u = url
+LEFT JOIN blocked ON source_id = regexp_extract(url, '(?s)^([^#]*)', 1)"""
+
+
+@_query
+def op9_line_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return line_rules.line_first(table(spark, folder, "documents")).drop("cleaned")

@@ -35,7 +35,7 @@ from gridlens.llm.tables import bitmap, in_bitmap, stored, written
 
 FILTER_BITS = 25
 #: Classes of a bucket above which it is cut by slot.
-SLICE_CLASSES = 4096
+SLICE_CLASSES = 512
 
 
 def difference_cover(r: int) -> tuple[int, np.ndarray]:

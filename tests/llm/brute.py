@@ -86,3 +86,15 @@ def contamination(rows: list[tuple], items: list[tuple], span: int = 10) -> list
         out.append((key, len(words), len(hit), len({f for f in found if f is not None}),
                     hashlib.sha256(names.encode()).hexdigest(), bool(hit)))
     return out
+
+
+def base_counts(text: str | None) -> tuple:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)"""
+    text = text or ""
+    words = WHITE_WORD.findall(text)
+    lines = [x for x in text.split("\n") if WHITE_WORD.search(x)]
+    places = defaultdict(list)
+    for i in range(len(words) - 4):
+        places[tuple(words[i:i + 5])].append(i)
+    repeated = {p + j for at in places.values() if len(at) > 1 for p in at for j in range(5)}
+    return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeated))

@@ -11,8 +11,8 @@ from gridlens.llm.tables import stored
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node of its component.
 
-    Each round orders the nodes anew by a hash, points a node to its first neighbour and on to where that one
-    points, and contracts the edges to these targets, until none is left between different nodes.  A random order
+    Each round orders the nodes anew by a hash, points a node to its first neighbour and on along three further
+    pointers, and contracts the edges to these targets, until none is left between different nodes.  A random order
     makes at least half of the nodes vanish per round on average, whatever the ids of a long chain look like.  The
     first neighbour is aggregated before the shuffle, so a node with a third of all edges is no single task's work.
     Every round is written to the shared checkpoint folder.  Loops and edges with a missing end are ignored; no edges
@@ -26,8 +26,10 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         order = lambda c: F.struct(F.xxhash64(c, F.lit(rounds)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
         both = live.union(live.select("v", "u"))
         point = both.groupBy("u").agg(F.min(order("v")).alias("first")).select("u", F.least(order("u"), "first")["id"].alias("up"))
-        step = stored(point.alias("a").join(point.alias("b"), F.col("a.up") == F.col("b.u")).select(
-            F.col("a.u").alias("from"), F.col("b.up").alias("to")))
+        step = point.select(F.col("u").alias("from"), F.col("up").alias("to"))
+        for _ in range(2):
+            step = step.alias("a").join(step.alias("b"), F.col("a.to") == F.col("b.from")).select("a.from", "b.to")
+        step = stored(step)
         moved = (
             live.join(step.withColumnRenamed("to", "tu"), F.col("u") == F.col("from")).drop("from")
             .join(step.withColumnRenamed("to", "tv"), F.col("v") == F.col("from")).drop("from")

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlens.llm.tables import bind
+
 WHITE = "\x20\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 TERMINAL = r"""[.!?…。！？:;,]["'”’»)\]]*$"""
@@ -47,8 +49,6 @@ def repeated_words(words: Column, size: int = 5) -> Column:
     """Number of words inside windows of ``size`` words that occur at least twice."""
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     n = F.size(words)
-    # A lambda over one element gives an intermediate array a name, so it is computed once.
-    bind = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
 
     def windows(h: Column) -> Column:
         places = F.sequence(F.lit(0), F.size(h) - size)

@@ -33,9 +33,9 @@ from gridlens.llm.tables import bitmap, in_bitmap, stored
 
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 64
-FILTER_BITS = 25
+FILTER_BITS, CLASS_BITS = 24, 22
 #: Rounds of comparing list members with one of them before all that is left is compared.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 
 
 class Sets:
@@ -203,7 +203,7 @@ class _Join:
         copies lie in different tasks comes more than once.
         """
         active = pairs.select(F.explode(F.array("a", "b")).alias("class"))
-        wanted = self.spark.sparkContext.broadcast(bitmap(active, "class", FILTER_BITS))
+        wanted = self.spark.sparkContext.broadcast(bitmap(active, "class", CLASS_BITS))
         levels, size, cuts = self.levels, self.size, self.cuts
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from gridlens.llm import bpe, decontaminate, line_rules, ngram_join, substring_dedup, toxicity, url_filter
+from pyspark.sql import functions as F
+
+from gridlens.llm import (
+    bpe,
+    decontaminate,
+    line_rules,
+    ngram_join,
+    quality,
+    quotations,
+    substring_dedup,
+    token_files,
+    toxicity,
+    url_filter,
+)
 from gridlens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +150,20 @@ LEFT JOIN blocked ON source_id = regexp_extract(url, '(?s)^([^#]*)', 1)"""
 @_query
 def op9_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules.line_first(table(spark, folder, "documents")).drop("cleaned")
+
+
+@_query
+def op2_seekable_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    where, manifest = token_files.write_token_files(table(spark, folder, "documents"))
+    return token_files.read_token_files(where, manifest)
+
+
+@_query
+def op10_quadratic_discriminant(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@_query
+def op4_quotation_links(spark: SparkSession, folder: str) -> DataFrame:
+    found = quotations.link_quotations(table(spark, folder, "conversations"))
+    return found.withColumn("quotes", F.to_json("quotes"))

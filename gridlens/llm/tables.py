@@ -58,3 +58,8 @@ def written(frame: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(frame.sparkSession)}/table-{uuid.uuid4()}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.llm.components import connected_components
-from gridlens.llm.tables import stored
+from gridlens.llm.tables import bind, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,9 +41,10 @@ def path_of(url: Column) -> Column:
 
 def node_of(url: Column) -> Column:
     """Address without fragment, scheme and host in lower case; null without a host."""
+    head = lambda u: F.regexp_extract(u, r"(?s)^(.*?://[^/?#]*)", 1)
+    whole = lambda u, h: F.concat(F.translate(h, UPPER, LOWER), u.substr(F.length(h) + 1, F.length(u)))
     bare = F.regexp_extract(F.trim(url), r"(?s)^([^#]*)", 1)
-    head = F.regexp_extract(bare, r"(?s)^(.*?://[^/?#]*)", 1)
-    return F.when(F.length(head) > 0, F.concat(F.translate(head, UPPER, LOWER), bare.substr(F.length(head) + 1, F.length(bare))))
+    return bind(bare, lambda u: bind(head(u), lambda h: F.when(F.length(h) > 0, whole(u, h))))
 
 
 def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
@@ -82,7 +83,7 @@ def _attribute(tag: Column, name: str) -> Column:
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, target) addresses of canonical links and refresh tags outside comments."""
+    """(source, target) addresses of canonical links and refresh tags outside comments; a useless target is null."""
     page = pages.select(F.col(url).cast("string").alias("source"), F.col(html).cast("string").alias("page"))
     page = page.filter(F.col("source").isNotNull() & F.col("page").rlike(r"(?i)canonical|http-equiv"))
     page = page.withColumn("page", F.regexp_replace("page", r"(?s)<!--.*?-->", ""))
@@ -91,7 +92,7 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     refresh = F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh"
     to = F.when(canonical, _attribute(F.col("tag"), "href")).when(
         refresh, F.regexp_replace(F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)url\s*=\s*(.*)$", 1), r"""^["']|["']$""", ""))
-    return tags.select("source", _resolved(F.col("source"), to).alias("target")).filter("target is not null")
+    return tags.select("source", bind(to, lambda t: _resolved(F.col("source"), t)).alias("target"))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, redirects: DataFrame | None = None, key: str = "page_id",

@@ -35,22 +35,23 @@ def judge(spark, args) -> None:
     cells = spark.read.parquet(f"{args.workspace}/state/responses")
     total, frequencies = Q.read_document_frequencies(
         spark, args.frequencies, lexical.selected_terms(questions, "stem"))
-    joined = cells.join(questions, "question_id").withColumn(
-        "content_hash", keys.content_key(F.col("status"), F.col("content")))
+    joined = cells.join(questions, "question_id")
     target = f"{args.workspace}/results/judgments"
     versions = {"judge_version": args.version}
-    existing = spark.read.parquet(target) if args.incremental else None
+    existing = sinks.latest(spark, target) if args.incremental else None
     wanted = ledger.stale_cells(joined, existing, versions) if existing is not None else joined
     profiles = lexical.stem_profiles(questions, frequencies, total)
-    fresh = judging.judge(wanted, profiles).join(wanted.select("cell_id", "content_hash"), "cell_id").withColumn(
-        "judge_version", F.lit(args.version))
+    hashes = wanted.select("cell_id", keys.content_key(F.col("status"), F.col("content")).alias("content_hash"))
+    fresh = judging.judge(wanted, profiles).join(hashes, "cell_id").withColumn("judge_version", F.lit(args.version))
     merged = ledger.upsert(existing, fresh, "cell_id") if existing is not None else fresh
-    merged.write.mode("overwrite").parquet(f"{target}-{args.version}" if existing is not None else target)
+    sinks.publish(merged, target)
 
 
 def analyze(spark, args) -> None:
     """Every declared contrast, the condition means and the model tables."""
-    judged = spark.read.parquet(f"{args.workspace}/results/{args.judgments}")
+    judged = sinks.latest(spark, f"{args.workspace}/results/{args.judgments}")
+    if judged is None:
+        raise SystemExit("nothing is judged yet")
     table = contrasts.build_analysis(judged, bootstraps=args.bootstraps, permutations=args.permutations)
     table.write.mode("overwrite").parquet(f"{args.workspace}/results/contrasts")
     stored = spark.read.parquet(f"{args.workspace}/results/contrasts")
@@ -60,7 +61,7 @@ def analyze(spark, args) -> None:
     sinks.write_csv(ranked, f"{args.workspace}/results/model-effects", ["outcome", "benefit_rank"])
     measured = [f.name for f in judged.schema.fields if f.dataType.simpleString() == "double"]
     units.condition_means(judged, measured).write.mode("overwrite").json(f"{args.workspace}/results/condition-means")
-    sinks.write_document(f"{args.workspace}/results/report.txt",
+    sinks.write_document(spark, f"{args.workspace}/results/report.txt",
                          sinks.contrast_report(stored, "primary", "Two copies against one copy"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -60,15 +61,15 @@ def binomial_upper_tail(n: int, k: int, p: float) -> float:
     return math.fsum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k, n + 1))
 
 
-def exact_design(p0: float, p1: float, alpha: float, power: float, largest: int = 500) -> tuple[int, int, float]:
-    """Smallest sample and critical count with the wanted size and power."""
+def exact_design(p0: float, p1: float, alpha: float, power: float) -> tuple[int, int, float]:
+    """Smallest sample and critical count with the wanted size and power; one exists as p0 < p1."""
     if not (0 < p0 < p1 < 1 and 0 < alpha < 1 and 0 < power < 1):
         raise ValueError("need 0 < p0 < p1 < 1 and alpha, power inside (0, 1)")
-    for n in range(1, largest + 1):
+    for n in itertools.count(1):
         k = next((k for k in range(n + 1) if binomial_upper_tail(n, k, p0) <= alpha), None)
         if k is not None and binomial_upper_tail(n, k, p1) >= power:
             return n, k, binomial_upper_tail(n, k, p1)
-    raise ValueError(f"no design with up to {largest} cases")
+    raise AssertionError
 
 
 def lower_bound(successes: int, n: int, alpha: float) -> float:

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlens import protocol as P
 from gridlens.functions import billing, keys
-from gridlens.operators.distributed import first_per_key, materialize, running
+from gridlens.operators.distributed import first_per_key, running
 
 CELL_RESULT = ("provider", "content", "error", "input_tokens", "output_tokens", "latency_seconds",
                "raw_response_json")
@@ -66,19 +64,19 @@ def recover_interrupted(cells: DataFrame, completed_at: Column) -> DataFrame:
     return cells.select(*fields)
 
 
-def drop_judgments(judgments: DataFrame, cells: DataFrame, status: str = "retryable") -> DataFrame:
-    """Judgments without those of cells in a status."""
-    return judgments.join(cells.filter(F.col("status") == status).select("cell_id"), "cell_id", "left_anti")
-
-
 def stale_cells(cells: DataFrame, judgments: DataFrame, versions: dict[str, str]) -> DataFrame:
-    """Cells whose judgment is missing or was made from other versions or other content."""
-    current = F.lit(True)
-    for name, value in versions.items():
-        current = current & F.col(name).eqNullSafe(F.lit(value))
-    current = current & F.col("content_hash").eqNullSafe(keys.content_key(F.col("status"), F.col("content")))
-    known = judgments.select("cell_id", *versions, "content_hash")
-    return cells.join(known, "cell_id", "left").filter(~current).select(*cells.columns)
+    """Cells whose judgment is missing or was made from other versions or other content.
+
+    Content is hashed before the join, so only ids and digests meet; the rows of stale cells are fetched by id.
+    """
+    known = judgments.select("cell_id", F.col("content_hash").alias("_known"),
+                             *[F.col(name).alias(f"_made_{i}") for i, name in enumerate(versions)])
+    hashed = cells.select("cell_id", keys.content_key(F.col("status"), F.col("content")).alias("_hash"))
+    current = F.col("_known").eqNullSafe(F.col("_hash"))
+    for i, value in enumerate(versions.values()):
+        current = current & F.col(f"_made_{i}").eqNullSafe(F.lit(value))
+    stale = hashed.join(known, "cell_id", "left").filter(~current).select("cell_id").distinct()
+    return cells.join(stale, "cell_id", "left_semi").select(*cells.columns)
 
 
 def upsert(existing: DataFrame, updates: DataFrame, key: str) -> DataFrame:
@@ -101,7 +99,7 @@ def fold_events(cells: DataFrame, events: DataFrame) -> DataFrame:
     error = (
         F.when(kind == "budget_blocked", "cumulative cost cap reached")
         .when(finished & blank & needs_error, F.concat(F.col("final_status"), F.lit(": no error detail supplied")))
-        .when(finished & ~blank, F.substring(F.trim(F.col("event_error")), 1, 4000))
+        .when(finished & ~blank, F.trim(F.col("event_error")))
     )
     state = last.select(
         "cell_id",
@@ -155,117 +153,6 @@ def rolling_rate(events: DataFrame, time: str, row_id: str, window_seconds: floa
     )
 
 
-def admit_within_budget(requests: DataFrame, order: Sequence[str], amount: str, cap: float, *,
-                        tolerance: float = 1e-12, tail_rows: int = 10_000) -> DataFrame:
-    """Sequential admission under a cost cap: a request that does not fit is skipped, later ones may still fit.
-
-    What is left only shrinks, so between two rejections the admitted requests are exactly those that fit what was
-    left at the start of the stretch.  Each round finds the end of one stretch from slice totals.  Once no more than
-    ``tail_rows`` requests could still fit, they are settled one by one on the driver.
-    """
-    placed = materialize(running(requests, order, {"position": ("sum", F.lit(1).cast("bigint"))}))
-    slices = 64
-    total = placed.agg(F.max("position")).first()[0] or 0
-    width = max(1, -(-total // slices))
-    bucket = F.floor((F.col("position") - 1) / width).cast("int")
-    left, start = cap, 0
-    admitted, tail = F.lit(False), []
-    while start < total:
-        fits = placed.filter((F.col("position") > start) & (F.col(amount) <= left + tolerance))
-        # At most one row per slice.
-        sums = fits.groupBy(bucket.alias("b")).agg(F.sum(amount).alias("s"), F.count(F.lit(1)).alias("n")).orderBy(
-            "b").collect()
-        if sum(row["n"] for row in sums) <= tail_rows:
-            for row in fits.select("position", amount).orderBy("position").collect():
-                if row[amount] <= left + tolerance:
-                    left -= row[amount]
-                    tail.append((row["position"],))
-            break
-        used, crossing = 0, None
-        for row in sums:
-            if used + row["s"] > left + tolerance:
-                crossing = row["b"]
-                break
-            used += row["s"]
-        stop = total + 1
-        before = 0
-        if crossing is not None:
-            inside = running(fits.filter(bucket == crossing).select("position", amount), ["position"],
-                             {"cum": ("sum", F.col(amount))})
-            stop = inside.filter(F.col("cum") + used > left + tolerance).agg(F.min("position")).first()[0]
-            before = inside.filter(F.col("position") < stop).agg(F.sum(amount)).first()[0] or 0
-        admitted = admitted | ((F.col("position") > start) & (F.col("position") < stop)
-                               & (F.col(amount) <= left + tolerance))
-        left, start = left - used - before, stop
-    if not tail:
-        return placed.withColumn("admitted", admitted)
-    settled = requests.sparkSession.createDataFrame(tail, "position bigint").withColumn("_late", F.lit(True))
-    return placed.join(settled, "position", "left").withColumn(
-        "admitted", admitted | F.coalesce("_late", F.lit(False))).drop("_late")
-
-
-def cooldown_pressure(events: DataFrame, provider: str, order: Sequence[str], failed: Column, time: Column,
-                      delay: Column) -> DataFrame:
-    """Failure pressure and cooldown end of each provider after every event.
-
-    Pressure goes up by one on failure and down by one, not below zero, on success: a reflected walk, which is the
-    running sum minus its running minimum.  The cooldown end is the running maximum of the failures' own ends.
-    """
-    walked = running(events, order, {"_walk": ("sum", F.when(failed, 1).otherwise(-1).cast("bigint"))},
-                     keys=[provider])
-    reflected = running(walked, order, {"_low": ("min", F.col("_walk"))}, keys=[provider])
-    pressure = F.col("_walk") - F.least(F.lit(0), F.col("_low"))
-    adaptive = F.least(F.lit(120.0), delay * F.least(F.lit(4.0), F.lit(1.0) + pressure / F.lit(4.0)))
-    ended = reflected.withColumn("pressure", pressure).withColumn("_end", F.when(failed, time + adaptive))
-    result = running(ended, order, {"retry_after": ("max", F.col("_end"))}, keys=[provider])
-    return result.drop("_walk", "_low", "_end")
-
-
-def throttle_limits(events: DataFrame, route: str, order: Sequence[str], failed: Column, maximum: int) -> DataFrame:
-    """Adaptive concurrency limit of each route after its last event.
-
-    The limit halves on failure and grows by one after enough successes.  That is a small automaton, so each
-    slice of a route reduces to a table from every possible entry state to its exit state, and the tables are
-    chained in order; no task sees more than its slice.
-    """
-    thresholds = [max(8, 4 * limit) for limit in range(maximum + 1)]
-    starts = np.concatenate([[0, 0], np.cumsum(thresholds[1:maximum])])
-    top = int(starts[maximum])
-
-    def encode(limit, successes):
-        return np.where(limit >= maximum, top, starts[np.minimum(limit, maximum)] + successes)
-
-    states = [(limit, s) for limit in range(1, maximum) for s in range(thresholds[limit])] + [(maximum, 0)]
-    limits0 = np.array([s[0] for s in states])
-    successes0 = np.array([s[1] for s in states])
-    limit_table = np.array(thresholds)
-
-    def reduce_slice(batches):
-        tables: dict = {}
-        for batch in batches:
-            for name, bad in zip(batch["route"], batch["failed"]):
-                limit, good = tables.get(name, (limits0, successes0))
-                if bad:
-                    limit, good = np.maximum(1, (limit + 1) // 2), np.zeros_like(good)
-                else:
-                    good = np.where(limit >= maximum, 0, good + 1)
-                    grow = (limit < maximum) & (good >= limit_table[limit])
-                    limit, good = np.where(grow, limit + 1, limit), np.where(grow, 0, good)
-                tables[name] = (limit, good)
-        rows = [(name, encode(limit, good).astype(np.int32)) for name, (limit, good) in tables.items()]
-        yield pd.DataFrame(rows, columns=["route", "exits"])
-
-    ordered = events.select(F.col(route).cast("string").alias("route"), *order, failed.alias("failed")).orderBy(
-        "route", *order)
-    reduced = ordered.select("route", "failed").mapInPandas(reduce_slice, "route string, exits array<int>")
-    # Within one route the slices arrive in partition order.
-    reduced = materialize(reduced.withColumn("slice", F.monotonically_increasing_id()))
-    chained = reduced.groupBy("route").agg(F.sort_array(F.collect_list(F.struct("slice", "exits"))).alias("steps"))
-    state = F.aggregate("steps", F.lit(top), lambda now, step: F.element_at(step["exits"], now + 1))
-    limits = F.array(*[F.lit(int(v)) for v in limits0])
-    return chained.select(F.col("route").alias(route), F.element_at(limits, state + 1).alias("limit"))
-
-
 def budget_estimate(open_requests: DataFrame, cost: Column, spent: float) -> DataFrame:
     """Cost cap covering what was spent and one pass over the open requests."""
     factor = F.lit(billing.BUDGET_SAFETY * billing.BUDGET_HEADROOM)
@@ -291,22 +178,6 @@ def shared_capacity(routes: DataFrame, concurrency: int, per_model: int) -> Data
     return providers.agg(F.least(F.lit(concurrency), F.sum(F.least("demand", "limit"))).alias("capacity"))
 
 
-def retry_rounds(cells: DataFrame, attempt, rounds: int) -> DataFrame:
-    """Sweep open cells until none is left or the rounds are used up.
-
-    ``attempt`` maps open cells (in schedule order) to their new status, error and content; transient failures come
-    back as ``retryable`` and take part in the next sweep.  Each sweep is materialised, so a retry never repeats it.
-    """
-    current = cells
-    for _ in range(rounds + 1):
-        open_cells = current.filter(F.col("status").isin(list(P.OPEN_STATUSES)))
-        if open_cells.isEmpty():
-            break
-        swept = attempt(open_cells.orderBy(keys.schedule_key(F.col("cell_id"))))
-        current = materialize(upsert(current, swept.select(*current.columns), "cell_id"))
-    return current
-
-
 def bottlenecks(routes: DataFrame) -> DataFrame:
     """Constrained routes, the most constrained first."""
     unconstrained = F.least("route_concurrency", "model_concurrency")

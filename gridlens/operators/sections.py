@@ -25,7 +25,11 @@ _ROLE_COUNT = len(ROLES)
 
 
 def _marked(document: Column) -> Column:
-    """Document with every role marker wrapped as OPEN role NAME marker CLOSE."""
+    """Document with every role marker wrapped as OPEN role NAME marker CLOSE.
+
+    The three control characters have no meaning in a response and become spaces, so they can serve as marks.
+    """
+    document = F.translate(document, f"{_OPEN}{_NAME}{_CLOSE}", "   ")
     result = F.regexp_replace(document, START_TAG, f"{_OPEN}$1{_NAME}$0{_CLOSE}")
     result = F.regexp_replace(result, rf"(?i)</\s*({'|'.join(ROLES)})\b[^<>]*>", f"{_OPEN}$1{_NAME}$0{_CLOSE}")
     for role in ROLES:

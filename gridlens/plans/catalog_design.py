@@ -227,13 +227,6 @@ def quota_sample(spark, folder):
     return sampling.quota_sample(pool, quotas(spark, folder), "pattern", order, 97)
 
 
-@query("seeded_shuffle")
-def seeded_shuffle(spark, folder):
-    """Reference-compatible Mersenne Twister sample of a question pool."""
-    pool = table(spark, folder, "part").select("p_partkey", "p_name")
-    return sampling.seeded_shuffle_sample(pool, 50, "20260805", "part", ["p_partkey"])
-
-
 @query("fair_dequeue", """SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS turn
 FROM events""")
 def fair_dequeue(spark, folder):

@@ -231,11 +231,3 @@ def stream_throughput(spark, folder):
                          mode="update")
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "cents")
 
-
-@query("stream_limits", ORACLES["throttle_limits"])
-def stream_limits(spark, folder):
-    stream = E.read_events(spark, folder).select(
-        (F.col("user_id") % 5).alias("route"), "event_id", (F.col("event_type") == "error").alias("failed"))
-    state = E.VersionedTable(spark, "limits")
-    return E.fold_stream(E.adaptive_limits(stream, 16), state,
-                         lambda before, batch: E.fold_rows(before, batch, ["route"]), mode="update")

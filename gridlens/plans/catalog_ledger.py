@@ -128,20 +128,6 @@ def rolling_throughput(spark, folder):
 _CENTS = "round(value * 100)::BIGINT"
 
 
-@query("budget_admission", f"""WITH p AS (SELECT (sum({_CENTS}) // 3)::HUGEINT AS cap,
-  list({_CENTS}::HUGEINT ORDER BY ts, event_id) AS amounts FROM events),
-r AS (SELECT list_reduce(amounts,
-        lambda a, x: CASE WHEN a // 100000000 + x <= cap THEN a + x * 100000000 + 1 ELSE a END,
-        0::HUGEINT) AS state FROM p)
-SELECT (state // 100000000)::BIGINT AS admitted_cents, (state % 100000000)::BIGINT AS admitted FROM r""")
-def budget_admission(spark, folder):
-    requests = table(spark, folder, "events").select(
-        "ts", "event_id", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
-    cap = requests.agg(F.expr("sum(cents) div 3")).first()[0]
-    decided = ledger.admit_within_budget(requests, ["ts", "event_id"], "cents", cap)
-    return decided.filter("admitted").agg(F.sum("cents").alias("admitted_cents"), F.count(F.lit(1)).alias("admitted"))
-
-
 @query("budget_prefix", f"""SELECT event_id, (sum({_CENTS}) OVER (ORDER BY ts, event_id))::BIGINT AS running_cents FROM events""")
 def budget_prefix(spark, folder):
     from gridlens.operators.distributed import running
@@ -152,37 +138,6 @@ def budget_prefix(spark, folder):
     return summed.select("event_id", "running_cents")
 
 
-@query("cooldown_pressure", """WITH w AS (
-  SELECT event_id, user_id % 5 AS provider, event_type = 'error' AS failed, epoch(ts) AS t,
-         sum(CASE WHEN event_type = 'error' THEN 1 ELSE -1 END) OVER (
-           PARTITION BY user_id % 5 ORDER BY event_id) AS walk FROM events),
-r AS (SELECT *, walk - least(0, min(walk) OVER (PARTITION BY provider ORDER BY event_id)) AS pressure FROM w)
-SELECT event_id, pressure::BIGINT AS pressure,
-       round(max(CASE WHEN failed THEN t + least(120.0, 30.0 * least(4.0, 1 + pressure / 4.0)) END)
-         OVER (PARTITION BY provider ORDER BY event_id), 3) AS retry_after FROM r""")
-def cooldown_pressure(spark, folder):
-    events = table(spark, folder, "events").select(
-        "event_id", (F.col("user_id") % 5).alias("provider"), (F.col("event_type") == "error").alias("failed"),
-        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000.0)).alias("t"))
-    state = ledger.cooldown_pressure(events, "provider", ["event_id"], F.col("failed"), F.col("t"), F.lit(30.0))
-    return state.select("event_id", "pressure", F.round("retry_after", 3).alias("retry_after"))
-
-
-@query("throttle_limits", """WITH e AS (
-  SELECT user_id % 5 AS route, list((event_type = 'error')::INT ORDER BY event_id) AS failures
-  FROM events GROUP BY 1),
-f AS (SELECT route, list_reduce(failures, lambda a, bad:
-        CASE WHEN bad = 1 THEN greatest(1, (a // 1000 + 1) // 2) * 1000
-             WHEN a // 1000 >= 16 THEN 16000
-             WHEN a % 1000 + 1 >= greatest(8, 4 * (a // 1000)) THEN (a // 1000 + 1) * 1000
-             ELSE a + 1 END, 16000) AS state FROM e)
-SELECT route, (state // 1000)::INT AS "limit" FROM f""")
-def throttle_limits(spark, folder):
-    events = table(spark, folder, "events").select((F.col("user_id") % 5).alias("route"), "event_id", "event_type")
-    limits = ledger.throttle_limits(events, "route", ["event_id"], F.col("event_type") == "error", 16)
-    return limits.select(F.col("route").cast("bigint").alias("route"), "limit")
-
-
 @query("price_factor", f"""WITH {ATTEMPTS_SQL},
 p AS (SELECT cell_id % 10 AS route, accounted_cost_usd AS reported,
         (requested_max_tokens * 0.5 + requested_max_tokens * 2.0) / 1000000 * 100000 AS baseline FROM attempts)

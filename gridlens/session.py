@@ -49,3 +49,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="gridlens-checkpoint-")
     context.setCheckpointDir(configured)
     return configured
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop file system and path object of a path, wherever it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def child_numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Numbers of the complete table versions ``prefix<number>`` in a folder, in ascending order."""
+    system, place = file_system(spark, folder)
+    if not system.exists(place):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(place)]
+    marked = [n for n in names if n.startswith(prefix) and n[len(prefix):].isdigit()
+              and system.exists(file_system(spark, f"{folder}/{n}/_SUCCESS")[1])]
+    return sorted(int(n[len(prefix):]) for n in marked)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    system, place = file_system(spark, folder)
+    system.delete(place, True)

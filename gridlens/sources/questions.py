@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 
 from gridlens.functions import text as X
 from gridlens.functions.choices import gold_parser, parse_choices
-from gridlens.operators.distributed import first_per_key
-from gridlens.operators.sampling import seeded_shuffle_sample
+from gridlens.operators.distributed import first_per_key, global_row_number
 
 # Raw field names in order of preference, and the numeric base of the gold fields.
 STEM_FIELDS = ("question_clean", "question", "question_text", "stem", "prompt", "query")
@@ -19,11 +18,13 @@ CHOICE_FIELDS = ("options", "choices", "answer_options", "answer_choices", "mcq_
 GOLD_FIELDS = {"answer_idx": 0, "answer_index": 0, "correct_option": None, "correct_answer": None, "answer": 1,
                "label": 1, "gold": 1, "correct": 1}
 ID_FIELDS = ("id", "sample_id", "question_id", "qid", "uid", "index")
-MEDIA_FIELDS = ("image", "images", "image_path", "image_url", "audio", "video", "media", "figure", "attachment",
-                "attachments")
+MEDIA_FIELDS = ("image", "images", "image_path", "image_paths", "figure", "figures", "table", "tables", "audio", "video")
+# Fixed value: wording that points to a picture or table.
 MEDIA_STEM = (
-    r"(?i)\b(?:shown|seen|depicted|illustrated)\s+(?:in\s+the\s+)?(?:image|figure|picture|photo|photograph|radiograph|"
-    r"x-?ray|ecg|video|audio|below)\b|\b(?:image|figure|photograph|picture)\s+(?:above|below|shown)\b"
+    r"(?i)\b(?:shown|depicted|illustrated|pictured)\s+(?:above|below|here)|"
+    r"\b(?:the|this|following)\s+(?:image|figure|radiograph|x[- ]?ray|ct|mri|"
+    r"ultrasound|photograph|ecg|ekg|tracing|graph|chart|table|diagram)|"
+    r"\bin\s+(?:the|this)\s+(?:image|figure|table|radiograph|scan|tracing)\b"
 )
 TEST_SPLITS = ("test", "internal test", "internaltest")
 
@@ -43,9 +44,15 @@ def read_jsonl_rejects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_raw_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Every raw line as a variant, with a stable position for first-wins rules."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    return lines.select(F.parse_json("value").alias("raw"), F.monotonically_increasing_id().alias("row_index"))
+    """Every raw line as a variant, with its zero-based row number over the files in the order of their names.
+
+    Within a split, rows come in file order; splits are ordered by file and by where they start in it.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"))
+    numbered = global_row_number(lines.filter(F.trim("value") != ""), ["file", "block", "place"], "row")
+    return numbered.select(F.parse_json("value").alias("raw"), (F.col("row") - 1).alias("row_index"))
 
 
 def _field(name: str) -> Column:
@@ -147,18 +154,6 @@ def across_datasets(questions: DataFrame, priority: Column, row_id: str) -> Data
     return keyed.join(winners, ["stem_key", "_rank"], "left_semi").drop("_rank")
 
 
-def select_questions(questions: DataFrame, ledger: DataFrame, datasets: Sequence[str], per_dataset: int, seed: int) -> DataFrame:
-    """Seeded sample of unused questions; later datasets avoid stems already chosen by earlier ones."""
-    chosen = None
-    for name in datasets:
-        pool = exclude_used(unique_stems(with_stem_key(questions.filter(F.col("dataset") == name))), ledger)
-        if chosen is not None:
-            pool = pool.join(chosen.select("stem_key"), "stem_key", "left_anti")
-        picked = seeded_shuffle_sample(pool, per_dataset, str(seed), name, ["row_index"])
-        chosen = picked if chosen is None else chosen.unionByName(picked)
-    return chosen
-
-
 def read_document_frequencies(spark: SparkSession, path: str, terms: DataFrame) -> tuple[int, DataFrame]:
     """Corpus size and document frequencies of the wanted terms from a (compressed) table of yearly counts.
 

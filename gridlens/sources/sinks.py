@@ -3,29 +3,47 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
+import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlens.functions.keys import canonical_json_text
+from gridlens.session import child_numbers, file_system
 
 
-def write_document(path: str | Path, value: dict | list | str) -> None:
-    """One small document, replaced in a single step; numbers that are not finite become null."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
+def write_document(spark: SparkSession, path: str, value: dict | list | str) -> None:
+    """One small document beside the tables, in whatever store they lie; numbers that are not finite become null.
+
+    It is written under another name first and renamed, so a reader finds the old or the new one.
+    """
     text = value if isinstance(value, str) else json.dumps(
         json.loads(canonical_json_text(value)), indent=2, sort_keys=True, ensure_ascii=False) + "\n"
-    handle, name = tempfile.mkstemp(dir=target.parent)
-    with os.fdopen(handle, "w", encoding="utf-8") as stream:
-        stream.write(text)
-    os.replace(name, target)
+    system, target = file_system(spark, path)
+    _, draft = file_system(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = system.create(draft, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if system.exists(target):
+        system.delete(target, False)
+    system.rename(draft, target)
+
+
+def publish(frame: DataFrame, root: str) -> str:
+    """Write the next version of a table, which may have been made from the one before; its folder."""
+    spark = frame.sparkSession
+    version = max(child_numbers(spark, root, "version-"), default=0) + 1
+    frame.write.parquet(f"{root}/version-{version}")
+    return f"{root}/version-{version}"
+
+
+def latest(spark: SparkSession, root: str) -> DataFrame | None:
+    """The newest complete version of a published table; None if there is none."""
+    versions = child_numbers(spark, root, "version-")
+    return spark.read.parquet(f"{root}/version-{versions[-1]}") if versions else None
 
 
 def write_jsonl(frame: DataFrame, folder: str, order: list[str] | None = None) -> None:

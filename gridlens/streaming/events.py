@@ -1,4 +1,4 @@
-"""Attempt events as a stream: cell state, throughput windows and adaptive limits.
+"""Attempt events as a stream: cell state and throughput windows.
 
 Every micro-batch folds into a versioned table under the shared checkpoint folder.  A version is named by its batch, so
 a batch that is replayed after a failure overwrites its own version and nothing is counted twice.
@@ -6,33 +6,36 @@ a batch that is replayed after a failure overwrites its own version and nothing
 
 from __future__ import annotations
 
-import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridlens.operators.distributed import first_per_key
-from gridlens.session import ensure_checkpoint_dir
+from gridlens.session import child_numbers, delete_folder, ensure_checkpoint_dir, file_system
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "events", files_per_batch: int = 64) -> DataFrame:
-    """Parquet files of one table as a stream; the schema is the table's own."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-            .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+    """One table as a stream, stored as a folder of files or as a single file; the schema is the table's own."""
+    path = f"{folder}/{name}.parquet"
+    system, place = file_system(spark, path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    if system.getFileStatus(place).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 class VersionedTable:
-    """Latest state of a folded stream: one parquet folder per committed batch."""
+    """Latest state of a folded stream: one parquet folder per committed batch, the last two of them kept.
+
+    Committed batches are read from the store, so a job that is started again with the same ``folder`` goes on where
+    the last one ended.
+    """
 
     def __init__(self, spark: SparkSession, name: str, folder: str | None = None):
         self.spark = spark
         self.root = folder or f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.batches: list[int] = []
 
     def path(self, batch: int) -> str:
         return f"{self.root}/state/batch={batch}"
@@ -41,29 +44,34 @@ class VersionedTable:
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
 
+    def batches(self) -> list[int]:
+        return child_numbers(self.spark, f"{self.root}/state", "batch=")
+
     def before(self, batch: int) -> DataFrame | None:
-        earlier = [b for b in self.batches if b < batch]
+        earlier = [b for b in self.batches() if b < batch]
         return self.spark.read.parquet(self.path(max(earlier))) if earlier else None
 
     def commit(self, batch: int, frame: DataFrame) -> None:
         frame.write.mode("overwrite").parquet(self.path(batch))
-        if batch not in self.batches:
-            self.batches.append(batch)
+        for old in [b for b in self.batches() if b < batch][:-1]:
+            delete_folder(self.spark, self.path(old))
 
-    def latest(self) -> DataFrame:
-        return self.spark.read.parquet(self.path(max(self.batches)))
+    def latest(self) -> DataFrame | None:
+        committed = self.batches()
+        return self.spark.read.parquet(self.path(committed[-1])) if committed else None
 
 
 def fold_stream(stream: DataFrame, table: VersionedTable, fold: Callable[[DataFrame | None, DataFrame], DataFrame], *,
                 mode: str = "append") -> DataFrame:
-    """Run a bounded stream to its end, folding every micro-batch into the table."""
+    """Run a bounded stream to its end, folding every micro-batch into the table; no batch at all folds an empty one."""
     def apply(batch: DataFrame, batch_id: int) -> None:
         table.commit(batch_id, fold(table.before(batch_id), batch))
 
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", table.checkpoint)
              .trigger(availableNow=True).foreachBatch(apply).start())
     query.awaitTermination()
-    return table.latest()
+    found = table.latest()
+    return fold(None, table.spark.createDataFrame([], stream.schema)) if found is None else found
 
 
 def fold_latest(before: DataFrame | None, batch: DataFrame, key: str = "cell_id", order: str = "event_id") -> DataFrame:
@@ -82,25 +90,3 @@ def throughput(stream: DataFrame, time: str, kind: str, width: str = "1 day", la
     return (stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), kind)
             .agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
             .select(F.col("w.start").alias("start"), kind, "n", "cents"))
-
-
-def adaptive_limits(stream: DataFrame, maximum: int) -> DataFrame:
-    """Concurrency limit of every route, kept as keyed state between batches.
-
-    Input: route, event_id, failed.  Within a batch the rows of a route arrive in bounded chunks.
-    """
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        limit, good = state.get if state.exists else (maximum, 0)
-        for chunk in chunks:
-            for failed in chunk.sort_values("event_id")["failed"]:
-                if failed:
-                    limit, good = max(1, math.ceil(limit / 2)), 0
-                elif limit < maximum:
-                    good += 1
-                    if good >= max(8, 4 * limit):
-                        limit, good = limit + 1, 0
-        state.update((limit, good))
-        yield pd.DataFrame({"route": [key[0]], "limit": [limit]})
-
-    return stream.groupBy("route").applyInPandasWithState(
-        step, "route bigint, limit int", "limit int, good int", "update", GroupStateTimeout.NoTimeout)

@@ -26,12 +26,12 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of every component; texts without words stay.
+    """The row with the smallest id of every component, a missing id counting as largest; texts without words stay.
 
     Rows that agree on id and text count as one document.
     """
     groups = ngram_join.similarity_groups(docs, carry=True).filter("n_shingles > 0")
-    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "_uid")).alias("first"))
+    first = groups.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_uid")).alias("first"))
     dropped = stored(groups.join(first, F.col("first._uid") == F.col("_uid"), "left_anti").select("_uid").distinct())
     return docs.withColumn("_uid", _uid()).join(dropped, "_uid", "left_anti").dropDuplicates(["_uid"]).select(*docs.columns)
 

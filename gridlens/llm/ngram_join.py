@@ -312,7 +312,8 @@ def similarity_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text
                       fragments: int = 8, carry: bool = False) -> DataFrame:
     """Per row: key, n_shingles and component_id, the smallest key reachable by links of ``percent`` Jaccard or more.
 
-    ``carry`` adds ``_uid``, a hash of key and text.
+    ``carry`` adds ``_uid``, a hash of key and text, and ``_root``, a name of the component that missing or repeated
+    keys do not blur (null without shingles).
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     join = _Join(rows.withColumn("uid", F.xxhash64("key", "text")), size, percent, fragments)
@@ -321,9 +322,9 @@ def similarity_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     classes = heads.filter("n > 0").groupBy("class").agg(F.min("key").alias("first"))
     named = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "root").select("class", "component_id")
-    full = heads.filter("n > 0").join(named, "class").select("key", "uid", "n", "component_id")
-    none = heads.filter("n = 0").select("key", "uid", "n", F.col("key").alias("component_id"))
+    named = named.join(smallest, "root").select("class", "component_id", "root")
+    full = heads.filter("n > 0").join(named, "class").select("key", "uid", "n", "component_id", "root")
+    none = heads.filter("n = 0").select("key", "uid", "n", F.col("key").alias("component_id"), F.lit(None).cast("long").alias("root"))
     result = full.union(none).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id",
-                                     F.col("uid").alias("_uid"))
-    return result if carry else result.drop("_uid")
+                                     F.col("uid").alias("_uid"), F.col("root").alias("_root"))
+    return result if carry else result.drop("_uid", "_root")

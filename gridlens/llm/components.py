@@ -8,38 +8,36 @@ from pyspark.sql import functions as F
 from gridlens.llm.tables import stored
 
 
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
+    both = edges.union(edges.select("v", "u"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours are linked to the smallest of these."""
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    others = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return others.union(least.select("u", F.col("m").alias("v"))).distinct()
+
+
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node of its component.
 
-    Each round orders the nodes anew by a hash, points a node to its first neighbour and on along three further
-    pointers, and contracts the edges to these targets, until none is left between different nodes.  A random order
-    makes at least half of the nodes vanish per round on average, whatever the ids of a long chain look like.  The
-    first neighbour is aggregated before the shuffle, so a node with a third of all edges is no single task's work.
-    Every round is written to the shared checkpoint folder.  Loops and edges with a missing end are ignored; no edges
-    give an empty table.
+    Large-star and small-star rounds alternate until the edges are stars around the smallest nodes and no longer
+    change, which takes about the logarithm of the longest path.  Smallest neighbours are aggregated before the
+    shuffle, so a node with a third of all edges is no single task's work.  Every round is written to the shared
+    checkpoint folder.  Loops and edges with a missing end are ignored; no edges give an empty table.
     """
-    start = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).filter("u <> v")
-    live = stored(start.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    labels = live.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("root", F.col("node"))
-    rounds = 0
-    while not live.isEmpty():
-        order = lambda c: F.struct(F.xxhash64(c, F.lit(rounds)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
-        both = live.union(live.select("v", "u"))
-        point = both.groupBy("u").agg(F.min(order("v")).alias("first")).select("u", F.least(order("u"), "first")["id"].alias("up"))
-        step = point.select(F.col("u").alias("from"), F.col("up").alias("to"))
-        for _ in range(2):
-            step = step.alias("a").join(step.alias("b"), F.col("a.to") == F.col("b.from")).select("a.from", "b.to")
-        step = stored(step)
-        moved = (
-            live.join(step.withColumnRenamed("to", "tu"), F.col("u") == F.col("from")).drop("from")
-            .join(step.withColumnRenamed("to", "tv"), F.col("v") == F.col("from")).drop("from")
-            .filter("tu <> tv")
-        )
-        live = stored(moved.select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v")).distinct())
-        labels = labels.join(step, F.col("root") == F.col("from"), "left").select("node", F.coalesce("to", "root").alias("root"))
-        rounds += 1
-        if rounds % 4 == 0:
-            labels = stored(labels)
-    labels = stored(labels)
-    smallest = labels.groupBy("root").agg(F.min("node").alias("least"))
-    return stored(labels.join(smallest, "root").select("node", F.col("least").alias("root")))
+    live = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).filter("u <> v").distinct()
+    state = None
+    while True:
+        live = stored(_small_star(stored(_large_star(live))))
+        now = live.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    roots = live.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return stored(live.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots))

@@ -98,3 +98,26 @@ def base_counts(text: str | None) -> tuple:
         places[tuple(words[i:i + 5])].append(i)
     repeated = {p + j for at in places.values() if len(at) > 1 for p in at for j in range(5)}
     return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeated))
+
+
+def components_by_row(rows: list[tuple], percent: int = 80) -> list[int]:
+    """A component name per row: the place of its first row."""
+    named = components([(i, t) for i, (_, t) in enumerate(rows)], percent)
+    return [c for _, _, c in named]
+
+
+def removed(rows: list[tuple], length: int) -> list[tuple]:
+    """Rows without bytes that repeated strings cover; characters that are cut in two are dropped."""
+    starts = defaultdict(int)
+    data = [(t or "").encode() for _, t in rows]
+    for d in data:
+        for i in range(len(d) - length + 1):
+            starts[d[i:i + length]] += 1
+    out = []
+    for (key, text), d in zip(rows, data):
+        gone = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if starts[d[i:i + length]] > 1:
+                gone[i:i + length] = b"\1" * length
+        out.append((key, bytes(b for b, g in zip(d, gone) if not g).decode(errors="ignore") if any(gone) else text))
+    return out

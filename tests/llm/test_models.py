@@ -72,13 +72,13 @@ def test_clauses():
     scorer = toxicity.Scorer(model)
     run = lambda text: [scorer.grammar.run(c)[0] for c in scorer.clauses(text.lower())]
     insult, threat, target, negation, speech = range(5)
-    assert run("You idiot.")[0][insult] == 1 and run("You idiot.")[0][target] == 1 and run("idiots and cidiot") == []
+    assert run("You idiot.")[0][insult] == 1 and run("You idiot.")[0][target] == 1 and run("cidiot") == [] and run("idiots")[0][insult] == 0
     assert run("a VEQUTRA idiot")[0][insult] == 2
     assert run("you are not an idiot")[0][negation] == 4 and run("not now, maybe then, an idiot")[0][negation] == 5
     assert run('he said "idiot"')[0][speech] == 3 and run("i will kill you")[0][threat] == 3 and run("we kill time")[0][threat] == 1
     assert len(run("idiot! idiot? fine. idiot")) == 3
     plain, denied = scorer.features("you idiot")[1], scorer.features("you are not an idiot")[1]
-    assert plain > denied > 0 and not scorer.features("we kill time").tolist()[1:] != [0] * 6
+    assert plain > denied > 0 and scorer.features("we kill time").tolist() == [1.0] + [0] * 6
 
 
 def test_composition_is_the_product():

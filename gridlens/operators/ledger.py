@@ -22,9 +22,9 @@ def attempt_numbers(attempts: DataFrame, key: Sequence[str], order: str) -> Data
 
 def attempt_state(attempts: DataFrame, key: str, order: str, status: str, ceiling: str) -> DataFrame:
     """Attempt count with the latest status and output ceiling of every cell."""
-    state = attempts.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max(order).alias(order))
-    latest = attempts.select(order, F.col(status).alias("last_status"), F.col(ceiling).alias("last_max_tokens"))
-    return state.join(latest, order).select(key, "n", "last_status", "last_max_tokens")
+    latest = F.struct(F.col(status).alias("last_status"), F.col(ceiling).alias("last_max_tokens"))
+    state = attempts.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max_by(latest, order).alias("last"))
+    return state.select(key, "n", "last.last_status", "last.last_max_tokens")
 
 
 def latest_attempt(attempts: DataFrame, key: str, order: str) -> DataFrame:

@@ -8,7 +8,7 @@ from gridlens.functions import lexicon as L
 from gridlens.functions import text as X
 from gridlens.operators import facts as facts_ops
 from gridlens.operators import lexical
-from gridlens.operators.distributed import first_per_key
+from gridlens.operators.distributed import first_per_key, materialize
 from gridlens.plans import text_sql as S
 from gridlens.plans.adapters import table, texts, turn_pairs
 from gridlens.plans.registry import query
@@ -96,11 +96,12 @@ def scored_turns(spark, folder):
     """Every user turn as a stem; its reply gives the facts and the following reply the implications."""
     documents = texts(spark, folder)
     frequencies = lexical.document_frequencies(documents, "text")
-    pairs = turn_pairs(spark, folder)
+    # Turns are paired once; profiles, term counts and scores all read the stored cells.
+    pairs = materialize(turn_pairs(spark, folder))
     later = pairs.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("facts").alias("implications"))
-    cells = pairs.join(later, ["conv_id", "turn"], "left").select(
+    cells = materialize(pairs.join(later, ["conv_id", "turn"], "left").select(
         F.concat_ws("/", "conv_id", "turn").alias("question_id"), "stem", "facts",
-        F.coalesce("implications", F.lit("")).alias("implications"))
+        F.coalesce("implications", F.lit("")).alias("implications")))
     profiles = lexical.stem_profiles(cells.select("question_id", "stem"), frequencies, documents.count())
     return lexical.score_coverage(cells.drop("stem"), profiles)
 
@@ -327,19 +328,31 @@ def markdown_stripped(spark, folder):
 
 
 def protocol_cells(spark, folder):
-    """Cells whose responses follow the protocol headings, put together from replies and the stem's own words."""
+    """Cells whose responses follow the protocol headings, put together from whole replies and stems.
+
+    Options, decision and a left-out role vary with the conversation and turn.
+    """
     pairs = turn_pairs(spark, folder)
-    tokens = F.split(F.regexp_replace("stem", r"\s+", " "), " ")
-    choices = F.array(*[F.struct(F.lit(label).alias("label"), F.array_join(F.slice(tokens, 1 + 3 * i, 3), " ").alias("text"))
-                        for i, label in enumerate("ABCD")])
-    odd = F.col("turn") % 4 == 0
+    tokens = F.split(F.trim(F.regexp_replace("stem", r"\s+", " ")), " ")
+
+    def every_fourth(start):
+        return F.array_join(F.filter(tokens, lambda _, place: place % 4 == start), " ")
+
+    choices = F.array(*[F.struct(F.lit(label).alias("label"), every_fourth(i).alias("text")) for i, label in enumerate("ABCD")])
+    letter = lambda place: F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), (place % 4 + 1).cast("int"))
+    first, second, last = letter(F.col("conv_id")), letter(F.col("conv_id") + 1), letter(F.col("conv_id") + F.col("turn"))
+    kept = F.col("turn") % 4 == 0
+    # On one line: a line of the text that begins with a letter and a mark would name an option itself.
+    facts, stem = (F.regexp_replace(c, r"\s+", " ") for c in ("facts", "stem"))
     content = F.concat_ws(
         "\n", F.lit("1. Facts"), "stem", F.lit("2. Implications"), "facts", F.lit("3. Provisional answer"),
-        F.concat(F.lit("Option A because "), F.substring("facts", 1, 200)), F.lit("4. Best alternative"),
-        F.concat(F.lit("Option B but less likely given "), F.substring("stem", 1, 80)), F.lit("5. Decisive distinction"), "stem",
-        F.lit("6. What would change the answer"), F.lit("If the finding were absent, option B would become best."),
-        F.lit("7. Reconsideration"), F.concat(F.lit("Retain option A since "), F.col("stem")), F.lit("8. Final answer"),
-        F.when(odd, "Option A").otherwise("Option C"))
+        F.concat(F.lit("Option "), first, F.lit(" because "), facts), F.lit("4. Best alternative"),
+        F.concat(F.lit("Option "), second, F.lit(" but less likely given "), stem),
+        F.when(F.col("conv_id") % 5 > 0, F.concat(F.lit("5. Decisive distinction\n"), F.col("stem"))),
+        F.lit("6. What would change the answer"), F.concat(F.lit("If the finding were absent, option "), second, F.lit(" would become best.")),
+        F.lit("7. Reconsideration"),
+        F.concat(F.when(kept, "Retain option ").otherwise("Revise to option "), last, F.lit(" since "), stem),
+        F.lit("8. Final answer"), F.concat(F.lit("Option "), last))
     return pairs.select(
         F.concat_ws("/", "conv_id", "turn").alias("question_id"), F.concat_ws("/", "conv_id", "turn").alias("cell_id"),
         F.lit("m0").alias("model_id"), F.when(F.col("turn") == 6, "zero").otherwise("system").alias("condition_id"),
@@ -359,9 +372,12 @@ def judge_cells(spark, folder):
     return judging.judge(cells, profiles)
 
 
-@query("recovered_sections", """SELECT u.conv_id || '/' || u.turn AS cell_id, 8 AS roles, true AS ordered,
-  CASE WHEN u.turn % 4 = 0 THEN 'A' ELSE 'C' END AS final_option, 'retain' AS decision, 'A' AS provisional,
-  'B' AS alternative FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+@query("recovered_sections", """SELECT u.conv_id || '/' || u.turn AS cell_id,
+  CASE WHEN u.conv_id % 5 = 0 THEN 7 ELSE 8 END AS roles, u.conv_id % 5 > 0 AS ordered,
+  substr('ABCD', (u.conv_id + u.turn) % 4 + 1, 1) AS final_option,
+  CASE WHEN u.turn % 4 = 0 THEN 'retain' ELSE 'revise' END AS decision,
+  substr('ABCD', u.conv_id % 4 + 1, 1) AS provisional, substr('ABCD', (u.conv_id + 1) % 4 + 1, 1) AS alternative
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant'""")
 def recovered_sections(spark, folder):
     """Roles, options and decision of protocol responses."""

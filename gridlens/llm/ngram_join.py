@@ -33,7 +33,7 @@ from gridlens.llm.tables import bitmap, in_bitmap, stored
 
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 64
-FILTER_BITS, CLASS_BITS = 24, 22
+FILTER_BITS, CLASS_BITS = 25, 22
 #: Rounds of comparing list members with one of them before all that is left is compared.
 STAR_ROUNDS = 1
 
@@ -289,15 +289,15 @@ class _Join:
                 row = F.struct("class", "n", "place", "root")
                 left = rows.join(mixed.select("shingle"), "shingle", "left_semi").select("shingle", row.alias("x"))
                 met = left.join(rows.select("shingle", row.alias("y")), "shingle").filter("x.class < y.class")
-            met = met.filter("x.root <> y.root").filter(self.near("x.n", "y.n")).select(
+            # What stands before the first common shingle of two prefixes is not shared, so behind it there has to be
+            # enough.  The row of the first common shingle of a pair that is linked always passes.
+            most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+            enough = most * (100 + self.percent) >= self.percent * (F.col("x.n") + F.col("y.n"))
+            met = met.filter("x.root <> y.root").filter(self.near("x.n", "y.n") & enough).select(
                 F.when(F.col("x.class") < F.col("y.class"), F.col("x")).otherwise(F.col("y")).alias("x"),
                 F.when(F.col("x.class") < F.col("y.class"), F.col("y")).otherwise(F.col("x")).alias("y"))
-            # What stands before the first common shingle of two prefixes is not shared.  A star does not see all
-            # common shingles and may pass over a pair; the last step sees all and takes up what was passed over.
-            pairs = met.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.n").alias("na"),
-                                F.col("y.n").alias("nb")).agg(F.min("x.place").alias("pa"), F.min("y.place").alias("pb"))
-            most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-            pairs = pairs.filter(most * (100 + self.percent) >= self.percent * (F.col("na") + F.col("nb"))).drop("pa", "pb")
+            pairs = met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.n").alias("na"),
+                               F.col("y.n").alias("nb")).distinct()
             if done is not None:
                 pairs = pairs.join(done, ["a", "b"], "left_anti")
             pairs = stored(pairs)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,31 +19,35 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+#: Bits set per key, taken from three ranges of its hash.
+_SHIFTS = (0, 19, 38)
+
+
 def bitmap(keys: DataFrame, column: str, log_bits: int) -> bytes:
-    """A bit set over hashed keys, of fixed size whatever their number; a set bit is no proof of membership.
+    """A Bloom filter over hashed keys, of fixed size whatever their number; it never misses a member.
 
     At most 2^(log_bits - 6) words reach the driver.
     """
-    slot = F.col(column).bitwiseAND(F.lit((1 << log_bits) - 1))
+    slots = F.array(*[F.shiftrightunsigned(column, n).bitwiseAND(F.lit((1 << log_bits) - 1)) for n in _SHIFTS])
     words = (
-        keys.select(F.shiftright(slot, 6).cast("int").alias("word"),
-                    F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bits"))
+        keys.select(F.explode(slots).alias("slot"))
+        .select(F.shiftright("slot", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bits"))
         .groupBy("word").agg(F.bit_or("bits").alias("bits"))
     )
-    import numpy as np
-
     bits = np.zeros(1 << (log_bits - 6), dtype=np.int64)
     part = words.toArrow()
     bits[part["word"].to_numpy()] = part["bits"].to_numpy()
     return bits.tobytes()
 
 
-def in_bitmap(bits, hashes):
-    """Which hashes may be members; ``bits`` is what :func:`bitmap` returned, as a numpy array of 64-bit words."""
-    import numpy as np
-
-    slot = hashes & np.uint64(len(bits) * 64 - 1)
-    return (bits.view(np.uint64)[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be members; ``bits`` is what :func:`bitmap` returned, as 64-bit words."""
+    words, mask = bits.view(np.uint64), np.uint64(len(bits) * 64 - 1)
+    found = np.ones(len(hashes), bool)
+    for n in _SHIFTS:
+        slot = hashes >> np.uint64(n) & mask
+        found &= (words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+    return found
 
 
 def held_out(doc_id: str | Column, folds: int = 5) -> Column:

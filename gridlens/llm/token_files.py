@@ -206,5 +206,6 @@ def read_token_files(folder: str, manifest: DataFrame, keys: list[int] | None =
                             names.append("ids")
                         yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    # A shard is a task's work again, wherever the manifest's rows lie.
-    return manifest.select("shard", "file", "start").repartition("shard").mapInArrow(read, schema)
+    # A shard is a task's work again; a given number keeps the small rows from being put together.
+    shards = max(1, manifest.count())
+    return manifest.select("shard", "file", "start").repartition(shards, "shard").mapInArrow(read, schema)

@@ -21,6 +21,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,12 +59,12 @@ def text_encoder(path: str, end_id: int) -> Callable[[str], bytes]:
 
     def encode(text: str) -> bytes:
         parts = text.split(" ")
-        new = list(dict.fromkeys(p for p in parts if p not in memo))
+        new = list(set(parts).difference(memo))
         if len(memo) + len(new) > MEMO_LIMIT:
             memo.clear()
-            new = list(dict.fromkeys(parts))
+            new = list(set(parts))
         for part, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            memo[part] = np.array(found.ids, "<u4").tobytes()
+            memo[part] = array("I", found.ids).tobytes()
         return b"".join(map(memo.__getitem__, parts)) + end
 
     return encode

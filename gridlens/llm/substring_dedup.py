@@ -12,8 +12,9 @@ a text mostly share it; they travel as one run with the bytes they cover.
    leading bytes only; long ties are resolved by ranks of a difference-cover sample that were computed once per
    bucket (one rank stands for almost the whole length), so no suffix is spelled out and memory stays bounded.
    The buckets' texts are laid out so that slots agree modulo the cover's period, which makes the distance to the
-   next sampled position the same for all suffixes that can be equal.  A bucket with very many classes is cut by
-   slot, as suffixes of different slots are never equal.
+   next sampled position the same for all suffixes that can be equal.
+   A bucket with very many classes goes to no task as a whole: its suffixes become rows (bucket, slot, hashes of both
+   halves), equal ones are found by an aggregate that combines on the map side, and only repeated keys are joined back.
 4. Repeats go back to their texts as byte ranges and are cut out.
 
 Defined results: a missing or empty text has no bytes and loses none; shorter texts than ``length`` lose none;
@@ -34,7 +35,7 @@ from gridlens.llm import text_hash as th
 from gridlens.llm.tables import bitmap, in_bitmap, stored, written
 
 FILTER_BITS = 25
-#: Classes of a bucket above which it is cut by slot.
+#: Classes of a bucket above which its suffixes are dealt out one by one.
 SLICE_CLASSES = 512
 
 
@@ -147,11 +148,10 @@ def _runs(rows: DataFrame, length: int, shared: bytes) -> DataFrame:
     return rows.select("uid", "text").mapInArrow(run, schema)
 
 
-def repeats_in_buckets(buckets: np.ndarray, contents: list[bytes], leads: np.ndarray, length: int,
-                       slots: np.ndarray | None = None) -> list[np.ndarray]:
+def repeats_in_buckets(buckets: np.ndarray, contents: list[bytes], leads: np.ndarray, length: int) -> list[np.ndarray]:
     """Per run, which of its suffixes agree on ``length`` bytes with one of another run of the same bucket.
 
-    ``slots`` limits the work to those slots (distance before the bucket string, counted from the far end).
+    Equal suffixes share their slot (distance before the bucket string, counted from the far end).
     """
     period, cover = difference_cover(1 if length >= 200 else 0)
     depth, reach = length - period, length - length // 2
@@ -172,9 +172,7 @@ def repeats_in_buckets(buckets: np.ndarray, contents: list[bytes], leads: np.nda
     counts = sizes - length + 1
     owner = np.repeat(np.arange(len(contents)), counts)
     index = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    slot = reach - leads[owner] + index
-    taken = np.ones(len(owner), bool) if slots is None else np.isin(slot, slots)
-    own, at, slot = owner[taken], (begin[owner] + index)[taken], slot[taken]
+    slot, at = reach - leads[owner] + index, begin[owner] + index
     skip = following[at % period]
     # Ranks of the sampled positions, precomputed for the bucket: one number for ``depth`` bytes.
     sampled = np.unique(at + skip)
@@ -182,16 +180,16 @@ def repeats_in_buckets(buckets: np.ndarray, contents: list[bytes], leads: np.nda
     rank = rank_of[np.searchsorted(sampled, at + skip)]
     head = th.span_hashes(sums, powers, at, at + skip)
     tail = th.span_hashes(sums, powers, at + skip + depth, at + length)
-    order = np.lexsort((tail, rank, head, slot, buckets[own]))
+    order = np.lexsort((tail, rank, head, slot, buckets[owner]))
     same = np.ones(max(len(order) - 1, 0), bool)
-    for column in (tail, rank, head, slot, buckets[own]):
+    for column in (tail, rank, head, slot, buckets[owner]):
         sorted_column = column[order]
         same &= sorted_column[1:] == sorted_column[:-1]
     hit = np.zeros(len(order), bool)
     hit[1:] |= same
     hit[:-1] |= same
     flags = np.zeros(len(owner), bool)
-    flags[np.flatnonzero(taken)[order[hit]]] = True
+    flags[order[hit]] = True
     return np.split(flags, np.cumsum(counts)[:-1])
 
 
@@ -201,15 +199,11 @@ def _ranges(flags: np.ndarray) -> list[dict[str, int]]:
 
 
 def _sorted_buckets(classes: DataFrame, length: int) -> DataFrame:
-    """Repeated suffixes (bucket, class, low, high) of buckets that hold several classes."""
-    reach = length - length // 2
+    """Repeated suffixes (bucket, class, low, high) of buckets that hold several classes, but not very many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(group: list[tuple]) -> pa.RecordBatch:
-            slices, part = group[0][5], group[0][6]
-            slots = None if slices == 1 else np.flatnonzero(np.arange(reach + 1) * slices // (reach + 1) == part)
-            flags = repeats_in_buckets(np.array([g[0] for g in group]), [g[2] for g in group], np.array([g[3] for g in group]),
-                                       length, slots)
+            flags = repeats_in_buckets(np.array([g[0] for g in group]), [g[2] for g in group], np.array([g[3] for g in group]), length)
             rows = [(g[0], g[1], r["low"], r["high"]) for g, f in zip(group, flags) if g[4] == 1 and f.any() for r in _ranges(f)]
             columns = list(zip(*rows)) or [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
@@ -217,24 +211,66 @@ def _sorted_buckets(classes: DataFrame, length: int) -> DataFrame:
                                               names=["bucket", "class", "low", "high"])
 
         pending: list[tuple] = []  # whole buckets, then the rows of the last one
-        size = cut = 0
+        size = 0
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("bucket", "class", "content", "lead", "n", "slices", "part")]):
-                if pending and (row[0], row[6]) != (pending[-1][0], pending[-1][6]):
-                    # Small buckets are worked on together, a sliced one by itself.
-                    if size > 1 << 21 or row[5] > 1 or pending[-1][5] > 1:
-                        yield solve(pending)
-                        pending, size = [], 0
+            for row in zip(*[batch.column(c).to_pylist() for c in ("bucket", "class", "content", "lead", "n")]):
+                # Small buckets are worked on together.
+                if pending and row[0] != pending[-1][0] and size > 1 << 21:
+                    yield solve(pending)
+                    pending, size = [], 0
                 pending.append(row)
                 size += len(row[2])
         if pending:
             yield solve(pending)
 
-    parts = classes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    dealt = parts.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "class")
+    dealt = classes.repartition("bucket").sortWithinPartitions("bucket", "class")
     return dealt.mapInArrow(run, "bucket long, class long, low int, high int")
 
 
+def _suffixes(runs: DataFrame, length: int) -> DataFrame:
+    """One row per suffix of the given runs with content: bucket, slot, hashes of its two halves, class, index."""
+    reach, half = length - length // 2, length // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = th.Powers()
+        for batch in batches:
+            for low in range(0, len(batch), 1024):
+                part = batch.slice(low, 1024)
+                contents = part.column("content").to_pylist()
+                sizes = np.array([len(c) for c in contents])
+                data = np.frombuffer(b"".join(contents), np.uint8)
+                sums = th.prefix_sums(data, powers)
+                counts = sizes - length + 1
+                owner = np.repeat(np.arange(len(counts)), counts)
+                index = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+                at = (np.cumsum(sizes) - sizes)[owner] + index
+                head, tail = th.span_hashes(sums, powers, at, at + half), th.span_hashes(sums, powers, at + half, at + length)
+                bucket, name, lead = [part.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "class", "lead")]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[owner]), pa.array(reach - lead[owner] + index, pa.int32()), pa.array(th.signed(head)),
+                     pa.array(th.signed(tail)), pa.array(name[owner]), pa.array(index, pa.int32())],
+                    names=["bucket", "slot", "head", "tail", "class", "index"])
+
+    return runs.select("bucket", "class", "lead", "content").mapInArrow(
+        run, "bucket long, slot int, head long, tail long, class long, index int")
+
+
+def _dealt_suffixes(runs: DataFrame, large: DataFrame, length: int) -> DataFrame:
+    """Repeated suffixes (bucket, class, low, high) of the ``large`` buckets, whatever number of classes they have."""
+    key = ["bucket", "slot", "head", "tail"]
+    # Tasks that meet the same class each bring its content; the key needs two different classes.
+    suffixes = _suffixes(runs.filter("content is not null").join(large, "bucket", "left_semi"), length)
+    repeated = suffixes.groupBy(*key).agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select(*key)
+    # Stored, so that the join has a shuffle on both sides and a key with many suffixes is split.
+    found = suffixes.join(stored(repeated), key, "left_semi")
+    # At most length - length // 2 + 1 suffixes make a class.
+    found = found.groupBy("bucket", "class").agg(F.sort_array(F.collect_set("index")).alias("i"))
+    lows = F.filter("i", lambda x, k: F.coalesce(F.get("i", k - 1), x - 2) != x - 1)
+    highs = F.filter("i", lambda x, k: F.coalesce(F.get("i", k + 1), x + 2) != x + 1)
+    ranges = found.select("bucket", "class", F.explode(F.arrays_zip(lows.alias("low"), highs.alias("high"))).alias("r"))
+    return ranges.select("bucket", "class", F.col("r.low").alias("low"), (F.col("r.high") + 1).alias("high"))
+
+
 def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
     """(uid, ranges): byte ranges of each text that are covered by repeated strings."""
     counts = stored(_bucket_counts(rows, length).filter("n > 1").select("bucket"))
@@ -242,12 +278,15 @@ def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
     classes = runs.groupBy("bucket", "class").agg(
         F.count(F.lit(1)).alias("n"), F.max("lead").alias("lead"), F.max("count").alias("count"))
     classes = stored(classes)
-    several = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    several = several.select("bucket", F.least(F.ceil(F.col("members") / SLICE_CLASSES), F.lit(length - length // 2 + 1))
-                             .cast("int").alias("slices"))
-    contents = runs.filter("content is not null").groupBy("bucket", "class").agg(F.first("content").alias("content"))
-    work = classes.join(several, "bucket").join(contents, ["bucket", "class"])
-    partial = _sorted_buckets(work.select("bucket", "class", "content", "lead", "n", "slices"), length)
+    several = stored(classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
+    small, large = [several.filter(c).select("bucket") for c in (F.col("members") <= SLICE_CLASSES, F.col("members") > SLICE_CLASSES)]
+    contents = runs.filter("content is not null").join(small, "bucket", "left_semi")
+    contents = contents.groupBy("bucket", "class").agg(F.first("content").alias("content"))
+    work = classes.join(contents, ["bucket", "class"])
+    partial = _sorted_buckets(work.select("bucket", "class", "content", "lead", "n"), length)
+    if not large.isEmpty():
+        single = classes.filter("n = 1").select("bucket", "class")
+        partial = partial.union(_dealt_suffixes(runs, large, length).join(single, ["bucket", "class"], "left_semi"))
     whole = classes.filter("n > 1").select("bucket", "class", F.lit(0).alias("low"), F.col("count").alias("high"))
     found = stored(whole.union(partial))
     hits = runs.select("bucket", "class", "uid", "first").join(found, ["bucket", "class"]).select(

@@ -1,9 +1,11 @@
 """Quotation linking in chats, in DataFrame operations only.
 
-Lines that start with ``>`` are quotations, nested as deep as they have marks.  Runs of lines of one level are passages;
-their normalised text is hashed and joined to the messages that first said it: the whole message, one of its paragraphs
-or one of its lines, in the same conversation if possible.  Originals are reduced to the first one per hash (and
-conversation) before the join, so a line that a third of all messages share is one row on that side.
+Lines that start with ``>`` are quotations, nested as deep as they have marks.  Runs of lines of one level are cut into
+passages at blank lines.  The whole run, the passage and each of its lines are normalised, hashed and joined to the
+messages that first said them: as a whole message, one of its paragraphs or one of its lines.  The source of a passage is
+one in the same conversation if possible, then that of the largest part, then that of the first line; the sources of all
+matched parts are kept besides.  Originals are reduced to the first one per hash (and conversation) before the join, so a
+line that a third of all messages share is one row on that side.
 
 A message replies to the first message that it quotes at level one, if that is an earlier one of its conversation, and
 otherwise to the message before it.  The first reply continues its parent's branch, later ones start a branch.  Branches
@@ -40,12 +42,27 @@ def quote_lines(text: Column) -> Column:
 
 
 def passages(lines: Column) -> Column:
-    """Runs of lines of one level: array of (level, text)."""
+    """Runs of lines of one level, cut at blank lines: array of (level, text, hash of the whole run)."""
     starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1),
                       lambda i: (i == 0) | (F.get(lines, i)["level"] != F.coalesce(F.get(lines, i - 1)["level"], F.lit(-1))))
-    return bind(starts, lambda s: F.transform(s, lambda low, k: F.struct(
+    runs = bind(starts, lambda s: F.transform(s, lambda low, k: F.struct(
         F.get(lines, low)["level"].alias("level"),
         F.array_join(F.transform(F.slice(lines, low + 1, F.coalesce(F.get(s, k + 1), F.size(lines)) - low), lambda x: x["line"]), "\n").alias("text"))))
+    return F.flatten(F.transform(F.filter(runs, lambda r: r["level"] > 0), lambda r: F.transform(
+        F.filter(F.split(r["text"], r"\n\s*\n"), lambda t: normalised(t) != ""),
+        lambda t: F.struct(r["level"].alias("level"), F.regexp_replace(t, r"^\s*\n|\n\s*$", "").alias("text"),
+                           F.xxhash64(normalised(r["text"])).alias("run")))))
+
+
+def parts(passage: Column) -> Column:
+    """Parts of a passage, largest first: array of (way, hash), -1 for its whole run, 0 for itself, k for its k-th line."""
+    words = F.filter(F.transform(F.split(passage["text"], "\n"), normalised), lambda x: x != "")
+    own = F.xxhash64(normalised(passage["text"]))
+    lines = F.transform(words, lambda x, k: F.struct((k + 1).alias("way"), F.xxhash64(x).alias("hash")))
+    whole = F.array(F.struct(F.lit(-1).alias("way"), passage["run"].alias("hash")))
+    self = F.array(F.struct(F.lit(0).alias("way"), own.alias("hash")))
+    # What is its own whole run, or its own only line, is looked up once, as the passage.
+    return F.concat(F.filter(whole, lambda x: x["hash"] != own), self, F.filter(lines, lambda x: x["hash"] != own))
 
 
 def body(lines: Column) -> Column:
@@ -66,21 +83,20 @@ def link_quotations(messages: DataFrame, *, conversation: str = "conv_id", turn:
     """Per message: ids, body, reply_to, branch, position, and its quotations with their sources.
 
     ``position`` counts from one in the reply order of the conversation; ``branch`` is the turn of the branch's first
-    message; ``quotes`` has level, passage and the conversation and turn that it comes from, if known.
+    message; ``quotes`` has level, passage, the conversation and turn that it comes from, if known, and ``sources`` with
+    those of every matched part (``part`` -1 for the whole run, 0 for the passage, k for its k-th line with words).
     """
     rows = messages.select(F.col(conversation).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"),
                            F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("role", "text"))
     rows = global_row_number(rows, ["conv", "turn", "tie"], "pos").drop("tie")
     rows = rows.withColumn("lines", quote_lines(F.col("text"))).select(
-        "pos", "conv", "turn", "role", body(F.col("lines")).alias("body"),
-        F.filter(passages(F.col("lines")), lambda p: (p["level"] > 0) & (normalised(p["text"]) != "")).alias("passages"))
+        "pos", "conv", "turn", "role", body(F.col("lines")).alias("body"), passages(F.col("lines")).alias("passages"))
     rows = stored(rows)
 
     quoted = rows.select("pos", "conv", F.posexplode("passages").alias("nr", "p"))
-    quoted = quoted.select("pos", "conv", "nr", F.col("p.level").alias("level"), F.posexplode(F.array(
-        F.xxhash64(normalised(F.col("p.text"))),
-        F.xxhash64(normalised(F.element_at(F.filter(F.split("p.text", "\n"), lambda x: normalised(x) != ""), 1))))).alias("way", "hash"))
+    quoted = quoted.select("pos", "conv", "nr", F.col("p.level").alias("level"), F.explode(parts(F.col("p"))).alias("x")).select(
+        "pos", "conv", "nr", "level", "x.way", "x.hash")
     wanted = stored(quoted.select("hash").distinct())
     said = rows.select("pos", "conv", F.explode(_said(F.col("body"))).alias("hash")).join(wanted, "hash", "left_semi")
     inside = stored(said.groupBy("hash", "conv").agg(F.min("pos").alias("near")))
@@ -88,12 +104,14 @@ def link_quotations(messages: DataFrame, *, conversation: str = "conv_id", turn:
     found = null_safe_join(quoted, inside, ["hash", "conv"], "left").join(anywhere, "hash", "left")
     source = F.when(F.col("near") < F.col("pos"), F.struct(F.lit(0).alias("away"), "way", F.col("near").alias("source"))).when(
         F.col("far") < F.col("pos"), F.struct(F.lit(1).alias("away"), "way", F.col("far").alias("source")))
-    links = stored(found.groupBy("pos", "nr", "level").agg(F.min(source).alias("best")).select(
-        "pos", "nr", "level", F.col("best.source").alias("source"), (F.col("best.away") == 0).alias("same")))
+    links = stored(found.select("pos", "nr", "level", source.alias("x")).filter("x is not null").select("pos", "nr", "level", "x.*"))
     names = rows.select(F.col("pos").alias("source"), F.col("conv").alias("source_conv"), F.col("turn").alias("source_turn"))
-    sources = links.join(names, "source", "left").groupBy("pos").agg(
-        F.map_from_entries(F.collect_list(F.struct("nr", F.struct(F.col("source_conv").alias("conv"), F.col("source_turn").alias("turn"))))).alias("sources"),
-        F.min(F.when(F.col("same") & (F.col("level") == 1), F.struct("nr", "source")))["source"].alias("parent"))
+    known = F.struct("away", "way", "source", F.col("source_conv").alias("conv"), F.col("source_turn").alias("turn"))
+    linked = links.join(names, "source").groupBy("pos", "nr", "level").agg(F.sort_array(F.collect_list(known)).alias("found"))
+    best = F.get("found", F.lit(0))
+    sources = linked.groupBy("pos").agg(
+        F.map_from_entries(F.collect_list(F.struct("nr", "found"))).alias("sources"),
+        F.min(F.when((best["away"] == 0) & (F.col("level") == 1), F.struct("nr", best["source"].alias("source"))))["source"].alias("parent"))
 
     placed = running(rows.select("pos", "conv", "turn"), ["pos"], {"first": ("min", F.col("pos"))}, keys=["conv"])
     placed = placed.join(sources.filter("parent is not null").select("pos", "parent"), "pos", "left")
@@ -119,9 +137,10 @@ def link_quotations(messages: DataFrame, *, conversation: str = "conv_id", turn:
     ordered = ordered.join(turn_of.select(F.col("pos").alias("parent"), F.col("turn").alias("reply_to")), "parent", "left")
     ordered = ordered.join(turn_of.select(F.col("pos").alias("branch"), F.col("turn").alias("branch_turn")), "branch", "left")
     result = rows.join(ordered.select("pos", "position", "reply_to", "branch_turn"), "pos").join(sources.select("pos", "sources"), "pos", "left")
-    quotes = F.transform("passages", lambda p, i: F.struct(
-        p["level"].alias("level"), p["text"].alias("passage"), F.element_at("sources", i)["conv"].alias("source_conversation"),
-        F.element_at("sources", i)["turn"].alias("source_turn")))
+    quotes = F.transform("passages", lambda p, i: bind(F.element_at("sources", i), lambda found: F.struct(
+        p["level"].alias("level"), p["text"].alias("passage"), F.get(found, F.lit(0))["conv"].alias("source_conversation"),
+        F.get(found, F.lit(0))["turn"].alias("source_turn"), F.transform(F.coalesce(found, F.array()), lambda x: F.struct(
+            x["way"].alias("part"), x["conv"].alias("conversation"), x["turn"].alias("turn"))).alias("sources"))))
     return result.select(F.col("conv").alias(conversation), F.col("turn").alias(turn), F.col("role").alias(role), "position", "reply_to",
                          F.col("branch_turn").alias("branch"), "body", F.size("passages").alias("n_quotes"),
                          F.size(F.filter(quotes, lambda q: q["source_turn"].isNotNull())).alias("n_linked"), quotes.alias("quotes"))

@@ -14,7 +14,8 @@ gathers a conversation: positions are running values over sorted slices.
 
 Defined results: a missing text is an empty message; a message with nothing but quotations has an empty body; messages
 are ordered by turn, then by content, missing turns first; messages without conversation id form one conversation;
-repeated rows are separate messages; a passage that no message said, or only later ones, stays unlinked.
+repeated rows are separate messages; a passage that no message said, or only later ones of its own conversation, stays
+unlinked.  Ids of conversations are no time, so of other conversations the one with the smallest id counts as the first.
 """
 
 from __future__ import annotations
@@ -100,10 +101,14 @@ def link_quotations(messages: DataFrame, *, conversation: str = "conv_id", turn:
     wanted = stored(quoted.select("hash").distinct())
     said = rows.select("pos", "conv", F.explode(_said(F.col("body"))).alias("hash")).join(wanted, "hash", "left_semi")
     inside = stored(said.groupBy("hash", "conv").agg(F.min("pos").alias("near")))
-    anywhere = inside.groupBy("hash").agg(F.min("near").alias("far"))
+    # The first two conversations that said something: one of them is another than the quoting message's.
+    first = stored(inside.groupBy("hash").agg(F.min("near").alias("far")))
+    other = inside.join(first, "hash").filter("near > far").groupBy("hash").agg(F.min("near").alias("other"))
+    anywhere = first.join(other, "hash", "left")
     found = null_safe_join(quoted, inside, ["hash", "conv"], "left").join(anywhere, "hash", "left")
+    far = F.when(F.col("near") == F.col("far"), F.col("other")).otherwise(F.col("far"))
     source = F.when(F.col("near") < F.col("pos"), F.struct(F.lit(0).alias("away"), "way", F.col("near").alias("source"))).when(
-        F.col("far") < F.col("pos"), F.struct(F.lit(1).alias("away"), "way", F.col("far").alias("source")))
+        far.isNotNull(), F.struct(F.lit(1).alias("away"), "way", far.alias("source")))
     links = stored(found.select("pos", "nr", "level", source.alias("x")).filter("x is not null").select("pos", "nr", "level", "x.*"))
     names = rows.select(F.col("pos").alias("source"), F.col("conv").alias("source_conv"), F.col("turn").alias("source_turn"))
     known = F.struct("away", "way", "source", F.col("source_conv").alias("conv"), F.col("source_turn").alias("turn"))

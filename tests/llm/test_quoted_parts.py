@@ -51,7 +51,7 @@ def brute(messages):
                 found = []
                 for way, part in parts:
                     near = [j for j in range(i) if part in said[j] and messages[j][0] == conv]
-                    far = [j for j in range(i) if part in said[j] and messages[j][0] != conv]
+                    far = [j for j in range(len(messages)) if part in said[j] and messages[j][0] != conv]
                     if near or far:
                         found.append((not near, way, messages[(near or far)[0]][:2]))
                 out[conv, turn].append((level, sorted(found)[0][2] if found else None, [f[1:] for f in sorted(found)]))
@@ -85,6 +85,15 @@ def test_every_part_is_linked(spark):
     assert {k: seen(r) for k, r in by.items()} == brute(CHAT)
 
 
+def test_ids_of_conversations_are_no_time(spark):
+    chat = [(1, 0, "user", "> It rains here.\nIndeed."), (1, 1, "user", "It rains here."), (2, 0, "user", "It rains here."),
+            (3, 0, "user", "> Only mine\nNo."), (3, 1, "user", "Only mine"), (None, 0, "user", "> It rains here.")]
+    by = linked(spark, chat)
+    # Its own conversation says it later only, another one at any time.
+    assert seen(by[1, 0])[0][1] == (2, 0) and by[1, 0].reply_to is None
+    assert by[3, 0].n_linked == 0 and seen(by[None, 0])[0][1] == (1, 1)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_chats(spark, seed):
     rnd = random.Random(seed)

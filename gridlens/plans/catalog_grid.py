@@ -14,11 +14,12 @@ from gridlens.operators.units import Spec
 
 OUTCOMES = ("recall", "tokens", "accuracy", "commitment_itt")
 ABSENT = ("recall",)
-# The outcome tuples of the line-item grid in the shape of the full analysis.
+# The outcome tuples of the line-item grid in the shape of the full analysis: every family, over the measures that the
+# grid has.
 GRID_OUTCOMES = C.Outcomes(
-    primary=("recall", "commitment_itt"), key_secondary=("recall", "commitment_itt", "accuracy"), roles=(),
-    length=("tokens",), exploratory=(), complexity=("recall",), factorial=("recall", "accuracy"),
-    zero_absent=ABSENT,
+    primary=("recall", "commitment_itt"), key_secondary=("recall", "commitment_itt", "accuracy"), roles=("recall", "tokens"),
+    length=("tokens", "output_tokens"), exploratory=("recall", "tokens", "commitment_observed"), complexity=("recall", "tokens"),
+    factorial=("recall", "tokens", "accuracy"), zero_absent=ABSENT,
 )
 
 
@@ -411,7 +412,7 @@ def sign_flip_exact(spark, folder):
 def contrast_plan_analysis(spark, folder):
     """Every declared contrast of the grid with intervals, sign-flip tests and Holm adjustment in one job."""
     cells = grid_cells(spark, folder)
-    return C.build_analysis(cells, outcomes=GRID_OUTCOMES, bootstraps=1000, permutations=2000)
+    return C.build_analysis(cells, outcomes=GRID_OUTCOMES)
 
 
 _PLAN_SQL_MODELS = paired_sql(P.DOUBLE, P.SINGLE, group="model_id", outcomes=("recall", "commitment_itt"))

@@ -177,7 +177,7 @@ def correction_intervals(spark, folder):
     rated = decoded_ratings(spark, folder).filter("human_ab is not null").select(
         "task_kind", F.concat_ws("-", "role", (F.col("task_id") % 40)).alias("question_id"),
         F.col("correction").cast("double").alias("value"))
-    return clustered_bootstrap(rated, ["task_kind"], seed=1730, iterations=500)
+    return clustered_bootstrap(rated, ["task_kind"], seed=1730)
 
 
 @query("confusion_matrix", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")

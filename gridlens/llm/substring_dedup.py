@@ -8,9 +8,10 @@ a text mostly share it; they travel as one run with the bytes they cover.
 1. One pass counts buckets; runs of a bucket with one run can hold no repeat and are dropped.  The shared buckets
    reach the next pass as a bit set of fixed size.
 2. Runs with the same bytes form a class.  A class of two runs repeats as a whole.
-3. Buckets with several classes are sorted one at a time, one representative per class.  Sorting looks at a few
-   leading bytes only; long ties are resolved by ranks of a difference-cover sample that were computed once per
-   bucket (one rank stands for almost the whole length), so no suffix is spelled out and memory stays bounded.
+3. Buckets with several classes are sorted one at a time, one representative per class: by hashes of a few leading
+   bytes, of ``length`` less the period bytes behind the next cover position, and of the rest.  This
+   groups equal suffixes and is no lexicographic order; no suffix is spelled out and memory stays bounded.  Equal
+   hashes are not compared by bytes.
    The buckets' texts are laid out so that slots agree modulo the cover's period, which makes the distance to the
    next sampled position the same for all suffixes that can be equal.
    A bucket with very many classes goes to no task as a whole: its suffixes become rows (bucket, slot, hashes of both
@@ -174,7 +175,7 @@ def repeats_in_buckets(buckets: np.ndarray, contents: list[bytes], leads: np.nda
     index = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     slot, at = reach - leads[owner] + index, begin[owner] + index
     skip = following[at % period]
-    # Ranks of the sampled positions, precomputed for the bucket: one number for ``depth`` bytes.
+    # Numbers of the sampled positions' next ``depth`` bytes, by hash; equal for equal bytes, but in no suffix order.
     sampled = np.unique(at + skip)
     _, rank_of = np.unique(th.span_hashes(sums, powers, sampled, sampled + depth), return_inverse=True)
     rank = rank_of[np.searchsorted(sampled, at + skip)]

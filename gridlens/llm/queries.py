@@ -11,13 +11,16 @@ from gridlens.llm import (
     bpe,
     decontaminate,
     line_rules,
+    minhash,
     ngram_join,
+    phrases,
     quality,
     quotations,
     substring_dedup,
     token_files,
     toxicity,
     url_filter,
+    whitening,
 )
 from gridlens.llm.tables import table
 
@@ -167,3 +170,61 @@ def op10_quadratic_discriminant(spark: SparkSession, folder: str) -> DataFrame:
 def op4_quotation_links(spark: SparkSession, folder: str) -> DataFrame:
     found = quotations.link_quotations(table(spark, folder, "conversations"))
     return found.withColumn("quotes", F.to_json("quotes"))
+
+
+@_query
+def op11_minhash_bayes(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+ORACLES["op11_minhash_bayes"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + 3], ' ') AS t
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS s FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.t = b.t AND a.doc_id <> b.doc_id
+  JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+reached AS (
+  SELECT doc_id AS source_id, doc_id AS node_id FROM words
+  UNION
+  SELECT source_id, y FROM reached JOIN links ON node_id = x),
+smallest AS (SELECT source_id AS doc_id, min(node_id) AS component_id FROM reached GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM words LEFT JOIN sizes USING (doc_id) JOIN smallest USING (doc_id)"""
+
+
+@_query
+def op12_chebyshev_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@_query
+def op13_phrase_quicksort(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+ORACLES["op13_phrase_quicksort"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY 1),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS s FROM words),
+grams AS (SELECT lang, m, w[s:s + m - 1] AS p FROM places, (SELECT unnest(range(1, 6)) AS m) WHERE s + m - 1 <= len(w)),
+counts AS (SELECT lang, m, p, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+inside AS (
+  SELECT lang, f, p[1:m - 1] AS p FROM counts WHERE m > 2 UNION SELECT lang, f, p[2:m] FROM counts WHERE m > 2),
+kept AS (SELECT * FROM counts WHERE m > 1 AND NOT EXISTS (FROM inside i WHERE i.lang = counts.lang AND i.p = counts.p AND i.f >= counts.f)),
+cuts AS (SELECT lang, p, m, f AS a, unnest(range(1, m)) AS k FROM kept),
+scored AS (
+  SELECT c.lang, c.p, a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN totals t ON t.lang = c.lang JOIN counts x ON x.lang = c.lang AND x.p = c.p[1:k]
+  JOIN counts y ON y.lang = c.lang AND y.p = c.p[k + 1:c.m]),
+best AS (SELECT *, array_to_string(p, ' ') AS phrase FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000"""

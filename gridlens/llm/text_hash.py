@@ -132,8 +132,21 @@ def words(piece: Piece, powers: Powers, separators: bytes) -> Words:
     first[both] = True
     last[both] = True
     start, end = np.flatnonzero(first[:n]), np.flatnonzero(last)
-    hashes = span_hashes(prefix_sums(piece.data, powers, LOWER_CODES), powers, start, end)
-    return Words(hashes, start, end, np.searchsorted(start, piece.starts))
+    return Words(_word_hashes(piece.data, start, end, powers), start, end, np.searchsorted(start, piece.starts))
+
+
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers, limit: int = 1 << 21) -> np.ndarray:
+    """Hashes of ascending byte ranges, for a long text block by block, so that sums and powers stay short."""
+    if len(data) <= limit:
+        return span_hashes(prefix_sums(data, powers, LOWER_CODES), powers, start, end)
+    hashes, at = np.zeros(len(start), np.uint64), 0
+    while at < len(start):
+        stop = max(at + 1, int(np.searchsorted(end, start[at] + limit, side="right")))
+        low, high = int(start[at]), int(end[stop - 1])
+        sums = prefix_sums(data[low:high], powers, LOWER_CODES)
+        hashes[at:stop] = span_hashes(sums, powers, start[at:stop] - low, end[at:stop] - low)
+        at = stop
+    return hashes
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -18,8 +18,12 @@ from gridlens.llm.tables import bind
 WHITE = "\x20\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 TERMINAL = r"""[.!?…。！？:;,]["'”’»)\]]*$"""
-NAVIGATION = (r"(?i)^(?:[\s|>»•·/-]*(?:home|about(?: us)?|contact(?: us)?|log ?in|sign ?(?:in|up)|register|menu|search|site ?map|"
-              r"faq|help|next|previous|back to top|startseite|kontakt|impressum|anmelden|accueil|connexion|inicio|contacto))+[\s|>»•·/-]*$")
+ITEM = (r"(?:home|about(?: us)?|contacto|contact(?: us)?|log ?in|sign ?(?:in|up)|register|menu|search|site ?map|faq|help|next|previous|"
+        r"back to top|startseite|kontakt|impressum|anmelden|accueil|connexion|inicio)")
+SEPARATOR = r"[\s|>»•·/-]"
+#: A line of menu items starts with one, and nothing is left without them.  No pattern repeats a group, as that takes
+#: the task's stack by the length of the line.
+FIRST_ITEM, ITEMS = f"(?i)^{SEPARATOR}*+{ITEM}", f"(?i){ITEM}|{SEPARATOR}++"
 BOILERPLATE = (r"(?i)\b(?:all rights reserved|privacy policy|terms (?:of|and) (?:use|service|conditions)|cookie policy|"
                r"we use cookies|click here|subscribe to our|enable javascript|powered by|lorem ipsum|alle rechte vorbehalten|"
                r"datenschutzerklärung|tous droits réservés|mentions légales|todos los derechos reservados|política de privacidad)\b")
@@ -41,7 +45,7 @@ def line_fails(line: Column, *, short: int, symbols: float, separators: int) ->
     marks = chars - F.length(F.translate(line, WHITE + SYMBOLS, ""))
     bars = F.length(line) - F.length(F.translate(line, "|»•·", ""))
     punctuation = ((n_words < short) & ~F.rtrim(line).rlike(TERMINAL)) | (marks > symbols * chars)
-    navigation = ((bars >= separators) & (bars * 4 >= n_words)) | F.rlike(line, F.lit(NAVIGATION))
+    navigation = ((bars >= separators) & (bars * 4 >= n_words)) | (F.rlike(line, F.lit(FIRST_ITEM)) & (F.regexp_replace(line, ITEMS, "") == ""))
     return punctuation | navigation | F.rlike(line, F.lit(BOILERPLATE))
 
 

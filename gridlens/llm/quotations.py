@@ -26,18 +26,22 @@ from pyspark.sql import functions as F
 from gridlens.llm.tables import bind, stored
 from gridlens.operators.distributed import global_row_number, null_safe_join, running
 
-MARKS = r"^((?:[ \t]?>)+)"
+#: Marks of quotation and blanks at the start of a line, and what counts of them: up to two blanks in a row.  No pattern repeats
+#: a group or looks for the end from inside a run, so the longest line takes neither stack nor squared time.
+PREFIX, MARKS = r"^[ \t>]*+", r"(?s)^(.*?)(?:[ \t]{2}|[ \t]?$)"
+#: Lines beyond this are no attributions.
+LONGEST_ATTRIBUTION = 1000
 ATTRIBUTION = r"(?i)^\s*(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
 
 
 def normalised(text: Column) -> Column:
     """Lower case, one space for white space, no marks of quotation or punctuation at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"\s+", " "), r"^[\s\p{P}]+|[\s\p{P}]+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"\s+", " "), r"^[\s\p{P}]++|(?<![\s\p{P}])[\s\p{P}]++$", "")
 
 
 def quote_lines(text: Column) -> Column:
     """Array of (level, line): nesting depth and the line without its marks."""
-    return F.transform(F.split(text, "\n"), lambda x: bind(F.regexp_extract(x, MARKS, 1), lambda m: F.struct(
+    return F.transform(F.split(text, "\n"), lambda x: bind(F.regexp_extract(F.regexp_extract(x, PREFIX, 0), MARKS, 1), lambda m: F.struct(
         F.length(F.regexp_replace(m, "[^>]", "")).alias("level"),
         F.when(m == "", x).otherwise(F.regexp_replace(x.substr(F.length(m) + 1, F.length(x)), "^ ", "")).alias("line"))))
 
@@ -69,8 +73,8 @@ def parts(passage: Column) -> Column:
 def body(lines: Column) -> Column:
     """What a message says itself: lines outside quotations, without the line that introduces one."""
     own = F.filter(lines, lambda x, i: (x["level"] == 0) & ~(
-        x["line"].rlike(ATTRIBUTION) & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0)))
-    return F.regexp_replace(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
+        (F.length(x["line"]) <= LONGEST_ATTRIBUTION) & x["line"].rlike(ATTRIBUTION) & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0)))
+    return F.regexp_replace(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), r"^\s++|(?<!\s)\s++$", "")
 
 
 def _said(text: Column) -> Column:

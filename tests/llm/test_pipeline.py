@@ -65,13 +65,15 @@ def test_stages_keep_the_columns(spark, folder, empty):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5
 
 
 def test_entry_point_without_the_subpackage(tmp_path):
-    shutil.copytree(ROOT / "gridlens", tmp_path / "gridlens", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    """Everything but both llm folders is there, with and without the pipeline's file."""
+    shutil.copytree(ROOT, tmp_path / "with", ignore=shutil.ignore_patterns("llm", "__pycache__", ".git"))
+    shutil.copytree(ROOT, tmp_path / "without", ignore=shutil.ignore_patterns("llm", "__pycache__", ".git", "corpus_pipeline.py"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(n.startswith('op') and n[2].isdigit() for n in q)"
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
-    assert done.returncode == 0, done.stderr
+    for place in (tmp_path / "with", tmp_path / "without"):
+        done = subprocess.run([sys.executable, "-c", code], cwd=place, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(place)}, capture_output=True, text=True)
+        assert done.returncode == 0, done.stderr

@@ -171,22 +171,6 @@ def informative(tokens: Column, minimum: int) -> Column:
     return let(tokens, judged)
 
 
-def light_stem(token: Column) -> Column:
-    """Crude stem for comparing word families."""
-    size = F.length(token)
-
-    def cut(n: int) -> Column:
-        return F.substring(token, F.lit(1), size - n)
-
-    return (
-        F.when((size > 6) & token.endswith("ing"), cut(3))
-        .when((size > 5) & token.endswith("ies"), F.concat(cut(3), F.lit("y")))
-        .when((size > 5) & token.endswith("ed"), cut(2))
-        .when((size > 4) & token.endswith("s") & ~token.endswith("ss"), cut(1))
-        .otherwise(token)
-    )
-
-
 def strip_markdown(text: Column) -> Column:
     """Markdown headings and emphasis removed, line breaks kept."""
     return F.regexp_replace(F.regexp_replace(text, r"(?m)^[^\S\n]{0,3}#{1,6}[^\S\n]*", ""), r"\*\*|__|~~|`+", "")

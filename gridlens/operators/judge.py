@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlens.functions import clauses as G
 from gridlens.functions import roles as R
 from gridlens.functions import text as X
 from gridlens.functions.answers import with_answer
@@ -81,19 +82,6 @@ def _counterfactual() -> Column:
     """A hypothetical change of the case under which exactly the declared alternative wins."""
     text, tokens, second = _s("answer_changing_change"), F.col("tok_answer_changing_change"), F.col("second_best_option")
     named = _choice_tokens(second)
-    second_text = F.get("choice_texts", (F.array_position("labels", second) - 1).cast("int"))
-
-    def wins(scenario: Column) -> Column:
-        labels = F.array_distinct(F.filter(F.flatten(F.array(*[
-            F.regexp_extract_all(scenario, F.lit(rule), F.lit(1)) for rule in R.WINNER_RULES])),
-            lambda h: F.array_contains("labels", h)))
-        plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(scenario), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-        others = F.exists("choice_texts", lambda c: (c != second_text) & (c != "") & plain.contains(
-            F.concat(F.lit(" "), c, F.lit(" or "))))
-        natural = scenario.rlike(R.WINNING) & ~scenario.rlike(r"(?i)\b(?:not|never|cannot|doesn't|don't)\b") & (
-            plain.contains(F.concat(F.lit(" "), second_text, F.lit(" "))) | scenario.rlike(
-                r"(?i)\b(?:best\s+alternative|second[- ]best|alternative)\b")) & ~others
-        return F.when(F.size(labels) > 0, (F.size(labels) == 1) & F.array_contains(labels, second)).otherwise(natural)
 
     def judged(specific: Column) -> Column:
         introduced = F.size(F.array_except(specific, named))
@@ -104,9 +92,8 @@ def _counterfactual() -> Column:
     boilerplate = [*R.RATIONALE_BOILERPLATE, "alternative", "become", "change", "changed", "instead", "question",
                    "scenario", "smallest", "were", "would"]
     return (
-        X.informative(tokens, 7) & text.rlike(R.CHANGE_CUE) & ~text.rlike(R.TASK_REWRITE)
-        & F.coalesce(F.array_contains("labels", second), F.lit(False))
-        & F.exists(F.split(text, r"(?<=[.;!?])\s+"), wins) & X.let(_unlike(tokens, boilerplate), judged)
+        X.informative(tokens, 7) & text.rlike(R.CHANGE_CUE) & F.coalesce(F.array_contains("labels", second), F.lit(False))
+        & G.wins_alone(text, second, F.col("labels"), F.col("choice_texts")) & X.let(_unlike(tokens, boilerplate), judged)
     )
 
 
@@ -120,32 +107,19 @@ def commitments(text: Column, folded: Column, labels: Column, choice_texts: Colu
 
     def clause(pair: Column) -> Column:
         raw, low = pair["raw"], pair["low"]
-        excluded = raw.contains("?") | low.rlike(r"^[-*#>\s]*(?:key\s+)?question\s*[:—-]") | raw.rlike(R.CONDITIONAL) | \
-            raw.rlike(R.RELATIVE_MODAL)
-        by_label = F.filter(F.flatten(F.array(*[
-            F.regexp_extract_all(raw, F.lit(rule), F.lit(1)) for rule in R.COMMITMENT_RULES])),
-            lambda h: F.array_contains(labels, h))
-        plain = F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "))
-        after_cue = F.trim(F.regexp_replace(F.regexp_extract(raw, R.TEXT_COMMITMENT + "(.+)$", 1), r"[^\p{L}\p{N}]+", " "))
-
-        def named(choice: Column) -> Column:
-            text_value = choice["text"]
-            rest = F.substring(F.lower(after_cue), F.length(text_value) + 1, F.length(after_cue))
-            follows = F.lower(after_cue).startswith(text_value) & ~rest.rlike(R.HEDGED) & (
-                (rest == "") | rest.startswith(" "))
-            place = F.instr(plain, text_value)
-            tail = F.substring(plain, place + F.length(text_value), F.lit(140))
-            return (text_value != "") & (follows | ((place > 0) & tail.rlike(R.CHOICE_SUFFIX)))
-
-        by_text = F.filter(F.arrays_zip(labels.alias("label"), choice_texts.alias("text")), named)
-        options = F.array_distinct(F.concat(by_label, F.when(F.size(by_text) == 1, F.transform(
-            by_text, lambda c: c["label"])).otherwise(F.array().cast("array<string>"))))
-        generic = F.when((F.size(options) == 0) & raw.rlike(R.GENERIC_COMMITMENT), F.array(F.lit(None).cast("string")))
-        return F.when(~excluded, F.transform(F.coalesce(generic, options), lambda o: F.struct(
-            o.alias("option"), F.trim(raw).alias("evidence"))))
+
+        def judged(code: Column) -> Column:
+            excluded = raw.contains("?") | low.rlike(r"^[-*#>\s]*(?:key\s+)?question\s*[:—-]") | code.rlike(G.HYPOTHETICAL)
+            options = G.options_in(code, G.SETTLED)
+            generic = F.when((F.size(options) == 0) & code.rlike(G.SETTLED_UNNAMED), F.array(F.lit(None).cast("string")))
+            return F.when(~excluded, F.transform(F.coalesce(generic, options), lambda o: F.struct(
+                o.alias("option"), F.trim(raw).alias("evidence"))))
+
+        return X.let(G.encoded(pair["marked"], labels, choice_texts), judged)
 
     pairs = F.arrays_zip(F.split(text, cut).alias("raw"), F.split(folded, cut).alias("low"))
-    return F.flatten(F.array_compact(F.transform(pairs, clause)))
+    return F.flatten(F.array_compact(F.transform(pairs, lambda p: clause(F.struct(
+        p["raw"].alias("raw"), p["low"].alias("low"), G.marked(p["raw"]).alias("marked"))))))
 
 
 def _measured(recovered: DataFrame) -> DataFrame:

@@ -32,16 +32,6 @@ _ROWS_PER_STEP = 512
 CONTRAST_KEYS = ("family", "term", "group_value", "outcome")
 
 
-def linear_quantile(ordered: np.ndarray, probability: float) -> float:
-    """Quantile by linear interpolation between order statistics."""
-    place = (len(ordered) - 1) * probability
-    low, high = math.floor(place), math.ceil(place)
-    if low == high:
-        return float(ordered[low])
-    share = place - low
-    return float(ordered[low] * (1 - share) + ordered[high] * share)
-
-
 def _steps(total: int) -> Iterator[tuple[int, int]]:
     for start in range(0, total, _ROWS_PER_STEP):
         yield start, min(_ROWS_PER_STEP, total - start)
@@ -62,7 +52,7 @@ def bootstrap_interval(values: np.ndarray, iterations: int, seed: int, level: fl
         return None, None
     means = np.sort(bootstrap_draws(values, iterations, seed))
     tail = (1 - level) / 2
-    return linear_quantile(means, tail), linear_quantile(means, 1 - tail)
+    return float(np.quantile(means, tail)), float(np.quantile(means, 1 - tail))
 
 
 def _flip_sums(values: np.ndarray, iterations: int, seed) -> np.ndarray:
@@ -241,7 +231,7 @@ def clustered_bootstrap(rows: DataFrame, keys: Sequence[str], *, seed: int, iter
                     total, size = values[[source.choice(indices) for _ in indices]].sum(axis=0)
                     means[i] = total / size
                 means.sort()
-                out.append([*[row[k] for k in keys], linear_quantile(means, tail), linear_quantile(means, 1 - tail)])
+                out.append([*[row[k] for k in keys], float(np.quantile(means, tail)), float(np.quantile(means, 1 - tail))])
             yield pd.DataFrame(out, columns=[*keys, "ci_low", "ci_high"])
 
     small = arrays.filter("blocks = 1").mapInPandas(whole, f"{fields}, ci_low double, ci_high double")

@@ -82,6 +82,72 @@ def rendered_questions(spark, folder):
     return accepted.select("id", F.md5(question_text(F.col("stem"), F.col("choices"))).alias("digest"))
 
 
+def _block_questions(spark, folder):
+    """Questions about parts whose stem repeats the choices: exactly, in other case, in part, in another order, with a wrong text, or not."""
+    a, b, c = F.col("p_brand"), F.col("p_type"), F.concat(F.lit("size "), F.col("p_size").cast("string"))
+    kind = (F.col("p_partkey") % 6).cast("int")
+    item = lambda label, text: F.concat(F.lit(f" ({label}) "), text)
+    block = (
+        F.when(kind == 0, F.concat(item("A", a), item("B", b), item("C", c)))
+        .when(kind == 1, F.concat(item("a", F.lower(a)), item("b", F.lower(b)), item("c", F.upper(c))))
+        .when(kind == 2, F.concat(item("A", a), item("B", b)))
+        .when(kind == 3, F.concat(item("B", b), item("A", a), item("C", c)))
+        .when(kind == 4, F.concat(item("A", a), item("B", F.lit("something else")), item("C", c)))
+    )
+    stem = F.concat(F.lit("Which fits "), F.col("p_name"), F.lit("?"), F.coalesce(F.concat(F.lit("\nAnswer  Choices:"), block), F.lit("")))
+    raw = F.to_json(F.struct(stem.alias("question"), F.struct(a.alias("A"), b.alias("B"), c.alias("C")).alias("options"), F.col("p_partkey").alias("id"),
+                             F.lit("B").alias("answer_idx")))
+    return table(spark, folder, "part").select(F.parse_json(raw).alias("raw"), F.col("p_partkey").alias("row_index"))
+
+
+@query("embedded_choices", """WITH k AS (SELECT *, p_partkey % 6 AS kind, 'Which fits ' || p_name || '?' AS bare,
+  'size ' || p_size AS c FROM part)
+SELECT 'parts:' || p_partkey AS id, CASE kind WHEN 2 THEN bare || ' Answer Choices: (A) ' || p_brand || ' (B) ' || p_type
+    WHEN 3 THEN bare || ' Answer Choices: (B) ' || p_type || ' (A) ' || p_brand || ' (C) ' || c
+    WHEN 4 THEN bare || ' Answer Choices: (A) ' || p_brand || ' (B) something else (C) ' || c ELSE bare END AS stem,
+  CASE WHEN p_partkey % 4 < 2 AND kind > 1 THEN 'no block that mirrors the choices' END AS reject_reason FROM k""")
+def embedded_choices(spark, folder):
+    """Blocks of choices inside stems are cut off only if they mirror the options; half of the parts come from a source that must have one."""
+    found = Q.normalize_questions(_block_questions(spark, folder), F.lit("parts"), F.lit("test"), F.col("row_index") % 4 < 2)
+    return found.select("id", "stem", "reject_reason")
+
+
+def _ledger_lines(spark, folder):
+    """Ledgers of earlier runs written from the parts, in every layout; the fourth holds the second's lines once more, in other files."""
+    import uuid
+
+    from gridlens.session import ensure_checkpoint_dir
+    from gridlens.sources import ledgers
+
+    base = f"{ensure_checkpoint_dir(spark)}/ledgers-{uuid.uuid4()}"
+    parts = table(spark, folder, "part")
+    stem = F.concat(F.lit("Which fits "), F.col("p_name"), F.lit("?"))
+    block = F.concat(F.lit(" Answer Choices: (A) "), F.col("p_brand"), F.lit(" (B) "), F.col("p_type"))
+    line = lambda stem: F.to_json(F.struct(
+        F.concat(F.lit("parts:"), F.col("p_partkey")).alias("id"), F.element_at(F.split("p_type", " "), -1).alias("dataset"), stem.alias("stem"),
+        F.struct(F.col("p_brand").alias("A"), F.col("p_type").alias("B")).alias("choices"))).alias("value")
+    frames = [parts.filter("p_partkey % 3 = 0").select(line(stem)), parts.filter("p_partkey % 2 = 0").select(line(F.concat(stem, block))),
+              parts.filter("p_size > 25").select(line(stem)), parts.filter("p_partkey % 2 = 0").select(line(F.concat(stem, block))).repartition(3)]
+    for i, (frame, place) in enumerate(zip(frames, ledgers.PLACES)):
+        frame.write.text(f"{base}/run{i}/{place}")
+    return ledgers.read_ledgers(spark, [f"{base}/run{i}" for i in range(4)])
+
+
+@query("ledger_union", """WITH e AS (
+  SELECT 0 AS ledger_index, * FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 1, * FROM part WHERE p_partkey % 2 = 0
+  UNION ALL SELECT 2, * FROM part WHERE p_size > 25),
+i AS (SELECT k AS ledger_index, count(*) AS new_ids FROM (SELECT min(ledger_index) AS k FROM e GROUP BY p_partkey) GROUP BY 1),
+s AS (SELECT k AS ledger_index, count(*) AS new_stems FROM (SELECT min(ledger_index) AS k FROM e GROUP BY p_name) GROUP BY 1)
+SELECT e.ledger_index, count(*) AS rows, string_agg(DISTINCT split_part(p_type, chr(32), -1), chr(44) ORDER BY split_part(p_type, chr(32), -1)) AS datasets,
+       any_value(coalesce(new_ids, 0)) AS new_ids, any_value(coalesce(new_stems, 0)) AS new_stems
+FROM e LEFT JOIN i USING (ledger_index) LEFT JOIN s USING (ledger_index) GROUP BY 1""")
+def ledger_union(spark, folder):
+    from gridlens.sources import ledgers
+
+    audit = ledgers.ledger_audit(ledgers.unite_ledgers(_ledger_lines(spark, folder)))
+    return audit.select("ledger_index", "rows", "datasets", "new_ids", "new_stems")
+
+
 def _documents(spark, folder):
     documents = texts(spark, folder).select(F.col("doc_id").alias("row_index"), F.col("doc_id").cast("string").alias("id"),
                                             "text", "source")
@@ -118,7 +184,7 @@ def ledger_additions(spark, folder):
 WHERE event_type = 'signup' OR value >= 20 GROUP BY 1""")
 def split_filter(spark, folder):
     """Rows whose first named split is a test split, or that name none: sign-ups name no split here."""
-    name = F.when(F.col("value") >= 20, " Internal Test ").otherwise("train")
+    name = F.when(F.col("value") >= 20, " Internal-Test ").otherwise("train")
     kind = F.col("event_type")
     kept = table(spark, folder, "events").filter(Q.wanted_split(
         F.when(kind.isin("click", "error"), name), F.when(kind.isin("view", "purchase"), name),

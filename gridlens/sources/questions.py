@@ -65,31 +65,70 @@ def _first_text(names: Sequence[str]) -> Column:
 
 def wanted_split(split: Column, partition: Column, subset: Column) -> Column:
     """Rows of the test split; rows that name no split stay."""
-    named = F.lower(F.trim(F.coalesce(split, partition, subset)))
+    named = F.trim(F.regexp_replace(F.lower(F.coalesce(split, partition, subset)), r"[^\p{L}\p{N}]+", " "))
     return named.isNull() | named.isin(list(TEST_SPLITS))
 
 
-def normalize_questions(raw: DataFrame, dataset: Column, source_split: Column) -> DataFrame:
+# The words that open a block of choices inside a question, and a choice's label there.
+BLOCK = r"(?is)^(.*)\s+Answer\s+Choices\s*:\s*(.*)$"
+BLOCK_LABEL = r"(?i)\(([A-Z])\)\s*"
+#: Keeps normalised texts apart that are normalised together.
+_BETWEEN = "betweentexts"
+
+
+def _all_normalized(texts: Column) -> Column:
+    """Normalised elements of an array of texts, by one pass over all of them."""
+    joined = X.normalized(F.array_join(F.transform(texts, lambda t: F.coalesce(t, F.lit(""))), f" {_BETWEEN} "))
+    return F.transform(F.split(joined, _BETWEEN), lambda t: F.trim(t))
+
+
+def strip_choice_block(stem: Column, choices: Column) -> Column:
+    """Struct (stem, removed): the stem without a last block that repeats exactly the structured choices.
+
+    A block with other labels, another order or other texts stays, as does one with nothing before it.
+    """
+    head, block = F.rtrim(F.regexp_extract(stem, BLOCK, 1)), F.trim(F.regexp_extract(stem, BLOCK, 2))
+    labels = F.transform(F.regexp_extract_all(block, F.lit(BLOCK_LABEL), F.lit(1)), lambda x: F.upper(x))
+    texts = F.split(block, BLOCK_LABEL)
+    texts = F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 1, F.lit(0)))
+    same = (labels == F.transform(choices, lambda c: c["label"])) & (
+        _all_normalized(texts) == _all_normalized(F.transform(choices, lambda c: c["text"])))
+    removed = F.coalesce((head != "") & (F.size(labels) > 0) & same, F.lit(False))
+    return F.struct(F.when(removed, head).otherwise(stem).alias("stem"), removed.alias("removed"))
+
+
+def _settled(frame: DataFrame, **columns: Column) -> DataFrame:
+    """Columns that are computed once here, however many expressions behind name them.
+
+    The optimiser copies a column into every expression that uses it; it does not look through a generator.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_settled")
+    return frame.select(*[c for c in frame.columns if c not in columns], made).select("*", "_settled.*").drop("_settled")
+
+
+def normalize_questions(raw: DataFrame, dataset: Column, source_split: Column, embedded: Column | None = None) -> DataFrame:
     """Normalised questions with a ``reject_reason`` column; nothing is dropped.
 
-    Several choice or gold fields must agree, a disagreement is a reject and not a guess.
+    Several choice or gold fields must agree, a disagreement is a reject and not a guess.  A block at the end of a stem that
+    mirrors the choices is cut off; where ``embedded`` holds, a source is known to have one, and a row without it is rejected.
     """
+    expected = F.lit(False) if embedded is None else F.coalesce(embedded, F.lit(False))
     parsed = raw.select(
-        "row_index", dataset.alias("dataset"), source_split.alias("source_split"), _first_text(STEM_FIELDS).alias("stem"),
+        "row_index", expected.alias("_expected"), dataset.alias("dataset"), source_split.alias("source_split"), _first_text(STEM_FIELDS).alias("stem"),
         _first_text(ID_FIELDS).alias("_id"),
         F.array(*[F.coalesce(_field(m), F.lit("")) for m in MEDIA_FIELDS]).alias("_media"),
         *[_field(f).alias(f"_g_{f}") for f in GOLD_FIELDS],
         *[parse_choices(_field(f)).alias(f"_c{i}") for i, f in enumerate(CHOICE_FIELDS)])
     candidates = F.array_compact(F.array(*[F.col(f"_c{i}.choices") for i in range(len(CHOICE_FIELDS))]))
     broken = F.coalesce(*[F.col(f"_c{i}.reason") for i in range(len(CHOICE_FIELDS))])
-    chosen = parsed.select("*", F.array_distinct(candidates).alias("_found"), broken.alias("_broken")).withColumn(
-        "choices", F.get("_found", F.lit(0)))
+    chosen = _settled(parsed, _found=F.array_distinct(candidates), _broken=broken).withColumn("choices", F.get("_found", F.lit(0)))
+    chosen = _settled(chosen, _cut=strip_choice_block(F.col("stem"), F.col("choices"))).withColumn("stem", F.col("_cut.stem"))
     read = chosen.select("*", *[gold_parser(base)(F.col(f"_g_{f}"), F.col("choices")).alias(f"_r_{f}")
                                 for f, base in GOLD_FIELDS.items()])
     every = F.array_distinct(F.flatten(F.array(*[F.col(f"_r_{f}.labels") for f in GOLD_FIELDS])))
     sources = F.array_compact(F.array(*[F.when(F.size(F.col(f"_r_{f}.labels")) > 0, F.lit(f)) for f in GOLD_FIELDS]))
     malformed = F.array_compact(F.array(*[F.when(F.col(f"_r_{f}.malformed"), F.lit(f)) for f in GOLD_FIELDS]))
-    joined = read.select("*", every.alias("_gold"), sources.alias("_sources"), malformed.alias("_malformed"))
+    joined = _settled(read, _gold=every, _sources=sources, _malformed=malformed)
     gold = F.when(F.size("_gold") == 1, F.col("_gold")[0])
     reason = (
         F.when(F.col("stem").isNull(), "missing stem")
@@ -98,6 +137,7 @@ def normalize_questions(raw: DataFrame, dataset: Column, source_split: Column) -
         .when(F.size("_found") == 0, "missing choices")
         .when(F.size("_found") > 1, "conflicting choice fields")
         .when(F.size("choices") < 2, "fewer than two choices")
+        .when(F.col("_expected") & ~F.col("_cut.removed"), "no block that mirrors the choices")
         .when(F.size("_gold") == 0, "missing or unreadable gold")
         .when(F.size("_gold") > 1, "conflicting gold fields")
     )

@@ -5,8 +5,8 @@ to the longest phrase, and the sizes of equal partitions are the phrase counts.
 
 1. Words and leading word pairs are counted for the whole corpus, added up per task before any shuffle.  A phrase cannot
    be frequent where a word or pair of it is not, so a suffix ends there; most suffixes end before their third word.
-2. Suffixes are routed by their two leading words.  The size of every route is known beforehand; infrequent routes are
-   abandoned before they travel.  A route with very many suffixes is dealt out by the following two words as well, and
+2. Suffixes are routed by their two leading words.  A bound of every route's size is known beforehand (pairs are counted
+   under half of their hash); infrequent routes are abandoned before they travel.  A route with very many suffixes is dealt out by the following two words as well, and
    its partial counts are added up afterwards.
 3. Every task sorts some whole routes at a time: each round splits all open partitions by the word of their middle
    pointer into less, equal and greater; equal ones go a word deeper, and partitions lighter than the least count are
@@ -33,7 +33,7 @@ from gridlens.llm.tables import bitmap, in_bitmap, stored
 
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 LONGEST = 5
-WORD_BITS, PAIR_BITS = 25, 25
+WORD_BITS, PAIR_BITS, HOT_BITS = 25, 25, 20
 #: Occurrences of a leading pair above which its route is dealt out by the following words as well.
 SPLIT = 1 << 18
 #: Suffixes that a task sorts at once.
@@ -68,6 +68,15 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return th.mix(a * np.uint64(th.BASE) + b, 13)
 
 
+def slot_of(pairs: np.ndarray) -> np.ndarray:
+    """Half of a pair's hash, under which it is counted; pairs that share a slot only pass more easily."""
+    return (pairs >> np.uint64(32)).astype(np.uint32)
+
+
+def spread(slots: np.ndarray) -> np.ndarray:
+    return th.mix(slots.astype(np.uint64), 14)
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, th.Piece, Tokens]]:
     powers = th.Powers()
     for batch in batches:
@@ -77,7 +86,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _vocabulary(rows: DataFrame) -> DataFrame:
-    """(id, lang, word, f) of every word, counted over the whole corpus."""
+    """(id, lang, word, f) of every word, counted over the whole corpus, and under id 0 the number of all words of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, piece, tokens in _tokens(batches):
@@ -86,15 +95,18 @@ def _vocabulary(rows: DataFrame) -> DataFrame:
             ids, first, n = np.unique(tokens.ids, return_index=True, return_counts=True)
             text = _LOWER[piece.data].tobytes()
             words = [text[a:b] for a, b in zip(tokens.start[first].tolist(), tokens.end[first].tolist())]
+            names = ["id", "lang", "word", "f"]
             lang = batch.column("lang").take(pa.array(piece.first + tokens.owner[first]))
-            yield pa.RecordBatch.from_arrays([pa.array(th.signed(ids)), lang, pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
-                                             names=["id", "lang", "word", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array(th.signed(ids)), lang, pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=names)
+            texts, n = np.unique(tokens.owner, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(texts), np.int64)), batch.column("lang").take(pa.array(piece.first + texts)),
+                                              pa.nulls(len(texts), pa.string()), pa.array(n, pa.int64())], names=names)
 
     return rows.mapInArrow(run, "id long, lang string, word string, f long").groupBy("id", "lang", "word").agg(F.sum("f").alias("f"))
 
 
 def _leading_pairs(rows: DataFrame, words: bytes) -> DataFrame:
-    """(a, b, hash, f) of pairs of words that may be frequent."""
+    """(slot, f): how often the pairs of a slot occur whose words may be frequent, over the whole corpus."""
     known = rows.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,29 +114,42 @@ def _leading_pairs(rows: DataFrame, words: bytes) -> DataFrame:
         for _, _, tokens in _tokens(batches):
             may = in_bitmap(bits, tokens.ids)
             joined, names = tokens.pairs()
-            at = np.flatnonzero(joined & may[1:] & may[:-1])
-            names, first, n = np.unique(names[at], return_index=True, return_counts=True)
-            at = at[first]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(th.signed(x)) for x in (tokens.ids[at], tokens.ids[at + 1], names)] + [pa.array(n, pa.int64())], names=["a", "b", "hash", "f"])
+            slots, n = np.unique(slot_of(names[joined & may[1:] & may[:-1]]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slots.view(np.int32)), pa.array(n, pa.int64())], names=["slot", "f"])
+
+    return rows.mapInArrow(run, "slot int, f long").groupBy("slot").agg(F.sum("f").alias("f"))
+
+
+def _keys(slots: DataFrame) -> DataFrame:
+    """(key): what a bit set of slots is asked for."""
 
-    return rows.mapInArrow(run, "a long, b long, hash long, f long").groupBy("a", "b", "hash").agg(F.sum("f").alias("f"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column("slot").to_numpy(zero_copy_only=False).view(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(th.signed(spread(slot)))], names=["key"])
+
+    return slots.select("slot").mapInArrow(run, "key long")
 
 
 _SUFFIX = [f"w{i}" for i in range(1, LONGEST + 1)]
 
 
-def _suffixes(rows: DataFrame, pairs: bytes) -> DataFrame:
-    """(w1 .. w5, n) of suffixes of three words or more whose neighbours may all be frequent pairs; 0 behind the end."""
-    known = rows.sparkSession.sparkContext.broadcast(pairs)
+def _suffixes(rows: DataFrame, pairs: bytes, hot: bytes, ways: int) -> DataFrame:
+    """(w1 .. w5, way, n) of suffixes up to the first pair that cannot be frequent; 0 behind the end.
+
+    Suffixes of a ``hot`` route go one of ``ways`` ways by their third and fourth word, others have -1.
+    """
+    context = rows.sparkSession.sparkContext
+    known, large = context.broadcast(pairs), context.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(known.value, np.int64)
+        bits, often = [np.frombuffer(b.value, np.int64) for b in (known, large)]
         for _, _, tokens in _tokens(batches):
-            joined, names = tokens.pairs()
+            joined, pair = tokens.pairs()
+            slots = spread(slot_of(pair))
             steps = np.zeros(len(tokens.ids) + LONGEST, bool)
-            steps[:len(joined)] = joined & in_bitmap(bits, names)
-            at = np.flatnonzero(steps[:-1] & steps[1:])
+            steps[:len(joined)] = joined & in_bitmap(bits, slots)
+            at = np.flatnonzero(steps)
             padded = np.concatenate([tokens.ids, np.zeros(LONGEST, np.uint64)])
             columns, going, name = [padded[at]], np.ones(len(at), bool), padded[at]
             for d in range(1, LONGEST):
@@ -132,9 +157,13 @@ def _suffixes(rows: DataFrame, pairs: bytes) -> DataFrame:
                 columns.append(np.where(going, padded[at + d], np.uint64(0)))
                 name = pair_hash(name, columns[-1])
             _, first, n = np.unique(name, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(th.signed(c[first])) for c in columns] + [pa.array(n, pa.int64())], names=[*_SUFFIX, "n"])
+            columns = [c[first] for c in columns]
+            way = (pair_hash(columns[2], columns[3]) % np.uint64(ways)).astype(np.int32)
+            way[~in_bitmap(often, slots[at[first]])] = -1
+            yield pa.RecordBatch.from_arrays([*[pa.array(th.signed(c)) for c in columns], pa.array(way), pa.array(n, pa.int64())],
+                                             names=[*_SUFFIX, "way", "n"])
 
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in _SUFFIX) + ", n long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in _SUFFIX) + ", way int, n long")
 
 
 def sort_suffixes(words: np.ndarray, n: np.ndarray, split: np.ndarray, minimum: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -142,15 +171,20 @@ def sort_suffixes(words: np.ndarray, n: np.ndarray, split: np.ndarray, minimum:
 
     Gives (depth, a row of every equal partition of that many leading words, its weight).  Partitions lighter than
     ``minimum`` are abandoned; of ``split`` routes other tasks may hold more, where they differ in the third and fourth
-    word, so there the third word's partitions all stay.
+    word, so there the partitions of up to three words all stay.
     """
     found: list[tuple[int, np.ndarray, np.ndarray]] = []
     if not len(words):
         return found
     new = np.ones(len(words), bool)
     new[1:] = (words[1:, :2] != words[:-1, :2]).any(axis=1) | (split[1:] != split[:-1])
-    pointers, segment = np.arange(len(words)), np.cumsum(new) - 1
-    depth = np.full(segment[-1] + 1, 2)  # of each open partition
+    pointers, starts = np.arange(len(words)), np.flatnonzero(new)
+    weight = np.add.reduceat(n, starts)
+    stays = (weight >= minimum) | split[starts]
+    found.append((2, starts[stays], weight[stays]))
+    sizes = np.diff(np.append(starts, len(words)))
+    pointers, segment = pointers[np.repeat(stays, sizes)], np.repeat(np.arange(stays.sum()), sizes[stays])
+    depth = np.full(stays.sum(), 2)  # of each open partition
     while len(pointers):
         starts = np.flatnonzero(np.diff(segment, prepend=-1))
         sizes = np.diff(np.append(starts, len(segment)))
@@ -181,12 +215,10 @@ def sort_suffixes(words: np.ndarray, n: np.ndarray, split: np.ndarray, minimum:
     return found
 
 
-def _longer_phrases(suffixes: DataFrame, pairs: DataFrame, minimum: int, split: int) -> DataFrame:
-    """(p, f) of the frequent phrases of three words or more."""
-    hot = pairs.filter(F.col("f") > split).select(F.col("a").alias("w1"), F.col("b").alias("w2"), F.ceil(F.col("f") / split).alias("ways"))
-    routed = suffixes.groupBy(*_SUFFIX).agg(F.sum("n").alias("n")).join(hot, ["w1", "w2"], "left")
-    routed = routed.withColumn("way", F.when(F.col("ways").isNotNull(), F.pmod(F.xxhash64("w3", "w4"), "ways")).otherwise(-1))
-    routed = routed.select(*_SUFFIX, "n", "way").repartition("w1", "w2", "way").sortWithinPartitions("w1", "w2", "way")
+def _phrases(suffixes: DataFrame, minimum: int) -> DataFrame:
+    """(p, f) of the frequent phrases of two words or more."""
+    routed = suffixes.groupBy(*_SUFFIX, "way").agg(F.sum("n").alias("n"))
+    routed = routed.repartition("w1", "w2", "way").sortWithinPartitions("w1", "w2", "way")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -198,7 +230,7 @@ def _longer_phrases(suffixes: DataFrame, pairs: DataFrame, minimum: int, split:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(weight, pa.int64())], names=[*_SUFFIX, "n"])
 
         for batch in batches:
-            held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (*_SUFFIX, "n", "way")], axis=1))
+            held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*_SUFFIX, "n", "way")], axis=1))
             if sum(map(len, held)) >= CHUNK:
                 rows = np.concatenate(held)
                 # The last route may go on in the next batch.
@@ -222,18 +254,21 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", min
     """
     language = F.coalesce(F.col(lang).cast("string"), F.lit("und"))
     rows = docs.select(language.alias("lang"), F.xxhash64(language).alias("lid"), F.col(text).cast("string").alias("text")).filter("text is not null")
-    vocabulary = stored(_vocabulary(rows))
-    frequent = vocabulary.filter(F.col("f") >= minimum)
+    vocabulary = stored(_vocabulary(rows).filter((F.col("f") >= minimum) | (F.col("id") == 0)))
+    frequent = vocabulary.filter("id <> 0")
     pairs = stored(_leading_pairs(rows, bitmap(frequent, "id", WORD_BITS)).filter(F.col("f") >= minimum))
-    longer = _longer_phrases(_suffixes(rows, bitmap(pairs, "hash", PAIR_BITS)), pairs, minimum, split)
-    counts = stored(frequent.select(F.array("id").alias("p"), "f").union(pairs.select(F.array("a", "b"), "f")).union(longer))
+    most = pairs.agg(F.max("f")).first()[0] or 0
+    hot = bitmap(_keys(pairs.filter(F.col("f") > split)), "key", HOT_BITS)
+    suffixes = _suffixes(rows, bitmap(_keys(pairs), "key", PAIR_BITS), hot, -(-most // split) or 1)
+    longer = _phrases(suffixes, minimum)
+    counts = stored(frequent.select(F.array("id").alias("p"), "f").union(longer))
 
     phrases = counts.filter(F.size("p") > 1)
     # Whatever holds a phrase as often as it occurs has a part, one word longer than the phrase, that does so too.
     inside = phrases.filter(F.size("p") > 2).select(
         F.explode(F.array(F.expr("slice(p, 1, size(p) - 1)"), F.expr("slice(p, 2, size(p) - 1)"))).alias("p"), "f")
     phrases = phrases.join(inside, ["p", "f"], "left_anti")
-    total = vocabulary.groupBy("lang").agg(F.sum(F.col("f").cast("decimal(38,0)")).alias("n"))
+    total = vocabulary.filter("id = 0").select("lang", F.col("f").alias("n"))
     named = phrases.join(frequent.select(F.col("id").alias("_id"), "lang"), F.get("p", F.lit(0)) == F.col("_id")).drop("_id").join(total, "lang")
     cuts = named.select("lang", "p", F.col("f").alias("a"), "n", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k"))
     parts = cuts.join(counts.select(F.col("p").alias("_left"), F.col("f").alias("l")), F.expr("slice(p, 1, k)") == F.col("_left")).join(
@@ -244,6 +279,6 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", min
     words = best.select("p", F.posexplode("p").alias("at", "id")).join(frequent.select("id", "word"), "id")
     texts = words.groupBy("p").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     place = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    scored = best.join(texts, "p").select("lang", "phrase", "a", "cut.l", "cut.r", F.col("n").cast("long").alias("n"), "cut.score")
+    scored = best.join(texts, "p").select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
     ranked = scored.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

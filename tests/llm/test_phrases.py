@@ -69,7 +69,7 @@ def test_quicksort_counts_equal_partitions():
     got = {(d, tuple(words[i][:d].tolist())): int(w) for d, first, weight in phrases.sort_suffixes(words, n, np.zeros(4000, bool), 60) for i, w in zip(first, weight)}
     want: Counter = Counter()
     for row, k in zip(words.tolist(), n.tolist()):
-        want.update({(d, tuple(row[:d])): k for d in range(3, 6) if row[d - 1]})
+        want.update({(d, tuple(row[:d])): k for d in range(2, 6) if row[d - 1]})
     assert got == {p: c for p, c in want.items() if c >= 60}
 
 

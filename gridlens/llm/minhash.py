@@ -8,7 +8,8 @@
   ``miss``.  What survives all batches is verified on the full sets, so every link is exact.
 * Buckets are worked on without spelling out their pairs.  Members are compared with two of them at first, each class
   with the one it shares most bands with before the others; what is linked counts as one.  Members of a bucket that are
-  still in different components are then compared in blocks of bounded size, and only survivors become rows.
+  still in different components are then compared and verified in blocks of bounded size, each pair in the first bucket
+  that it shares; only links become rows.
 
 Defined results: a missing or empty text has no shingles and is linked with nothing; fewer words than the shingle size
 are one shingle; repeated rows are each returned.  Missing ids are returned as they are and never name a component
@@ -32,7 +33,7 @@ from gridlens.llm.tables import bitmap, in_bitmap, stored, written
 
 BUCKET_BITS, CLASS_BITS = 25, 24
 #: Members of a bucket that are compared with each other at once.
-BLOCK = 64
+BLOCK = 512
 
 
 def hash_functions(count: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +92,29 @@ def surviving(a: np.ndarray, b: np.ndarray, limits: list[tuple[int, int]]) -> np
     return alive
 
 
+def unpacked(data: bytes) -> np.ndarray:
+    """Values of six bytes each."""
+    parts = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return np.concatenate([parts, np.zeros((len(parts), 2), np.uint8)], axis=1).view(np.uint64).ravel()
+
+
+def overlaps(packed: list[bytes], left: np.ndarray, right: np.ndarray, limit: int = 1 << 22) -> np.ndarray:
+    """Sizes of the intersections of sets ``left`` with sets ``right``; ``left`` is in groups of equal numbers."""
+    common = np.zeros(len(left), np.int64)
+    sizes = np.array([len(p) // 6 for p in packed])
+    at = 0
+    while at < len(left):
+        same = int(np.searchsorted(left, left[at], side="right"))
+        end = at + max(1, int(np.searchsorted(np.cumsum(sizes[right[at:same]]), limit)))
+        own = unpacked(packed[left[at]])
+        others = unpacked(b"".join(packed[r] for r in right[at:end]))
+        place = np.minimum(np.searchsorted(own, others), len(own) - 1)
+        starts = np.cumsum(sizes[right[at:end]]) - sizes[right[at:end]]
+        common[at:end] = np.add.reduceat((own[place] == others).astype(np.int64), starts)
+        at = end
+    return common
+
+
 def _rows(column: pa.Array, kind, width: int) -> np.ndarray:
     return np.array([np.frombuffer(x.as_buffer(), kind) for x in column], dtype=kind).reshape(-1, width)
 
@@ -134,7 +158,7 @@ class _NearDuplicates:
         return rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, n long, class long, signature binary")
 
     def _banded(self, shared: bytes | None) -> DataFrame:
-        """(bucket, class, n): every class once a band; with ``shared``, only where the bucket may have others."""
+        """(bucket, band, class, n): every class once a band; with ``shared``, only where the bucket may have others."""
         bands, values = self.bands, self.values
         known = None if shared is None else self.docs.sparkSession.sparkContext.broadcast(shared)
 
@@ -142,23 +166,23 @@ class _NearDuplicates:
             bits = None if known is None else np.frombuffer(known.value, np.int64)
             for batch in batches:
                 keys = band_keys(_rows(batch.column("signature"), np.uint16, values), bands).ravel()
-                row = np.repeat(np.arange(batch.num_rows), bands)
-                if bits is not None:
-                    may = in_bitmap(bits, keys)
-                    keys, row = keys[may], row[may]
-                yield pa.RecordBatch.from_arrays([pa.array(th.signed(keys)), *[batch.column(c).take(pa.array(row)) for c in ("class", "n")]],
-                                                 names=["bucket", "class", "n"])
+                at = np.arange(len(keys)) if bits is None else np.flatnonzero(in_bitmap(bits, keys))
+                row = pa.array(at // bands)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(th.signed(keys[at])), pa.array((at % bands).astype(np.int32)), *[batch.column(c).take(row) for c in ("class", "n")]],
+                    names=["bucket", "band", "class", "n"])
 
-        return self.signatures.mapInArrow(run, "bucket long, class long, n long")
+        return self.signatures.mapInArrow(run, "bucket long, band int, class long, n long")
 
     def lists(self) -> DataFrame:
-        """(bucket, class, n) of buckets with several classes."""
+        """(bucket, band, class, n) of buckets with several classes."""
         shared = stored(self._banded(None).groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket"))
         return stored(self._banded(bitmap(shared, "bucket", BUCKET_BITS)).join(shared, "bucket", "left_semi"))
 
     def sets(self, lists: DataFrame) -> DataFrame:
-        """(class, values): sorted shingles of the listed classes, six bytes each."""
+        """(class, values): sorted shingles of the listed classes, six bytes each; other classes' signatures are done with."""
         active = stored(lists.select("class").distinct())
+        self.signatures = written(self.signatures.join(active, "class", "left_semi"))
         wanted = self.docs.sparkSession.sparkContext.broadcast(bitmap(active, "class", CLASS_BITS))
         size = self.size
 
@@ -204,13 +228,9 @@ class _NearDuplicates:
         side = lambda c: sets.select(F.col("class").alias(c), F.col("values").alias(f"v{c}"))
         met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "va", "vb")
 
-        def values(cell: pa.Scalar) -> np.ndarray:
-            parts = np.frombuffer(cell.as_buffer(), np.uint8).reshape(-1, 6)
-            return np.concatenate([parts, np.zeros((len(parts), 2), np.uint8)], axis=1).view(np.uint64).ravel()
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                common = np.array([len(np.intersect1d(values(x), values(y), assume_unique=True))
+                common = np.array([np.isin(unpacked(x.as_buffer()), unpacked(y.as_buffer()), assume_unique=True, kind="sort").sum()
                                    for x, y in zip(batch.column("va"), batch.column("vb"))], np.int64)
                 n = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb")]
                 linked = np.flatnonzero(100 * common >= percent * (n[0] + n[1] - common))
@@ -231,7 +251,7 @@ class _NearDuplicates:
     def _rooted(self, lists: DataFrame, roots: DataFrame | None) -> DataFrame:
         if roots is None:
             return lists.withColumn("root", F.col("class"))
-        return lists.join(roots, F.col("class") == F.col("node"), "left").select("bucket", "class", "n", F.coalesce("root", "class").alias("root"))
+        return lists.join(roots, F.col("class") == F.col("node"), "left").select("bucket", "band", "class", "n", F.coalesce("root", "class").alias("root"))
 
     def _mixed(self, rows: DataFrame) -> DataFrame:
         """Buckets whose members lie in different components, with the members of smallest and largest name."""
@@ -250,74 +270,93 @@ class _NearDuplicates:
             met = counted.groupBy("z").agg(F.max(F.struct("shared", "x")).alias("most")).select("z", F.col("most.x").alias("x"))
         return met.select(*self._pairs("x", "z")).distinct()
 
-    def in_blocks(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
-        """Surviving pairs among the other members of buckets that are still mixed."""
+    def in_blocks(self, lists: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links (a, b) between different components of buckets that are still mixed, besides those of the two pivots.
+
+        Most members of a bucket usually lie in one component and need no comparison with each other.  The others are cut
+        into parts, and so are all members; every part of the others meets every part of all in a block of its own.
+        """
         rows = self._rooted(lists, roots)
-        mixed = self._mixed(rows).select("bucket", F.col("x.class").alias("_x"), F.col("y.class").alias("_y"), "members").filter("members > 3")
-        rest = rows.join(mixed, "bucket").filter("class <> _x and class <> _y")
-        ways = F.ceil(F.col("members") / BLOCK).cast("int")
-        rest = rest.withColumn("ways", ways).withColumn("own", F.pmod(F.xxhash64("class"), "ways").cast("int"))
-        # Parts i and j of a bucket meet in block (i, j), i <= j.
-        blocks = F.transform(F.sequence(F.lit(0), F.col("ways") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
-        rest = rest.select("bucket", "class", "n", "root", "own", F.explode(blocks).alias("block"))
-        rest = rest.join(self.signatures.select("class", "signature"), "class")
-        rest = rest.select("bucket", "block.i", "block.j", "own", "class", "n", "root", "signature")
-        rest = rest.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        values, limits, percent = self.values, self.limits, self.percent
-        columns = ("bucket", "i", "j", "own", "class", "n", "root")
-
-        def solve(rows: np.ndarray, signature: np.ndarray) -> list[np.ndarray]:
-            own, name, n, root = rows[:, 3], rows[:, 4], rows[:, 5], rows[:, 6]
-            left, right = np.triu_indices(len(rows), 1)
-            if rows[0, 1] != rows[0, 2]:
-                apart = own[left] != own[right]
-                left, right = left[apart], right[apart]
-            fits = (root[left] != root[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right]))
+        ends = rows.groupBy("bucket").agg(F.min("class").alias("_x"), F.max("class").alias("_y"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+        rows = rows.join(ends.filter("_low <> _high"), "bucket").filter("class <> _x and class <> _y").drop("_x", "_y", "_low", "_high")
+        per_root = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
+        main = per_root.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("members"))
+        parts = lambda members: F.ceil(members / BLOCK).cast("int")
+        main = main.filter("main.m < members").select("bucket", F.col("main.root").alias("_main"), parts(F.col("members") - F.col("main.m")).alias("rest"),
+                                                      parts(F.col("members")).alias("all"))
+        met = rows.join(main, "bucket").withColumn("h", F.xxhash64("class"))
+        other = F.col("root") != F.col("_main")
+        # As one of the others a member goes to all blocks of its row, as one of all to those of its column.
+        row = F.transform(F.when(other, F.sequence(F.lit(0), F.col("all") - 1)).otherwise(F.array().cast("array<int>")),
+                          lambda k: F.struct(F.lit(0).alias("side"), F.pmod("h", "rest").cast("int").alias("i"), k.alias("j")))
+        column = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda k: F.struct(F.lit(1).alias("side"), k.alias("i"), F.pmod("h", "all").cast("int").alias("j")))
+        dealt = met.select("bucket", "band", "class", "n", "root", other.cast("int").alias("other"), F.explode(F.concat(row, column)).alias("at"))
+        dealt = dealt.join(self.signatures.select("class", "signature"), "class").join(sets, "class")
+        dealt = dealt.select("bucket", "at.i", "at.j", "at.side", "other", "band", "class", "n", "root", "signature", "values")
+        dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+        values, bands, limits, percent = self.values, self.bands, self.limits, self.percent
+        columns = ("bucket", "i", "j", "side", "other", "band", "class", "n", "root")
+
+        def solve(rows: np.ndarray, signature: np.ndarray, packed: list[bytes]) -> list[np.ndarray]:
+            side, other, band, name, n, root = rows[:, 3:].T
+            cut = int(np.searchsorted(side, 1))
+            left, right = np.repeat(np.arange(cut), len(rows) - cut), np.tile(np.arange(cut, len(rows)), cut)
+            # Two of the others meet twice.
+            fits = (other[right] == 0) | (name[left] < name[right])
+            fits &= (root[left] != root[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right]))
             left, right = left[fits], right[fits]
             alive = surviving(signature[left], signature[right], limits)
             left, right = left[alive], right[alive]
-            swap = name[left] > name[right]
-            left, right = np.where(swap, right, left), np.where(swap, left, right)
-            return [name[left], name[right], n[left], n[right]]
+            equal = (signature[left] == signature[right]).reshape(len(left), bands, values // bands).all(axis=2)
+            first = equal.argmax(axis=1) == band[left]
+            left, right = left[first], right[first]
+            common = overlaps(packed, left, right)
+            linked = 100 * common >= percent * (n[left] + n[right] - common)
+            a, b = name[left[linked]], name[right[linked]]
+            return [np.minimum(a, b), np.maximum(a, b)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, marks = np.zeros((0, len(columns)), np.int64), np.zeros((0, values), np.uint16)
+            held, marks, packed = np.zeros((0, len(columns)), np.int64), np.zeros((0, values), np.uint16), []
             for batch in _with_end(batches):
                 if batch is not None:
                     held = np.concatenate([held, np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], axis=1)])
                     marks = np.concatenate([marks, _rows(batch.column("signature"), np.uint16, values)])
+                    packed += batch.column("values").to_pylist()
                 if not len(held):
                     continue
                 new = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(axis=1)) + 1
                 starts = np.concatenate([[0], new])
                 ends = np.append(new, len(held))
                 whole = len(starts) - (batch is not None)
-                found = [solve(held[s:e], marks[s:e]) for s, e in zip(starts[:whole], ends[:whole]) if e - s > 1]
+                found = [solve(held[s:e], marks[s:e], packed[s:e]) for s, e in zip(starts[:whole], ends[:whole]) if e - s > 1]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "na", "nb"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
                 cut = starts[whole] if batch is not None else len(held)
-                held, marks = held[cut:], marks[cut:]
+                held, marks, packed = held[cut:], marks[cut:], packed[cut:]
 
-        return rest.mapInArrow(run, "a long, b long, na long, nb long").distinct()
+        return dealt.mapInArrow(run, "a long, b long").distinct()
 
     def roots(self) -> DataFrame:
         """(node, root) of every class that is linked with another one."""
         lists = self.lists()
         sets = self.sets(lists)
-        done, links, roots = None, None, None
-        for step in ("best", "pivots", "blocks"):
-            if step == "blocks":
-                pairs = self.in_blocks(lists, roots)
-            else:
-                pairs = stored(self.with_pivots(lists, roots, step == "best"))
-            if done is not None:
-                pairs = pairs.join(done, ["a", "b"], "left_anti")
-            found = stored(self.verified(pairs if step == "blocks" else self.pruned(pairs), sets))
-            if step != "blocks":
-                done = pairs.select("a", "b") if done is None else done.union(pairs.select("a", "b"))
-            links = found if links is None else links.union(found)
-            roots = connected_components(links, "a", "b")
-        return roots
+        best = stored(self.with_pivots(lists, None, True))
+        links = stored(self.verified(self.pruned(best), sets))
+        # Two steps along the links name enough of the components to skip most further pairs.
+        step = links.groupBy("b").agg(F.min("a").alias("a"))
+        step = stored(step.alias("p").join(step.alias("q"), F.col("p.a") == F.col("q.b"), "left").select(
+            F.col("p.b").alias("node"), F.coalesce("q.a", "p.a").alias("root")))
+        pairs = self.with_pivots(lists, step, False).join(best, ["a", "b"], "left_anti")
+        links = links.union(stored(self.verified(self.pruned(pairs), sets)))
+        roots = connected_components(links, "a", "b")
+        further = stored(self.in_blocks(lists, roots, sets))
+        for c in ("a", "b"):
+            ends = roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+            further = further.join(ends, c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
+        # Few components are joined late, so only these go through another contraction.
+        joined = connected_components(further.select("_a", "_b"), "_a", "_b").select(F.col("node").alias("root"), F.col("root").alias("_joined"))
+        known = roots.unionByName(joined.select(F.col("root").alias("node"), "root").join(roots, "node", "left_anti"))
+        return known.join(joined, "root", "left").select("node", F.coalesce("_joined", "root").alias("root"))
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

@@ -130,12 +130,14 @@ class FitList:
             total = np.zeros((height, width))
             for x in _unpacked(batches, size):
                 total += value((x - base).astype(np.float64) - rest)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["cell", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
-        sums = self.blocks.mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
-        out = np.zeros(height * width)
-        out[sums["cell"].to_numpy()] = sums["value"].to_numpy()
-        return out.reshape(height, width)
+        def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return a + b
+
+        # One matrix a task; with many tasks they are added up in rounds before the driver sees them.
+        parts = self.blocks.mapInArrow(run, "total binary").rdd.map(lambda r: np.frombuffer(r["total"]))
+        return parts.treeReduce(add).reshape(height, width)
 
     def times(self, q: np.ndarray) -> np.ndarray:
         """Covariance times a thin block: one pass."""
@@ -193,7 +195,7 @@ class Spectrum:
     passes: int
 
 
-def leading_eigenvectors(times, size: int, wanted: int, *, guard: int = 16, steps: int = 10, tolerance: float = 5e-14, rounds: int = 60, seed: int = 1) -> Spectrum:
+def leading_eigenvectors(times, size: int, wanted: int, *, guard: int = 32, steps: int = 10, tolerance: float = 5e-14, rounds: int = 60, seed: int = 1) -> Spectrum:
     """Leading eigenpairs of a positive semidefinite matrix that is known by its products with thin blocks.
 
     ``tolerance`` bounds the residual of each pair, relative to the largest eigenvalue.
@@ -251,6 +253,11 @@ def leading_eigenvectors(times, size: int, wanted: int, *, guard: int = 16, step
     return Spectrum(values[:wanted], q[:, :wanted], residual, passes)
 
 
+def _moments(white: np.ndarray) -> np.ndarray:
+    """Cross products of whitened rows, and their sums in a last row."""
+    return np.concatenate([white.T @ white, white.sum(axis=0)[None]])
+
+
 def whiten(embeddings: DataFrame, *, key: str = "vec_id", vector: str = "embedding", components: int = 16, **settings: float) -> DataFrame:
     """Per remaining row and component: key, component, n, deviation, whitened, explained and identity_error."""
     rows, size = _usable(embeddings.select(F.col(key).alias("key"), F.col(vector).alias("v")))
@@ -265,8 +272,8 @@ def whiten(embeddings: DataFrame, *, key: str = "vec_id", vector: str = "embeddi
     values, scaled = found.values[:k], found.vectors[:, :k] / np.sqrt(found.values[:k])
     error = 0.0
     if k:
-        mean = fit.summed(k, 1, lambda z: (z @ scaled).sum(axis=0)[None]) / fit.n
-        spread = fit.summed(k, k, lambda z: (z @ scaled - mean).T @ (z @ scaled - mean)) / fit.n
+        moments = fit.summed(k, k + 1, lambda z: _moments(z @ scaled)) / fit.n
+        spread = moments[:k] - np.outer(moments[k], moments[k])
         error = float(np.abs(spread - np.eye(k)).max())
     n, sums, base, rest = fit.n, fit.sums, fit.base, fit.rest
 

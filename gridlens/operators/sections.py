@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridlens.functions import fragments
 from gridlens.functions import text as X
 from gridlens.functions.roles import (
     GUIDANCE, NUMBERED_CHANGE_HEADING, OPTION_ATTRIBUTE, ROLES, START_TAG, heading, option_in, decision_in, labels_of,
@@ -132,8 +133,15 @@ def _laid_out(marked: pd.Series) -> pd.DataFrame:
 
 
 def normalized_choices(choices: Column) -> Column:
-    """Normalised choice texts; all texts of a question are folded in one go, since folding may need Python."""
-    joined = F.array_join(F.transform(choices, lambda c: F.regexp_replace(c["text"], r"\s+", " ")), "\n")
+    """Normalised choice texts; all texts of a question are folded in one go, since folding may need Python.
+
+    Another choice's label in brackets at the end of a text is a trace of an export and goes.
+    """
+    def own(c: Column) -> Column:
+        last = F.regexp_extract(c["text"], r"\(([A-Z])\)\s*$", 1)
+        return F.when((last != "") & (last != c["label"]), F.regexp_replace(c["text"], r"\s*\([A-Z]\)\s*$", "")).otherwise(c["text"])
+
+    joined = F.array_join(F.transform(choices, lambda c: F.regexp_replace(own(c), r"\s+", " ")), "\n")
     folded = F.split(F.regexp_replace(X.folded(joined), "’", "'"), "\n")
     return F.transform(folded, lambda t: F.trim(F.regexp_replace(F.regexp_replace(
         t, r"(?U)\b(?:option|choice|answer)\s+[a-z]\b", " "), r"[^\p{L}\p{N}]+", " ")))
@@ -148,6 +156,7 @@ def recover(responses: DataFrame, *, content: str = "content", choices: str = "c
     prepared = responses.select(
         "*", X.outer_fence_removed(F.col(content)).alias("document"), labels_of(F.col(choices)).alias("labels"),
         normalized_choices(F.col(choices)).alias("choice_texts"))
+    prepared = prepared.select("*", fragments.profiles(F.col("labels"), F.col("choice_texts")).alias("_profiles"))
     placed = prepared.select("*", _laid_out(_marked(F.col("document"))).alias("layout"))
     plain = placed.select("*", *[X.plain_text(F.col("layout.bodies")[k]).alias(f"_plain{k}") for k in range(_ROLE_COUNT)])
     plain = plain.select("*", *[X.guidance_removed(F.col(f"_plain{k}"), F.lit(GUIDANCE[r])).alias(f"_text{k}")
@@ -158,7 +167,8 @@ def recover(responses: DataFrame, *, content: str = "content", choices: str = "c
     def option(role: str) -> Column:
         k = ROLES.index(role)
         attribute = F.upper(F.regexp_extract(F.col("layout.markers")[k], OPTION_ATTRIBUTE, 1))
-        read = option_in(F.ltrim(F.col("layout.bodies")[k]), F.col(f"_norm_{role}"), F.col("labels"), F.col("choice_texts"))
+        read = option_in(F.ltrim(F.col("layout.bodies")[k]), F.col(f"_norm_{role}"), F.col("labels"), F.col("choice_texts"),
+                         F.col("_profiles"))
         return F.coalesce(F.when(F.array_contains("labels", attribute), attribute), read)
 
     def ascending(n: int) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridlens.functions import fragments
 from gridlens.functions import lexicon as L
 from gridlens.functions import text as X
 from gridlens.operators import facts as facts_ops
@@ -388,3 +389,61 @@ def recovered_sections(spark, folder):
         "cell_id", F.size(F.filter("role_counts", lambda n: n >= 1)).alias("roles"), "ordered",
         F.col("recovered_final_option").alias("final_option"), "decision", F.col("provisional_option").alias("provisional"),
         F.col("second_best_option").alias("alternative"))
+
+
+def _sql_stem(word: str) -> str:
+    return f"""CASE WHEN length({word}) > 6 AND {word} LIKE '%ing' THEN {word}[:-4]
+      WHEN length({word}) > 5 AND {word} LIKE '%ies' THEN {word}[:-4] || 'y'
+      WHEN length({word}) > 5 AND {word} LIKE '%ed' THEN {word}[:-3]
+      WHEN length({word}) > 4 AND {word} LIKE '%s' AND {word} NOT LIKE '%ss' THEN {word}[:-2] ELSE {word} END"""
+
+
+@query("choice_fragments", f"""WITH pairs AS (
+  SELECT u.conv_id || '/' || u.turn AS cell_id, u.conv_id + u.turn AS n, string_split({S.normalized('u.text')}, ' ') AS t
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant'),
+places AS (SELECT cell_id, n, unnest(range(len(t))) AS p, t FROM pairs),
+words AS (SELECT cell_id, n, p, t[p + 1] AS w, p % 4 AS choice, p // 4 AS place FROM places WHERE t[p + 1] <> ''),
+said AS (SELECT DISTINCT cell_id, {_sql_stem('w')} AS w FROM (
+  SELECT cell_id, CASE WHEN length(w) > 3 THEN w || 's' ELSE w END AS w FROM words
+  WHERE (choice = n % 4 AND place % 7 <> 6) OR (choice = (n + 1) % 4 AND place % (2 + n % 3) = 1))),
+stems AS (SELECT DISTINCT cell_id, choice, {_sql_stem('w')} AS w FROM words),
+wording AS (SELECT cell_id, choice, count(s.w) AS said, count(*) AS size FROM stems LEFT JOIN said s USING (cell_id, w)
+  GROUP BY ALL HAVING bool_or(stems.w NOT IN ('n', 'a'))),
+best AS (SELECT a.cell_id, a.choice FROM wording a WHERE 100 * a.said >= 80 * a.size AND NOT EXISTS (
+  SELECT 1 FROM wording b WHERE b.cell_id = a.cell_id AND b.choice <> a.choice
+  AND 100 * (a.said * b.size - b.said * a.size) <= 15 * a.size * b.size)),
+own AS (SELECT cell_id, min(choice) AS choice, w FROM stems GROUP BY cell_id, w HAVING count(*) = 1),
+told AS (SELECT * FROM own WHERE w NOT IN ({S.quoted(fragments.EMPTY_WORDS)}) AND (length(w) >= 3 OR regexp_matches(w, '[0-9]'))),
+counted AS (SELECT cell_id, choice, count(s.w) AS said, count(*) AS size,
+  bool_or(s.w IS NOT NULL AND (length(told.w) >= 8 OR regexp_matches(told.w, '[0-9]'))) AS alone
+  FROM told LEFT JOIN said s USING (cell_id, w) GROUP BY ALL),
+sized AS (SELECT * FROM counted WHERE said >= 2 OR (said = 1 AND size = 1 AND alone)),
+ahead AS (SELECT a.cell_id, a.choice FROM sized a WHERE NOT EXISTS (
+  SELECT 1 FROM sized b WHERE b.cell_id = a.cell_id AND b.choice <> a.choice AND NOT (a.said >= b.said + 2
+  OR (a.said > b.said AND 100 * (a.said * b.size - b.said * a.size) >= 35 * a.size * b.size))))
+SELECT p.cell_id, substr('ABCD', CAST(best.choice + 1 AS BIGINT), 1) AS wording,
+  substr('ABCD', CAST(ahead.choice + 1 AS BIGINT), 1) AS own_words
+FROM pairs p LEFT JOIN best ON best.cell_id = p.cell_id LEFT JOIN ahead ON ahead.cell_id = p.cell_id""")
+def choice_fragments(spark, folder):
+    """Choices that prose without labels is about; it holds most words of one choice, inflected, and some of another."""
+    pairs = turn_pairs(spark, folder).select(
+        F.concat_ws("/", "conv_id", "turn").alias("cell_id"), (F.col("conv_id") + F.col("turn")).alias("n"),
+        F.split(X.normalized(F.col("stem")), " ").alias("t"))
+    letters = F.array(*[F.lit(x) for x in "ABCD"])
+
+    def every_fourth(start):
+        return F.filter("t", lambda _, p: p % 4 == start)
+
+    dealt = pairs.select("cell_id", "n", F.array(*[every_fourth(k) for k in range(4)]).alias("parts"))
+
+    def inflected(words):
+        return F.transform(words, lambda w: F.when(F.length(w) > 3, F.concat(w, F.lit("s"))).otherwise(w))
+
+    first = F.filter(F.get("parts", (F.col("n") % 4).cast("int")), lambda _, p: p % 7 != 6)
+    second = F.filter(F.get("parts", ((F.col("n") + 1) % 4).cast("int")), lambda _, p: p % (F.col("n") % 3 + 2) == 1)
+    choice_texts = F.transform("parts", lambda words: F.array_join(words, " "))
+    read = dealt.select("cell_id", fragments.stems(F.array_join(inflected(F.concat(first, second)), " ")).alias("said"),
+                        fragments.profiles(letters, choice_texts).alias("profiles"))
+    return read.select("cell_id", fragments.by_wording(F.col("said"), F.col("profiles")).alias("wording"),
+                       fragments.by_own_words(F.col("said"), F.col("profiles")).alias("own_words"))

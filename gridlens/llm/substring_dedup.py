@@ -8,12 +8,12 @@ a text mostly share it; they travel as one run with the bytes they cover.
 1. One pass counts buckets; runs of a bucket with one run can hold no repeat and are dropped.  The shared buckets
    reach the next pass as a bit set of fixed size.
 2. Runs with the same bytes form a class.  A class of two runs repeats as a whole.
-3. Buckets with several classes are sorted one at a time, one representative per class: by hashes of a few leading
-   bytes, of ``length`` less the period bytes behind the next cover position, and of the rest.  This
-   groups equal suffixes and is no lexicographic order; no suffix is spelled out and memory stays bounded.  Equal
-   hashes are not compared by bytes.
+3. Buckets with several classes are sorted one at a time (small ones together), one representative per class.  The places of
+   a difference cover are ranked in byte order by prefix doubling; a suffix is sorted by the bytes before the next
+   such place and the rank there, so no suffix is spelled out and memory stays bounded.  Neighbours in this order are
+   compared by bytes.
    The buckets' texts are laid out so that slots agree modulo the cover's period, which makes the distance to the
-   next sampled position the same for all suffixes that can be equal.
+   next sampled place the same for all suffixes that can be equal.
    A bucket with very many classes goes to no task as a whole: its suffixes become rows (bucket, slot, hashes of both
    halves), equal ones are found by an aggregate that combines on the map side, and only repeated keys are joined back.
 4. Repeats go back to their texts as byte ranges and are cut out.
@@ -149,25 +149,64 @@ def _runs(rows: DataFrame, length: int, shared: bytes) -> DataFrame:
     return rows.select("uid", "text").mapInArrow(run, schema)
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a big-endian word; fewer are left near the end."""
+    words = np.zeros(len(data), np.uint64)
+    for i in range(8):
+        words[:len(data) - i] |= data[i:].astype(np.uint64) << np.uint64(56 - 8 * i)
+    return words
+
+
+def _leading(words: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """The first ``size`` bytes, up to eight, at each place."""
+    spare = np.uint64(8) * (np.uint64(8) - np.asarray(size, np.uint64))
+    found = words[np.minimum(at, len(words) - 1)]
+    return np.where(spare < 64, found >> np.minimum(spare, np.uint64(63)), np.uint64(0))
+
+
+def _ranked(keys: list[np.ndarray]) -> np.ndarray:
+    """Dense ranks from 1 by keys, the first one counts most."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for key in keys:
+        new[1:] |= key[order[1:]] != key[order[:-1]]
+    ranks = np.empty(len(order), np.int64)
+    ranks[order] = np.cumsum(new) + 1
+    return ranks
+
+
+def cover_ranks(words: np.ndarray, sampled: np.ndarray, period: int, depth: int) -> np.ndarray:
+    """Ranks of the suffixes at the sampled places, in byte order of ``depth`` bytes or more, by prefix doubling.
+
+    ``sampled`` ascends and holds with a place the one a period later, up to the end of the data.
+    """
+    ranks = _ranked([_leading(words, sampled + k, min(8, period - k)) for k in range(0, period, 8)])
+    reach = period
+    while reach < depth and len(sampled):
+        place = np.minimum(np.searchsorted(sampled, sampled + reach), len(sampled) - 1)
+        ranks = _ranked([ranks, np.where(sampled[place] == sampled + reach, ranks[place], 0)])
+        reach *= 2
+    return ranks
+
+
 def repeats_in_buckets(buckets: np.ndarray, contents: list[bytes], leads: np.ndarray, length: int) -> list[np.ndarray]:
     """Per run, which of its suffixes agree on ``length`` bytes with one of another run of the same bucket.
 
     Equal suffixes share their slot (distance before the bucket string, counted from the far end).
     """
     period, cover = difference_cover(1 if length >= 200 else 0)
-    depth, reach = length - period, length - length // 2
+    reach = length - length // 2
     sizes = np.array([len(c) for c in contents])
-    # Bucket strings are placed at multiples of the period.
-    gaps = -(leads + np.concatenate([[0], np.cumsum(-(-(sizes + period) // period) * period)[:-1]])) % period
+    # Bucket strings are placed at multiples of the period, so that equal suffixes are as far from the next sampled place.
     base = np.concatenate([[0], np.cumsum(-(-(sizes + period) // period) * period)])
-    begin = base[:-1] + gaps
-    data = np.zeros(base[-1] + period, np.uint8)
+    begin = base[:-1] - (leads + base[:-1]) % period + period
+    data = np.zeros(base[-1] + 2 * period, np.uint8)
     for at, c in zip(begin.tolist(), contents):
         data[at:at + len(c)] = np.frombuffer(c, np.uint8)
-    powers = th.Powers()
-    sums = th.prefix_sums(data, powers)
     residues = np.zeros(period, bool)
     residues[cover % period] = True
+    # The cover leaves half of the period free; further places there keep the next one within a word.
+    residues[int(cover.max())::8] = True
     following = np.array([next(k for k in range(period) if residues[(p + k) % period]) for p in range(period)])
 
     counts = sizes - length + 1
@@ -175,17 +214,21 @@ def repeats_in_buckets(buckets: np.ndarray, contents: list[bytes], leads: np.nda
     index = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     slot, at = reach - leads[owner] + index, begin[owner] + index
     skip = following[at % period]
-    # Numbers of the sampled positions' next ``depth`` bytes, by hash; equal for equal bytes, but in no suffix order.
-    sampled = np.unique(at + skip)
-    _, rank_of = np.unique(th.span_hashes(sums, powers, sampled, sampled + depth), return_inverse=True)
-    rank = rank_of[np.searchsorted(sampled, at + skip)]
-    head = th.span_hashes(sums, powers, at, at + skip)
-    tail = th.span_hashes(sums, powers, at + skip + depth, at + length)
-    order = np.lexsort((tail, rank, head, slot, buckets[owner]))
-    same = np.ones(max(len(order) - 1, 0), bool)
-    for column in (tail, rank, head, slot, buckets[owner]):
-        sorted_column = column[order]
-        same &= sorted_column[1:] == sorted_column[:-1]
+    sampled = np.flatnonzero(residues[np.arange(len(data)) % period])
+    words = _words(data)
+    rank = cover_ranks(words, sampled, period, length)[np.searchsorted(sampled, at + skip)]
+    # Suffixes of a bucket and slot in byte order: the bytes before the sampled place, then its rank.
+    group = np.unique(buckets, return_inverse=True)[1][owner] * (2 * length) + slot
+    order = np.lexsort([rank, _leading(words, at, skip), group])
+    upper, lower = order[:-1], order[1:]
+    near = np.flatnonzero(group[upper] == group[lower])
+    same = np.zeros(max(len(order) - 1, 0), bool)
+    text = np.lib.stride_tricks.sliding_window_view(data, length)
+    # Neighbours that differ mostly do so within a few bytes; only the others are compared in full.
+    for part in np.array_split(near, len(near) // 8192 + 1):
+        a, b = at[upper[part]], at[lower[part]]
+        alike = np.flatnonzero((text[a, :16] == text[b, :16]).all(axis=1) & (text[a, -16:] == text[b, -16:]).all(axis=1))
+        same[part[alike]] = (text[a[alike]] == text[b[alike]]).all(axis=1)
     hit = np.zeros(len(order), bool)
     hit[1:] |= same
     hit[:-1] |= same

@@ -9,24 +9,36 @@ from pyspark.sql import functions as F
 
 from gridlens import protocol as P
 from gridlens.functions.keys import hash_key, hash_parity
-from gridlens.operators.distributed import running
+from gridlens.operators.distributed import materialize, running
 
 
-def hash_sample(pool: DataFrame, n: int, seed: str, label: str, item: str) -> DataFrame:
-    """The n items with the smallest hashes."""
-    return pool.orderBy(hash_key(seed, "sample", label, F.col(item)), item).limit(n)
+def exactly(rows: DataFrame, n: int, what: str) -> DataFrame:
+    """The rows, stored, if there are n of them; a pool that is too small is an error and not a shorter sample."""
+    kept = materialize(rows)
+    found = kept.count()
+    if found < n:
+        raise ValueError(f"need {n} {what}, found {found}")
+    return kept
 
 
-def hash_order(frame: DataFrame, item: str, *salt: str) -> DataFrame:
-    return frame.orderBy(hash_key(*salt, F.col(item)), item)
+def hash_sample(pool: DataFrame, n: int, seed: str, label: str, item: str) -> DataFrame:
+    """The n items with the smallest hashes."""
+    return exactly(pool.orderBy(hash_key(seed, "sample", label, F.col(item)), item).limit(n), n, f"{label} cases")
 
 
 def one_per_question(candidates: DataFrame, n: int, version: str, salt: str) -> DataFrame:
-    """One candidate from each of n questions: questions and candidates both in hash order."""
+    """One candidate from each of n questions: questions and candidates both in hash order.
+
+    ``place`` counts the questions in that order.
+    """
     ranked = candidates.withColumn("_hash", hash_key(version, F.col("pair_id"), salt))
     chosen = ranked.groupBy("question_id").agg(F.min(F.struct("_hash", "pair_id")).alias("pick"))
-    kept = chosen.orderBy(hash_key(version, F.col("question_id"), salt, "question"), "question_id").limit(n)
-    return kept.select("question_id", F.col("pick.pair_id").alias("pair_id"))
+    order = hash_key(version, F.col("question_id"), salt, "question")
+    kept = chosen.select("question_id", F.col("pick.pair_id").alias("pair_id"), order.alias("_order"))
+    first = kept.orderBy("_order", "question_id").limit(n)
+    # n rows at most: the window without keys runs over the sample, not over the pool.
+    place = F.row_number().over(Window.orderBy("_order", "question_id"))
+    return exactly(first.select("question_id", "pair_id", place.alias("place")), n, f"questions for {salt}")
 
 
 def assign_sides(items: DataFrame, stratum: str, order: Column) -> DataFrame:
@@ -44,20 +56,45 @@ def assign_sides(items: DataFrame, stratum: str, order: Column) -> DataFrame:
     )
 
 
-def proportional_quota(counts: DataFrame, n: int, key: str, tie: Column) -> DataFrame:
+def proportional_quota(counts: DataFrame, n: int | Column, key: str, tie: Column, *, capacity: str | None = None,
+                       spare_tie: Column | None = None) -> DataFrame:
     """Largest-remainder allocation of n draws to groups in proportion to their counts.
 
-    ``counts`` is an aggregate with one row per pattern.  With n no larger than the total, a rounded-up share never
-    exceeds its group: only fractional shares are rounded up, and each lies below its count.
+    ``counts`` is an aggregate with one row per pattern.  Where ``capacity`` names a column, no group gets more than
+    that; what is cut goes, draw by draw, to the group with most room left (ties by ``spare_tie``).  Giving draws to
+    the roomiest group lowers the rooms from the top like water: the level is found among the sorted rooms, so no
+    draw is dealt singly.  More draws than all groups hold are an error.
     """
     whole = Window.partitionBy(F.lit(True))
-    exact = F.lit(float(n)) * F.col("count") / F.sum("count").over(whole)
-    based = counts.withColumn("_exact", exact).withColumn("_base", F.floor("_exact"))
+    draws = n if isinstance(n, Column) else F.lit(n)
+    exact = draws.cast("double") * F.col("count") / F.sum("count").over(whole)
+    based = counts.withColumn("_exact", exact).withColumn("_base", F.floor("_exact")).withColumn("_n", draws.cast("bigint"))
     order = whole.orderBy((F.col("_exact") - F.col("_base")).desc(), F.col("count").desc(), tie, F.col(key))
     ranked = based.withColumn("_rank", F.row_number().over(order)).withColumn(
-        "_left", F.lit(n) - F.sum("_base").over(whole))
-    wanted = F.col("_base") + F.when(F.col("_rank") <= F.col("_left"), 1).otherwise(0)
-    return ranked.select(*counts.columns, wanted.cast("bigint").alias("quota"))
+        "_left", F.col("_n") - F.sum("_base").over(whole))
+    wanted = (F.col("_base") + F.when(F.col("_rank") <= F.col("_left"), 1).otherwise(0)).cast("bigint")
+    room = F.col(capacity if capacity else "count")
+    kept = ranked.withColumn("_given", F.least(wanted, room)).withColumn("_room", room - F.col("_given"))
+    kept = kept.withColumn("_excess", F.sum(wanted - F.col("_given")).over(whole))
+    falling = whole.orderBy(F.col("_room").desc(), F.col(key))
+    kept = kept.withColumn("_place", F.row_number().over(falling)).withColumn(
+        "_above", F.sum("_room").over(falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # Groups down to this place are lowered when their rooms above the group's own sum up to no more than the excess.
+    lowered = F.col("_above") - F.col("_place") * F.col("_room") <= F.col("_excess")
+    level = F.when(lowered, F.struct("_place", F.greatest(
+        F.lit(0), F.ceil((F.col("_above") - F.col("_excess")) / F.col("_place"))).alias("level")))
+    kept = kept.withColumn("_level", F.max(level).over(whole)["level"])
+    kept = kept.withColumn("_taken", F.greatest(F.lit(0), F.col("_room") - F.col("_level")))
+    kept = kept.withColumn("_rest", F.col("_excess") - F.sum("_taken").over(whole))
+    full = kept.withColumn("_open", (F.col("_room") >= F.col("_level")) & (F.col("_level") > 0))
+    turn = F.row_number().over(whole.orderBy(F.col("_open").desc(), tie if spare_tie is None else spare_tie, F.col(key)))
+    one = F.when(F.col("_open") & (turn <= F.col("_rest")), 1).otherwise(0)
+    quota = (F.col("_given") + F.col("_taken") + one).cast("bigint")
+    done = full.withColumn("quota", quota)
+    short = F.sum("quota").over(whole) < F.col("_n")
+    checked = done.withColumn("quota", F.when(short, F.raise_error(F.lit("more draws than the groups hold"))).otherwise(
+        F.col("quota")).cast("bigint"))
+    return checked.select(*counts.columns, "quota")
 
 
 def quota_sample(pool: DataFrame, quotas: DataFrame, key: str, order: Column, largest: int) -> DataFrame:
@@ -119,42 +156,108 @@ def fair_dequeue(cells: DataFrame, group: str, order: str) -> DataFrame:
 
 
 def balanced_pick(candidates: DataFrame, n: int, seed: str, *, hinted: str = "hinted",
-                  balance: Sequence[str] = ("model_id", "dataset", "condition_id")) -> DataFrame:
+                  balance: Sequence[str] = ("model_id", "dataset", "condition_id"), strata_limit: int = 10_000) -> DataFrame:
     """Greedy pick of n cells from different questions that keeps models, datasets and conditions even.
 
     Each step takes the cell whose model, dataset and condition were picked least, hinted cells first, then by hash.
     A cell of one model, dataset and condition only competes with the n smallest hashes of that design stratum,
-    because n picks use up at most n questions; Spark keeps those, and the greedy walk runs over that bounded table.
+    because n picks use up at most n questions.  Spark keeps those per map task before they meet, and one task walks
+    over that table of at most n rows per stratum; more than ``strata_limit`` strata and fewer than n questions are
+    errors.
     """
     strata = [*balance, hinted]
     keyed = candidates.withColumn("_hash", hash_key(seed, F.col("cell_id")))
     window = Window.partitionBy(*strata).orderBy("_hash", "cell_id")
-    short = keyed.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= n).select(
-        "cell_id", "question_id", *strata, "_hash")
-    pools: dict[tuple, list] = {}
-    for row in sorted(short.collect(), key=lambda r: r["_hash"]):  # at most n rows per design stratum
-        pools.setdefault(tuple(row[s] for s in strata), []).append(row)
-    counts: list[dict] = [{} for _ in balance]
-    used: set = set()
-    picked = []
-    while len(picked) < n:
-        best = None
-        for stratum, rows in pools.items():
-            while rows and rows[0]["question_id"] in used:
-                rows.pop(0)
-            if rows:
-                key = (*(c.get(v, 0) for c, v in zip(counts, stratum)), 0 if stratum[-1] else 1, rows[0]["_hash"])
-                best = min(best, (key, stratum)) if best else (key, stratum)
-        if best is None:
-            break
-        row = pools[best[1]].pop(0)
-        used.add(row["question_id"])
-        for count, value in zip(counts, best[1]):
-            count[value] = count.get(value, 0) + 1
-        picked.append((len(picked) + 1, row["cell_id"], row["question_id"], *best[1]))
+    short = materialize(keyed.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= n).select(
+        "cell_id", "question_id", *strata, "_hash"))
+    if short.count() > n * strata_limit:
+        raise ValueError(f"more than {strata_limit} design strata")
     names = ["pick", "cell_id", "question_id", *strata]
+
+    def walk(rows):
+        import pandas as pd
+
+        pools: dict[tuple, list] = {}
+        for row in rows.sort_values(["_hash", "cell_id"]).to_dict("records"):
+            pools.setdefault(tuple(row[s] for s in strata), []).append(row)
+        for queue in pools.values():
+            queue.reverse()
+        counts: list[dict] = [{} for _ in balance]
+        used: set = set()
+        picked = []
+        while len(picked) < n:
+            best = None
+            for stratum, queue in pools.items():
+                while queue and queue[-1]["question_id"] in used:
+                    queue.pop()
+                if queue:
+                    key = (*(c.get(v, 0) for c, v in zip(counts, stratum)), 0 if stratum[-1] else 1, queue[-1]["_hash"])
+                    best = min(best, (key, stratum)) if best else (key, stratum)
+            if best is None:
+                break
+            row = pools[best[1]].pop()
+            used.add(row["question_id"])
+            for count, value in zip(counts, best[1]):
+                count[value] = count.get(value, 0) + 1
+            picked.append((len(picked) + 1, *(row[c] for c in names[1:])))
+        return pd.DataFrame(picked, columns=names)
+
     fields = [candidates.schema[c].simpleString().replace(":", " ", 1) for c in names[1:]]
-    return candidates.sparkSession.createDataFrame(picked, "pick int, " + ", ".join(fields))
+    one = short.groupBy(F.lit(True).alias("_all"))
+    return exactly(one.applyInPandas(walk, "pick int, " + ", ".join(fields)), n, "questions to pick from")
+
+
+def _dealt(rows: DataFrame, roles: Sequence[str], per_role: int) -> DataFrame:
+    """Deal pairs, in their places, to roles in rotation: each goes to the next role that takes it and has room.
+
+    ``rows`` (place, pair_id, question_id, flags) is a sample of known size and is folded in one row.
+    """
+    size = len(roles)
+    ordered = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct("place", "pair_id", "question_id", "flags"))).alias("rows"))
+    state = "struct<cursor:int,counts:array<int>,out:array<struct<place:int,role:int,pair_id:string,question_id:string>>>"
+    start = F.struct(F.lit(0).alias("cursor"), F.array_repeat(F.lit(0), size).alias("counts"), F.array().alias("out")).cast(state)
+    turns = F.sequence(F.lit(0), F.lit(size - 1))
+
+    def step(now: Column, row: Column) -> Column:
+        free = F.filter(F.transform(turns, lambda t: (now["cursor"] + t) % size),
+                        lambda r: row["flags"][r] & (now["counts"][r] < per_role))
+        role = F.get(free, F.lit(0))
+        return F.struct(
+            F.coalesce((role + 1) % size, now["cursor"]).alias("cursor"),
+            F.transform(now["counts"], lambda c, i: c + F.when(i == role, 1).otherwise(0)).alias("counts"),
+            F.concat(now["out"], F.array(F.struct(row["place"].alias("place"), role.alias("role"), row["pair_id"].alias("pair_id"),
+                                                  row["question_id"].alias("question_id")))).alias("out")).cast(state)
+
+    return ordered.select(F.explode(F.aggregate("rows", start, step)["out"]).alias("t")).select("t.*")
+
+
+def _filled(pool: DataFrame, dealt: DataFrame, roles: Sequence[str], per_role: int) -> DataFrame:
+    """Fill roles one after the other with unused pairs in hash order, until each has ``per_role``.
+
+    ``pool`` (role, hash, pair_id, question_id) holds no pair in use.  All roles together take at most
+    ``per_role`` times their number, so that many smallest hashes of a role decide; those are folded in one row.
+    """
+    size = len(roles)
+    window = Window.partitionBy("role").orderBy("hash", "pair_id")
+    near = pool.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= per_role * size)
+    rows = near.groupBy().agg(F.array_sort(F.collect_list(F.struct("role", "hash", "pair_id", "question_id"))).alias("rows"))
+    given = dealt.groupBy().agg(F.collect_list("role").alias("given"))
+    state = "struct<counts:array<int>,used:array<string>,out:array<struct<role:int,pair_id:string,question_id:string>>>"
+
+    def step(now: Column, row: Column) -> Column:
+        taken = (now["counts"][row["role"]] < per_role) & ~F.array_contains(now["used"], row["pair_id"])
+        task = F.struct(row["role"].alias("role"), row["pair_id"].alias("pair_id"), row["question_id"].alias("question_id"))
+        return F.when(taken, F.struct(
+            F.transform(now["counts"], lambda c, i: c + F.when(i == row["role"], 1).otherwise(0)).alias("counts"),
+            F.concat(now["used"], F.array(row["pair_id"])).alias("used"),
+            F.concat(now["out"], F.array(task)).alias("out")).cast(state)).otherwise(now)
+
+    every = F.array(*[F.lit(r) for r in range(size)])
+    counts = F.transform(every, lambda r: F.size(F.filter("given", lambda g: g == r)))
+    start = F.struct(counts.alias("counts"), F.array().alias("used"), F.array().alias("out")).cast(state)
+    # Both sides are aggregates of one row.
+    both = rows.withColumn("_one", F.lit(1)).join(given.withColumn("_one", F.lit(1)), "_one")
+    return both.select(F.explode(F.aggregate("rows", start, step)["out"]).alias("t")).select("t.*")
 
 
 def audit_tasks(pairs: DataFrame, version: str, roles: Sequence[str], *, lexical: str = "lexical_eligible",
@@ -162,60 +265,39 @@ def audit_tasks(pairs: DataFrame, version: str, roles: Sequence[str], *, lexical
     """Blinded rating tasks: lexical pairs from distinct questions, then an equal number for every role.
 
     ``roles`` are boolean eligibility columns.  The pairs of the further questions are dealt to roles in rotation; a
-    role is then filled by hash from the pairs of all chosen questions that are still unused.  No pair is used twice,
-    so the ``per_role`` + number-of-tasks smallest hashes of a role decide, and only those leave Spark.
+    role is then filled by hash from the pairs of all chosen questions that are still unused.  No pair is used twice.
+    Only samples whose size the parameters fix are ordered as a whole.  With fewer than ``question_count`` questions
+    there is no audit and no task; a pool that runs short otherwise is an error.
     Result: task, role, pair_id, question_id, treatment_response, display_order.
     """
-    lexical_rows = one_per_question(pairs.filter(F.col(lexical)), lexical_count, version, "lexical").collect()
-    if len(lexical_rows) < lexical_count:
-        raise ValueError(f"need {lexical_count} questions with an eligible lexical pair, found {len(lexical_rows)}")
-    any_role = F.lit(False)
-    for role in roles:
-        any_role = any_role | F.col(role)
-    chosen = pairs.sparkSession.createDataFrame([(r["question_id"],) for r in lexical_rows], "question_id string")
-    rest = pairs.filter(any_role).join(chosen, "question_id", "left_anti")
+    flags = F.array(*[F.coalesce(F.col(r), F.lit(False)) for r in roles])
+    base = materialize(pairs.select("pair_id", "question_id", F.coalesce(F.col(lexical), F.lit(False)).alias("lexical"),
+                                    flags.alias("flags")))
+    tasks = "task string, role string, pair_id string, question_id string, treatment_response string, display_order int"
+    if base.select("question_id").distinct().count() < question_count:
+        return pairs.sparkSession.createDataFrame([], tasks)
+    first = one_per_question(base.filter("lexical"), lexical_count, version, "lexical")
+    rest = base.filter(F.exists("flags", lambda f: f)).join(first.select("question_id"), "question_id", "left_anti")
     extra = one_per_question(rest, question_count - lexical_count, version, "role-question-coverage")
-    flags = extra.join(pairs.select("pair_id", *roles), "pair_id")
-    order = hash_key(version, F.col("question_id"), "role-question-coverage", "question")
-    extra_rows = flags.orderBy(order, "question_id").collect()  # question_count - lexical_count rows at most
-    dealt: dict[str, list] = {role: [] for role in roles}
-    cursor = 0
-    for row in extra_rows:
-        for step in range(len(roles)):
-            role = roles[(cursor + step) % len(roles)]
-            if len(dealt[role]) < per_role and row[role]:
-                dealt[role].append((row["pair_id"], row["question_id"]))
-                cursor = roles.index(role) + 1
-                break
-    used = {r["pair_id"] for r in lexical_rows} | {r["pair_id"] for r in extra_rows}
-    questions = pairs.sparkSession.createDataFrame(
-        [(r["question_id"],) for r in (*lexical_rows, *extra_rows)], "question_id string")
-    pool = pairs.join(questions, "question_id", "left_semi")
-    bound = lexical_count + question_count + per_role * len(roles)
-    by_role = pool.select("pair_id", "question_id", F.explode(F.array_compact(F.array(*[
-        F.when(F.col(r), F.lit(r)) for r in roles]))).alias("role"))
-    hashed = by_role.withColumn("_hash", hash_key(version, F.col("pair_id"), F.concat(F.lit("role-fill:"), F.col("role"))))
-    window = Window.partitionBy("role").orderBy("_hash")
-    ranked = hashed.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= bound)
-    fill: dict[str, list] = {role: [] for role in roles}
-    for row in sorted(ranked.collect(), key=lambda r: r["_rank"]):  # bound rows per role at most
-        fill[row["role"]].append(row)
-    for role in roles:
-        for row in fill[role]:
-            if len(dealt[role]) >= per_role:
-                break
-            if row["pair_id"] not in used:
-                used.add(row["pair_id"])
-                dealt[role].append((row["pair_id"], row["question_id"]))
-        if len(dealt[role]) < per_role:
-            raise ValueError(f"not enough unused pairs for {role}")
-    tasks = [("lexical", None, r["pair_id"], r["question_id"]) for r in lexical_rows]
-    tasks += [("role", role, *item) for role in roles for item in dealt[role]]
-    frame = pairs.sparkSession.createDataFrame(tasks, "task string, role string, pair_id string, question_id string")
-    side = hash_parity(hash_key(version, F.col("pair_id"), F.coalesce("role", F.lit("lexical")), "side"))
-    ordered = Window.partitionBy(F.lit(True)).orderBy(hash_key(version, F.col("pair_id"), F.coalesce("role", F.lit("lexical")), "display"))
-    return frame.withColumn("treatment_response", F.when(side == 0, "A").otherwise("B")).withColumn(
-        "display_order", F.row_number().over(ordered))
+    dealt = materialize(_dealt(extra.join(base.select("pair_id", "flags"), "pair_id"), roles, per_role))
+    if dealt.filter("role is null").count():
+        raise ValueError("no role with room for a further question")
+    chosen = first.unionByName(extra)
+    pool = base.join(chosen.select("question_id"), "question_id", "left_semi").join(
+        chosen.select("pair_id"), "pair_id", "left_anti")
+    names = F.array(*[F.lit(r) for r in roles])
+    by_role = pool.select("pair_id", "question_id", F.posexplode("flags").alias("role", "fits")).filter("fits").select(
+        "role", hash_key(version, F.col("pair_id"), F.concat(F.lit("role-fill:"), names[F.col("role")])).alias("hash"),
+        "pair_id", "question_id")
+    filled = dealt.select("role", "pair_id", "question_id").unionByName(_filled(by_role, dealt, roles, per_role))
+    filled = exactly(filled, per_role * len(roles), "role tasks with unused pairs")
+    named = first.select(F.lit("lexical").alias("task"), F.lit(None).cast("string").alias("role"), "pair_id", "question_id").unionByName(
+        filled.select(F.lit("role").alias("task"), names[F.col("role")].alias("role"), "pair_id", "question_id"))
+    kind = F.coalesce("role", F.lit("lexical"))
+    side = hash_parity(hash_key(version, F.col("pair_id"), kind, "side"))
+    shown = Window.partitionBy(F.lit(True)).orderBy(hash_key(version, F.col("pair_id"), kind, "display"))
+    return named.withColumn("treatment_response", F.when(side == 0, "A").otherwise("B")).withColumn(
+        "display_order", F.row_number().over(shown))
 
 
 def preference_order(discovered: Column, preferred: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlens import protocol as P
+from gridlens.functions.roles import ROLES
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,10 +25,10 @@ def texts(spark: SparkSession, folder: str, name: str = "documents", key: str =
     return spread(table(spark, folder, name), key)
 
 
-def grid_cells(spark: SparkSession, folder: str) -> DataFrame:
+def grid_cells(spark: SparkSession, folder: str, parts: int = 8) -> DataFrame:
     """Cells from line items: eight parts form a question, the supplier picks the model, the order the condition."""
     items = table(spark, folder, "lineitem").select(
-        F.expr("l_partkey div 8").alias("question"),
+        F.expr(f"l_partkey div {parts}").alias("question"),
         (F.col("l_suppkey") % 7).cast("int").alias("model_ord"),
         (F.col("l_orderkey") % 8).cast("int").alias("condition_ord"),
         "l_returnflag", "l_discount", "l_quantity", "l_tax",
@@ -113,6 +114,20 @@ cells AS (
   FROM cells1)"""
 
 
+def role_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells with one part per question and a completion score of every role; a failed cell completes none."""
+    zero, done = F.col("condition_id") == "zero", F.col("generation_usable")
+    scores = [F.when(zero, None).when(done, (F.col("output_tokens") % (k + 2) != 0).cast("double")).otherwise(0.0).alias(f"role_{r}")
+              for k, r in enumerate(ROLES)]
+    return grid_cells(spark, folder, parts=1).select("*", *scores)
+
+
+ROLE_CELLS_SQL = CELLS_SQL.replace("l_partkey // 8", "l_partkey") + """,
+role_cells AS (SELECT *, """ + ", ".join(
+    f"CASE WHEN condition_id = 'zero' THEN NULL WHEN generation_usable THEN (output_tokens % {k + 2} <> 0)::INT ELSE 0 END AS role_{r}"
+    for k, r in enumerate(ROLES)) + " FROM cells)"
+
+
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
     """Attempt ledger from the event table."""
     return attempts_of(table(spark, folder, "events"))

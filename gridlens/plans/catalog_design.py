@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from gridlens import protocol as P
 from gridlens.functions.keys import hash_key
+from gridlens.functions.roles import ROLES
 from gridlens.operators import grid, sampling
-from gridlens.plans.adapters import CELLS_SQL, grid_cells, table
+from gridlens.plans.adapters import CELLS_SQL, ROLE_CELLS_SQL, grid_cells, role_cells, table
 from gridlens.plans.registry import query
 
 MODELS = tuple(f"m{i}" for i in range(7))
@@ -110,14 +111,12 @@ def fk_orphans(spark, folder):
     return grid.orphans(orders, table(spark, folder, "lineitem"), "o_orderkey", "l_orderkey")
 
 
-@query("key_differences", """SELECT k AS nation, 'left' AS side FROM (
-  SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 9000 EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)
-UNION ALL SELECT k, 'right' FROM (
-  SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9900 EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)""")
+@query("key_differences", """SELECT k AS doc_id, 'left' AS side FROM (SELECT doc_id AS k FROM documents EXCEPT SELECT doc_id FROM labels)
+UNION ALL SELECT k, 'right' FROM (SELECT doc_id AS k FROM labels EXCEPT SELECT doc_id FROM documents)""")
 def key_differences(spark, folder):
-    left = table(spark, folder, "supplier").filter("s_acctbal > 9000").select(F.col("s_nationkey").alias("nation"))
-    right = table(spark, folder, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("nation"))
-    return grid.key_differences(left, right, "nation")
+    """Documents without a label, and labels without a document."""
+    left, right = (table(spark, folder, name).select("doc_id") for name in ("documents", "labels"))
+    return grid.key_differences(left, right, "doc_id")
 
 
 _PAIR_ROWS = "\nUNION ALL\n".join(
@@ -196,7 +195,7 @@ p AS (SELECT question_id, arg_min(pair_id, sha256('{AUDIT}' || chr(0) || pair_id
 SELECT question_id, pair_id FROM p
 ORDER BY sha256('{AUDIT}' || chr(0) || question_id || chr(0) || 'lexical' || chr(0) || 'question') LIMIT 20""")
 def one_per_question(spark, folder):
-    return sampling.one_per_question(judged_pairs(spark, folder), 20, AUDIT, "lexical")
+    return sampling.one_per_question(judged_pairs(spark, folder), 20, AUDIT, "lexical").select("question_id", "pair_id")
 
 
 _QUOTA_SQL = """counts AS (SELECT o_orderpriority AS pattern, count(*) AS count FROM orders GROUP BY 1),
@@ -233,22 +232,128 @@ def fair_dequeue(spark, folder):
     return sampling.fair_dequeue(table(spark, folder, "events").select("event_id", "event_type"), "event_type", "event_id")
 
 
-@query("balanced_pick")
+_ROOMS_SQL = """counts AS (SELECT c_nationkey AS pattern, count(*) AS count,
+    count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS room FROM customer GROUP BY 1),
+n AS (SELECT sum(room)::BIGINT * 9 // 10 AS n FROM counts),
+exact AS (SELECT *, n::DOUBLE * count / sum(count) OVER () AS e FROM counts, n),
+ranked AS (SELECT *, floor(e) AS b, row_number() OVER (ORDER BY e - floor(e) DESC, count DESC,
+             sha256('seed' || chr(0) || pattern::VARCHAR), pattern) AS k, n - sum(floor(e)) OVER () AS remaining FROM exact),
+wanted AS (SELECT pattern, count, room, (b + CASE WHEN k <= remaining THEN 1 ELSE 0 END)::BIGINT AS w FROM ranked),
+slots AS (SELECT pattern, unnest(range(1, room - w + 1)) AS left_over FROM wanted WHERE room > w),
+extra AS (SELECT pattern FROM slots ORDER BY left_over DESC, sha256('spare' || chr(0) || pattern::VARCHAR)
+          LIMIT (SELECT sum(greatest(w - room, 0)) FROM wanted)),
+given AS (SELECT pattern, count(*) AS g FROM extra GROUP BY 1)"""
+
+
+@query("quota_overflow", f"""WITH {_ROOMS_SQL}
+SELECT pattern, count, room, (least(w, room) + coalesce(g, 0))::BIGINT AS quota FROM wanted LEFT JOIN given USING (pattern)""")
+def quota_overflow(spark, folder):
+    """Draws in proportion to a nation's customers, from one segment only: what a nation lacks goes to the roomiest ones."""
+    counts = table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("pattern")).agg(
+        F.count(F.lit(1)).alias("count"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("room"))
+    name = F.col("pattern").cast("string")
+    return sampling.proportional_quota(counts, F.expr("sum(room) over (partition by true) * 9 div 10"), "pattern",
+                                       hash_key("seed", name), capacity="room", spare_tie=hash_key("spare", name))
+
+
+_PICK = ("model_id", "dataset", "condition_id")
+
+
+@query("balanced_pick", f"""WITH RECURSIVE {ROLE_CELLS_SQL},
+named AS (SELECT concat_ws('/', question_id, model_id, condition_id) AS cell_id, question_id, model_id, dataset, condition_id,
+            output_tokens % 4 = 0 AS hinted FROM role_cells WHERE status = 'completed' AND condition_id <> 'zero'),
+pool AS (SELECT *, sha256('seed' || chr(0) || cell_id) AS h FROM named),
+walk AS (
+  SELECT 0 AS pick, ''::VARCHAR AS cell_id, ''::VARCHAR AS question_id, ''::VARCHAR AS model_id, ''::VARCHAR AS dataset,
+         ''::VARCHAR AS condition_id, false AS hinted, []::VARCHAR[] AS questions, []::VARCHAR[] AS models,
+         []::VARCHAR[] AS datasets, []::VARCHAR[] AS conditions
+  UNION ALL
+  SELECT s.* FROM (SELECT w.pick + 1 AS pick, c.cell_id, c.question_id, c.model_id, c.dataset, c.condition_id, c.hinted,
+      list_append(w.questions, c.question_id) AS questions, list_append(w.models, c.model_id) AS models,
+      list_append(w.datasets, c.dataset) AS datasets, list_append(w.conditions, c.condition_id) AS conditions
+    FROM walk w, pool c WHERE w.pick < 60 AND NOT list_contains(w.questions, c.question_id)
+    ORDER BY len(list_filter(w.models, lambda x: x = c.model_id)), len(list_filter(w.datasets, lambda x: x = c.dataset)),
+             len(list_filter(w.conditions, lambda x: x = c.condition_id)), (NOT c.hinted)::INT, c.h LIMIT 1) s)
+SELECT pick, cell_id, question_id, model_id, dataset, condition_id, hinted FROM walk WHERE pick > 0""")
 def balanced_pick(spark, folder):
     """Sixty completed cells from different questions, even over models, datasets and conditions."""
-    cells = grid_cells(spark, folder).filter("status = 'completed' and condition_id <> 'zero'").select(
-        F.concat_ws("/", "question_id", "model_id", "condition_id").alias("cell_id"), "question_id", "model_id",
-        "dataset", "condition_id", (F.col("output_tokens") % 4 == 0).alias("hinted"))
+    cells = role_cells(spark, folder).filter("status = 'completed' and condition_id <> 'zero'").select(
+        F.concat_ws("/", "question_id", "model_id", "condition_id").alias("cell_id"), "question_id", *_PICK,
+        (F.col("output_tokens") % 4 == 0).alias("hinted"))
     return sampling.balanced_pick(cells, 60, "seed")
 
 
-@query("audit_tasks")
+_SCORES = [f"role_{r}" for r in ROLES]
+_ROLE_PAIRS_SQL = f"""{ROLE_CELLS_SQL},
+pairings AS ({_PAIR_ROWS}),
+role_pairs AS (
+  SELECT c.question_id, c.model_id, control_condition, treatment_condition,
+         substr(sha256('{AUDIT}' || chr(0) || c.question_id || chr(0) || c.model_id || chr(0) || control_condition
+                || chr(0) || treatment_condition), 1, 20) AS pair_id,
+         coalesce(t.recall <> c.recall, false) AS lexical,
+         [{', '.join(f'c.{s}' for s in _SCORES)}] AS control, [{', '.join(f't.{s}' for s in _SCORES)}] AS treatment
+  FROM pairings JOIN role_cells c ON c.condition_id = control_condition
+  JOIN role_cells t ON t.condition_id = treatment_condition AND t.question_id = c.question_id AND t.model_id = c.model_id),
+flagged AS (SELECT *, list_transform(range({len(ROLES)}), lambda i: coalesce(control[i + 1] <> treatment[i + 1], false)) AS flags
+            FROM role_pairs)"""
+
+
+def role_pairs(spark, folder):
+    return sampling.matched_pairs(role_cells(spark, folder), AUDIT, ["recall", *_SCORES])
+
+
+def _fill_sql() -> str:
+    """One step per role: its unused pairs in hash order, as many as it lacks."""
+    steps = []
+    for k, role in enumerate(ROLES):
+        used = " UNION ALL ".join(["SELECT pair_id FROM chosen"] + [f"SELECT pair_id FROM fill{i}" for i in range(k)])
+        steps.append(f"""fill{k} AS MATERIALIZED (SELECT {k} AS role, pair_id, question_id FROM flagged
+  WHERE flags[{k + 1}] AND question_id IN (SELECT question_id FROM chosen) AND pair_id NOT IN ({used})
+  QUALIFY row_number() OVER (ORDER BY sha256('{AUDIT}' || chr(0) || pair_id || chr(0) || 'role-fill:{role}'))
+    <= 15 - (SELECT count(*) FROM deal WHERE role = {k}))""")
+    return ",\n".join(steps)
+
+
+def _per_question_sql(source: str, salt: str, n: int) -> str:
+    return f"""SELECT question_id, pair_id, row_number() OVER (ORDER BY h) AS place FROM (
+  SELECT question_id, arg_min(pair_id, sha256('{AUDIT}' || chr(0) || pair_id || chr(0) || '{salt}')) AS pair_id,
+         sha256('{AUDIT}' || chr(0) || question_id || chr(0) || '{salt}' || chr(0) || 'question') AS h
+  FROM {source} GROUP BY question_id) QUALIFY place <= {n}"""
+
+
+_AUDIT_SQL = f"""WITH RECURSIVE {_ROLE_PAIRS_SQL},
+lexical AS MATERIALIZED ({_per_question_sql("flagged WHERE lexical", "lexical", 79)}),
+free AS (SELECT * FROM flagged WHERE list_contains(flags, true) AND question_id NOT IN (SELECT question_id FROM lexical)),
+extra AS MATERIALIZED ({_per_question_sql("free", "role-question-coverage", 69)}),
+turns AS (SELECT place, pair_id, question_id, flags FROM extra JOIN flagged USING (pair_id, question_id)),
+deal AS (
+  SELECT 0::BIGINT AS place, 0::BIGINT AS cursor, list_transform(range({len(ROLES)}), lambda i: 0::BIGINT) AS counts,
+         NULL::BIGINT AS role, NULL::VARCHAR AS pair_id, NULL::VARCHAR AS question_id
+  UNION ALL
+  SELECT place, (r + 1) % {len(ROLES)}, list_transform(counts, lambda c, i: c + (i - 1 = r)::BIGINT), r, pair_id, question_id
+  FROM (SELECT t.place, d.counts, t.pair_id, t.question_id, list_filter(
+          list_transform(range({len(ROLES)}), lambda o: (d.cursor + o) % {len(ROLES)}),
+          lambda x: t.flags[x + 1] AND d.counts[x + 1] < 15)[1] AS r
+        FROM deal d JOIN turns t ON t.place = d.place + 1)),
+chosen AS MATERIALIZED (SELECT question_id, pair_id FROM lexical UNION ALL SELECT question_id, pair_id FROM extra),
+{_fill_sql()},
+tasks AS (SELECT 'lexical' AS task, NULL::VARCHAR AS role, pair_id, question_id FROM lexical
+  UNION ALL SELECT 'role', [{', '.join(f"'{r}'" for r in ROLES)}][role + 1], pair_id, question_id FROM (
+    SELECT role, pair_id, question_id FROM deal WHERE role IS NOT NULL
+    {' '.join(f'UNION ALL SELECT * FROM fill{k}' for k in range(len(ROLES)))}))
+SELECT *, CASE WHEN ('0x' || substr(sha256('{AUDIT}' || chr(0) || pair_id || chr(0) || coalesce(role, 'lexical') || chr(0)
+         || 'side'), 64, 1))::INT % 2 = 0 THEN 'A' ELSE 'B' END AS treatment_response,
+       row_number() OVER (ORDER BY sha256('{AUDIT}' || chr(0) || pair_id || chr(0) || coalesce(role, 'lexical') || chr(0)
+         || 'display')) AS display_order FROM tasks"""
+
+
+@query("audit_tasks", _AUDIT_SQL)
 def audit_tasks(spark, folder):
-    """A small blinded audit over all pairs of the grid."""
-    flagged = judged_pairs(spark, folder).select(
-        "pair_id", "question_id", (F.col("stratum") != "tie").alias("lexical_eligible"),
-        (F.col("control_recall") > 0).alias("facts"), (F.col("treatment_recall") > 0).alias("implications"))
-    return sampling.audit_tasks(flagged, AUDIT, ["facts", "implications"], lexical_count=8, question_count=14, per_role=5)
+    """The blinded audit over all pairs: 79 lexical tasks, 148 questions, 15 tasks for each of the eight roles."""
+    found = role_pairs(spark, folder)
+    differs = [(F.col(f"control_{s}") != F.col(f"treatment_{s}")).alias(r) for s, r in zip(_SCORES, ROLES)]
+    lexical = (F.col("control_recall") != F.col("treatment_recall")).alias("lexical_eligible")
+    return sampling.audit_tasks(found.select("pair_id", "question_id", lexical, *differs), AUDIT, ROLES)
 
 
 @query("provider_order", """SELECT n_regionkey AS region, list_concat(

@@ -182,6 +182,37 @@ def test_audit_tasks_never_reuse_a_pair(spark):
     assert sorted(t["display_order"] for t in tasks) == list(range(1, 23))
 
 
+def test_quota_overflow_goes_to_the_roomiest_group(spark):
+    rng = random.Random(5)
+    for n in (12, 25, 31):
+        rows = [(f"g{i}", rng.randint(1, 30), rng.randint(0, 9)) for i in range(8)]
+        rows[0] = ("g0", 30, 9)
+        if sum(r[2] for r in rows) < n:
+            continue
+        counts = spark.createDataFrame(rows, "pattern string, count bigint, room bigint")
+        plain = {r["pattern"]: r["quota"] for r in sampling.proportional_quota(counts, n, "pattern", F.col("pattern")).collect()}
+        room = {p: r for p, _, r in rows}
+        excess = sum(max(0, plain[p] - room[p]) for p in plain)
+        expected = {p: min(plain[p], room[p]) for p in plain}
+        for _ in range(excess):
+            best = min((p for p in room if expected[p] < room[p]), key=lambda p: (expected[p] - room[p], p))
+            expected[best] += 1
+        found = sampling.proportional_quota(counts, n, "pattern", F.col("pattern"), capacity="room").collect()
+        assert {r["pattern"]: r["quota"] for r in found} == expected
+    with pytest.raises(Exception, match="more draws than the groups hold"):
+        sampling.proportional_quota(counts, 500, "pattern", F.col("pattern"), capacity="room").collect()
+
+
+def test_short_pools_are_errors(spark):
+    pool = spark.createDataFrame([("p1", "q1"), ("p2", "q1")], "pair_id string, question_id string")
+    with pytest.raises(ValueError, match="found 2"):
+        sampling.hash_sample(pool, 3, "s", "primary", "pair_id")
+    with pytest.raises(ValueError, match="found 1"):
+        sampling.one_per_question(pool, 2, "v", "salt")
+    flagged = pool.select("*", F.lit(True).alias("lexical_eligible"), F.lit(True).alias("a"))
+    assert sampling.audit_tasks(flagged, "v", ["a"]).count() == 0
+
+
 def test_highlighting(spark):
     frame = spark.createDataFrame([("Left ears & <pain>.", ["ear", "pain"])], "t string, w array<string>")
     row = frame.select(X.highlighted(F.col("t"), F.col("w"))).first()

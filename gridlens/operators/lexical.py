@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens.functions import lexicon as L
@@ -289,3 +289,45 @@ def multiset_common(left: DataFrame, right: DataFrame, keys: list[str], count: s
 def multiset_sum(left: DataFrame, right: DataFrame, keys: list[str], count: str) -> DataFrame:
     """Added counts of both sides."""
     return left.unionByName(right).groupBy(*keys).agg(F.sum(count).alias(count)).filter(F.col(count) > 0)
+
+
+def _credit_counts(rows: DataFrame, key: str, tokens: str, name: str) -> DataFrame:
+    """Terms of a response with what abbreviations credit, counted per response."""
+    terms = _with_credit(F.col(tokens), F.col("_stem_tokens"), F.col("_known"))
+    return rows.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias(name))
+
+
+def coverage_spans(rows: DataFrame, frequencies: DataFrame, documents: int, *, key: str, stem: str = "stem",
+                   first: str = "first", second: str = "second", cap: float = L.IDF_CAP) -> DataFrame:
+    """Where a stem is covered by either of two responses, as character spans for display.
+
+    A response gives every term as many credits as it holds the term; they go to the term's places in text order, first
+    those both responses have (``common``), then those only this one has (``unique``).  Stopwords and ``not`` are never
+    marked, so a place depends on its rank among equal terms alone and no text is walked.  ``start`` counts from zero;
+    ``opacity`` grows with the IDF of a unique term.  Result: key, side, start, end, term, kind, opacity.
+    """
+    base = rows.select(key, X.measurement_stem(F.col(stem)).alias("_source"), first, second).select(
+        key, "_source", X.term_tokens(F.col("_source")).alias("_stem_tokens"), expansions(F.col("_source")).alias("_known"),
+        X.term_tokens(F.col(first)).alias("_first"), X.term_tokens(F.col(second)).alias("_second"))
+    surfaces = F.regexp_extract_all("_source", F.lit(L.TOKEN), F.lit(0)).alias("surface")
+    gaps = F.split("_source", L.TOKEN, -1).alias("gap")
+    places = base.select(key, F.posexplode(F.arrays_zip(gaps, surfaces)).alias("place", "part")).filter("part.surface is not null")
+    before = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.length("part.surface")
+    placed = places.select(key, "place", "part.surface", size.alias("_size"),
+                           (F.sum(F.length("part.gap") + size).over(before) - size).alias("start"))
+    term = X.term_tokens(F.col("surface"))
+    shown = placed.withColumn("term", F.when(F.lower("surface") != "not", F.when(F.size(term) == 1, F.get(term, F.lit(0))))
+                              ).filter("term is not null")
+    counts = _credit_counts(base, key, "_first", "_n1").join(_credit_counts(base, key, "_second", "_n2"), [key, "term"], "full")
+    joined = shown.join(counts.fillna(0, ["_n1", "_n2"]), [key, "term"]).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy(key, "term").orderBy("place")))
+    kind = F.when(F.col("_rank") <= F.least("_n1", "_n2"), "common").otherwise("unique")
+    sides = F.array_compact(F.array(*[F.when(F.col("_rank") <= F.col(n), F.struct(F.lit(side).alias("side"), kind.alias("kind")))
+                                      for side, n in (("A", "_n1"), ("B", "_n2"))]))
+    spans = joined.select(key, "term", "start", (F.col("start") + F.col("_size")).alias("end"), F.explode(sides).alias("s"))
+    idf = smooth_idf(F.lit(float(documents)), F.coalesce("df", F.lit(0)), cap)
+    strength = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (idf - 1) / max(1.0, cap - 1)))
+    return spans.join(frequencies.select("term", "df"), "term", "left").select(
+        key, "s.side", "start", "end", "term", "s.kind",
+        F.when(F.col("s.kind") == "unique", F.lit(0.16) + F.lit(0.5) * strength).alias("opacity"))

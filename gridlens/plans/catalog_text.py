@@ -168,6 +168,38 @@ def high_idf_recall(spark, folder):
         F.round("facts_implications_shared_high_idf_recall", 6).alias("shared_high_recall"))
 
 
+_SPANS_SQL = f"""{_TURNS_SQL},
+src AS (SELECT question_id, {S.measurement_stem('stem')} AS source FROM turns),
+parts AS (SELECT question_id, unnest(regexp_extract_all(source, {S.literal(L.TOKEN)})) AS surface,
+            unnest(string_split_regex(source, {S.literal(L.TOKEN)})) AS gap, unnest(range(len(string_split_regex(source, {S.literal(L.TOKEN)})))) AS place
+          FROM src),
+placed AS (SELECT *, sum(length(gap) + coalesce(length(surface), 0)) OVER (PARTITION BY question_id ORDER BY place)
+             - length(surface) AS start, {S.term_tokens('surface')} AS t FROM parts),
+shown AS (SELECT question_id, place, start, start + length(surface) AS stop, t[1] AS term,
+            row_number() OVER (PARTITION BY question_id, t[1] ORDER BY place) AS k
+          FROM placed WHERE surface IS NOT NULL AND len(t) = 1 AND lower(surface) <> 'not'),
+credit AS (SELECT s.*, coalesce(ft.n, 0) AS n1, coalesce(it.n, 0) AS n2 FROM shown s
+           LEFT JOIN ft USING (question_id, term) LEFT JOIN it USING (question_id, term)),
+spans AS (SELECT *, 'A' AS side FROM credit WHERE k <= n1 UNION ALL SELECT *, 'B' FROM credit WHERE k <= n2)"""
+
+
+@query("coverage_spans", f"""WITH {_SPANS_SQL}
+SELECT question_id, side, start::BIGINT AS start, stop::BIGINT AS "end", term,
+       CASE WHEN k <= least(n1, n2) THEN 'common' ELSE 'unique' END AS kind,
+       CASE WHEN k > least(n1, n2) THEN round(0.16 + 0.5 * (least(ln(((SELECT n FROM size) + 1.0) / (coalesce(df, 0) + 1.0)) + 1, 10.0) - 1) / 9, 6) END AS opacity
+FROM spans LEFT JOIN df USING (term)""")
+def coverage_spans(spark, folder):
+    """Character spans of user turns that their reply, the following reply, or both take up."""
+    documents = texts(spark, folder)
+    pairs = materialize(turn_pairs(spark, folder))
+    later = pairs.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("facts").alias("second"))
+    rows = pairs.join(later, ["conv_id", "turn"], "left").select(
+        F.concat_ws("/", "conv_id", "turn").alias("question_id"), "stem", F.col("facts").alias("first"),
+        F.coalesce("second", F.lit("")).alias("second"))
+    spans = lexical.coverage_spans(rows, lexical.document_frequencies(documents, "text"), documents.count(), key="question_id")
+    return spans.withColumn("opacity", F.round("opacity", 6))
+
+
 def _anchor_sql(text: str) -> str:
     tokens = f"list_transform({S.content_tokens(text)}, lambda t: {S.canonical('t')})"
     return f"""(SELECT question_id, unnest(list_concat(t, flatten(list_transform(range(1, len(t) + 1), lambda i: CASE

@@ -68,3 +68,11 @@ def written(frame: DataFrame) -> DataFrame:
 def bind(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def free_name(frame: DataFrame, wanted: str) -> str:
+    """``wanted`` with as many underscores in front as it takes to be no column of the frame (case does not matter)."""
+    taken = {c.lower() for c in frame.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.llm.tables import held_out
+from gridlens.llm.tables import held_out, stored
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
 
@@ -128,7 +128,8 @@ class Scorer:
         self.words = {w: (s, 1.0) for s, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
         self.words |= {q: (QUOTE, 1.0) for q in "\"“”„«»"}
         self.coefficients = np.array(model.coefficients)
-        triggers = {t: (INSULT, w) for t, w in model.stems.items()} | {f"{t}$": (THREAT, w) for t, w in model.threats.items()}
+        # What labels have taught about a word goes before the seed threat it may also be.
+        triggers = {f"{t}$": (THREAT, w) for t, w in model.threats.items()} | {t: (INSULT, w) for t, w in model.stems.items()}
         self.whole = {t[:-1]: v for t, v in triggers.items() if t.endswith("$")}
         self.stems = {t: v for t, v in triggers.items() if not t.endswith("$")}
         self.lengths = sorted({len(t) for t in self.stems})
@@ -218,10 +219,26 @@ def choose_stems(counts: list[tuple[str, int, int]], negatives: int, positives:
             if s.startswith(best.rstrip("$")) and by_stem[s][1] >= 0.99 * n1:
                 best = s
         n0, n1 = by_stem[best]
-        chosen[best] = float(np.clip(math.log((n1 + .5) / (positives + 1)) - math.log((n0 + .5) / (negatives + 1)), 1, 6))
+        chosen[best] = _log_odds(n0, n1, negatives, positives)
     return chosen
 
 
+def _log_odds(n0: int, n1: int, negatives: int, positives: int) -> float:
+    return float(np.clip(math.log((n1 + .5) / (positives + 1)) - math.log((n0 + .5) / (negatives + 1)), 1, 6))
+
+
+def weigh_threats(counts: dict[str, tuple[int, int]], contradicted: set[str], learned: dict[str, float], negatives: int,
+                  positives: int) -> dict[str, float]:
+    """Weights of the threats that are neither contradicted by clean texts nor matched by a learned stem."""
+    kept = {}
+    for word in THREATS:
+        whole = f"{word}$"
+        if whole in contradicted or whole in learned or any(word[:n] in learned for n in STEM_LENGTHS):
+            continue
+        kept[word] = _log_odds(*counts[whole], negatives, positives) if whole in counts else 1.0
+    return kept
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, limits: tuple[int, int], *, key: str = "doc_id",
                     text: str = "text", label: str = "toxic") -> DataFrame:
     """Training rows (text, label): per class those with the smallest hashed ids, never of the held-out fold.
@@ -242,9 +259,11 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = 3000, negative
           candidates: int = 4000, ridge: float = 0.05, **columns: str) -> Model:
     """Learn stems and coefficients from at most ``positives`` + ``negatives`` labelled rows.
 
-    ``evidence`` is the least log-likelihood ratio of a stem; at most ``candidates`` stems reach the driver.
+    ``evidence`` is the least log-likelihood ratio of a stem; at most ``candidates`` stems and the seed words reach the
+    driver.  Seed words at least as common in clean texts leave; a threat that labels prove toxic by itself becomes a
+    learned stem, which needs no target; other threats that occur are weighed by their counts.
     """
-    sample = labelled_sample(docs, labels, (negatives, positives), **columns)
+    sample = stored(labelled_sample(docs, labels, (negatives, positives), **columns))
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     model = Model({f"{w}$": PRIOR_WEIGHT for w in INSULTS}, dict.fromkeys(THREATS, 1.0))
@@ -253,16 +272,18 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = 3000, negative
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
     share = (a + b) / (n0 + n1)
     ratio = 2 * (a * F.log((a + 1e-9) / (n1 * share)) + b * F.log((b + 1e-9) / (n0 * share)))
-    seeds = [f"{w}$" for w in INSULTS]
+    seed = F.col("stem").isin([f"{w}$" for w in (*INSULTS, *THREATS)])
     known = (
         _stem_counts(sample)
         .withColumn("useful", (a / n1 > 10 * b / n0) & (ratio >= evidence))
-        .filter(F.col("useful") | F.col("stem").isin(seeds))
-        .orderBy(F.col("useful").desc(), ratio.desc(), "stem").limit(candidates).collect()
+        .filter(F.col("useful") | seed)
+        .orderBy(seed.desc(), F.col("useful").desc(), ratio.desc(), "stem").limit(candidates + len(INSULTS) + len(THREATS)).collect()
     )
     contradicted = {r["stem"] for r in known if not r["useful"] and r["n0"] / n0 >= r["n1"] / n1}
     model.stems = {s: w for s, w in model.stems.items() if s not in contradicted}
-    model.stems |= choose_stems([(r["stem"], r["n0"], r["n1"]) for r in known if r["useful"]], n0, n1)
+    learned = choose_stems([(r["stem"], r["n0"], r["n1"]) for r in known if r["useful"]], n0, n1)
+    model.stems |= learned
+    model.threats = weigh_threats({r["stem"]: (r["n0"], r["n1"]) for r in known}, contradicted, learned, n0, n1)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -296,10 +317,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, *, ridge: float, s
 
 
 def score_documents(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", threshold: float = 0.5,
-                    carry: bool = False) -> DataFrame:
-    """Key, score and predicted class of every row; with ``carry`` all columns of the row and ``toxicity`` instead."""
+                    carry: bool = False, name: str = "toxicity") -> DataFrame:
+    """Key, score and predicted class of every row; with ``carry`` all columns of the row and the score as ``name`` instead.
+
+    ``name`` must not be a column of the rows that are carried; :func:`gridlens.llm.tables.free_name` finds one.
+    """
     if carry:
-        rows = docs.withColumn("toxicity", F.lit(None).cast("double"))
+        if name in docs.columns:
+            raise ValueError(f"column {name} is already there, choose another name for the score")
+        rows = docs.withColumn(name, F.lit(None).cast("double"))
         kept, schema = docs.columns, rows.schema
     else:
         rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("_text"))
@@ -312,7 +338,7 @@ def score_documents(docs: DataFrame, model: Model, *, key: str = "doc_id", text:
             found = [scorer.features(t.as_py() or "") for t in batch.column(source)]
             scores = scorer.score(np.stack(found)) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(scores, pa.float64())],
-                                             names=[*kept, "toxicity"])
+                                             names=[*kept, name if carry else "toxicity"])
 
     scored = rows.mapInArrow(run, schema)
     if carry:

@@ -8,8 +8,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from gridlens.llm import quality, toxicity
 from gridlens.llm import text_hash as th
+from gridlens.llm.tables import free_name
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -60,6 +62,30 @@ def test_toxicity_held_out(tables):
     assert carried.columns == [*docs.columns, "toxicity"]
 
 
+def test_labels_decide_about_threats(spark):
+    """A threat word that labels prove toxic needs no target, one that clean texts use as often is dropped."""
+    rows = [(i, "please destroy everything now" if i % 2 else "we burn wood and kill time in the garden", i % 2) for i in range(400)]
+    rows += [(1000 + i, "we burn oil, you may hurt them" if i < 6 else "they burn coal", int(i < 6)) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert not {"destroy", "burn", "kill"} & set(model.threats)
+    assert model.threats["hurt"] >= 1.0 and model.threats["matar"] == 1.0
+    scorer = toxicity.Scorer(model)
+    toxic, clean = (scorer.score(scorer.features(t)) for t in ("destroy it", "burn it"))
+    assert toxic >= 0.5 > clean
+
+
+def test_clashing_score_column(spark, tables):
+    docs, known, *_ = tables
+    clash = docs.withColumn("toxicity", F.lit("mine")).withColumn("_uid", F.lit(7))
+    model = toxicity.train(clash, known)
+    with pytest.raises(ValueError, match="already there"):
+        toxicity.score_documents(clash, model, carry=True)
+    name = free_name(clash, "toxicity")
+    kept = toxicity.score_documents(clash, model, carry=True, name=name)
+    assert kept.columns == [*clash.columns, "_toxicity"] and kept.filter("toxicity <> 'mine' or _toxicity is null").count() == 0
+
+
 def test_toxicity_without_labels(spark, tables):
     docs, known, *_ = tables
     model = toxicity.train(docs, known.limit(0))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlens.llm import bpe, decontaminate, ngram_join, substring_dedup, toxicity
-from gridlens.llm.tables import stored, table, written
+from gridlens.llm.tables import free_name, stored, table, written
 
 
 def _uid():
@@ -22,7 +22,8 @@ def _uid():
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half; missing texts stay."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model, carry=True).filter("toxicity < 0.5").select(*docs.columns)
+    score = free_name(docs, "toxicity")
+    return toxicity.score_documents(docs, model, carry=True, name=score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     groups = ngram_join.similarity_groups(docs, carry=True).filter("n_shingles > 0")
     first = groups.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_uid")).alias("first"))
     dropped = stored(groups.join(first, F.col("first._uid") == F.col("_uid"), "left_anti").select("_uid").distinct())
-    return docs.withColumn("_uid", _uid()).join(dropped, "_uid", "left_anti").dropDuplicates(["_uid"]).select(*docs.columns)
+    uid = free_name(docs, "_uid")
+    named = docs.withColumn(uid, _uid()).join(dropped.withColumnRenamed("_uid", uid), uid, "left_anti")
+    return named.dropDuplicates([uid]).select(*docs.columns)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +50,8 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that share no window of ten words, or whole shorter item, with a benchmark item."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), carry=True)
     hit = stored(found.filter("contaminated").select("_uid").distinct())
-    return docs.withColumn("_uid", _uid()).join(hit, "_uid", "left_anti").select(*docs.columns)
+    uid = free_name(docs, "_uid")
+    return docs.withColumn(uid, _uid()).join(hit.withColumnRenamed("_uid", uid), uid, "left_anti").select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -335,8 +335,11 @@ def fact_coverage(spark, folder):
   '\\s+', ' ', 'g'))) AS digest FROM pages""")
 def plain_text_html(spark, folder):
     """Markup flattening with entities left to a placeholder, since SQL has no entity table."""
-    html = F.regexp_replace("html", "&(amp|copy|middot|nbsp|lt|gt|quot);", "?")
-    return texts(spark, folder, "pages", "page_id").select("page_id", F.md5(X.plain_text(html)).alias("digest"))
+    def placeholder(text):
+        return F.regexp_replace(text, "&(amp|copy|middot|nbsp|lt|gt|quot);", "?")
+
+    return texts(spark, folder, "pages", "page_id").select(
+        "page_id", F.md5(X.plain_text(F.col("html"), placeholder)).alias("digest"))
 
 
 @query("visible_page_text")

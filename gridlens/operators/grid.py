@@ -12,14 +12,15 @@ from gridlens.functions import keys
 from gridlens.operators.distributed import global_row_number
 
 
-def expand(questions: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Every question under every model and condition, with stable keys.
+def expand(questions: DataFrame, models: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Every question under every model and condition, with stable keys; columns to ``keep`` go with each cell.
 
     Models and conditions are the fixed design, so each question row expands in place; nothing is joined.
     """
     design = F.explode(F.array(*[
         F.struct(F.lit(m).alias("model_id"), F.lit(c).alias("condition_id")) for m in models for c in P.CONDITION_IDS]))
-    cells = questions.select("question_id", design.alias("d")).select("question_id", "d.model_id", "d.condition_id")
+    cells = questions.select("question_id", *keep, design.alias("d")).select(
+        "question_id", "d.model_id", "d.condition_id", *keep)
     cells = cells.withColumn("cell_id", keys.cell_key(F.col("question_id"), F.col("model_id"), F.col("condition_id")))
     return cells.withColumn("schedule_key", keys.schedule_key(F.col("cell_id")))
 

@@ -41,9 +41,12 @@ def spend(attempts: DataFrame, cost: str) -> DataFrame:
 
 
 def pending(cells: DataFrame, questions: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Open cells of the chosen models with their question, in schedule order."""
+    """Open cells of the chosen models with their question, in schedule order.
+
+    Both sides are shuffled: a table of questions that looks small as a file would pass whole through the driver.
+    """
     open_cells = cells.filter(F.col("status").isin(list(P.OPEN_STATUSES)) & F.col("model_id").isin(list(models)))
-    return open_cells.join(questions, "question_id").orderBy(keys.schedule_key(F.col("cell_id")))
+    return open_cells.join(questions.hint("merge"), "question_id").orderBy(keys.schedule_key(F.col("cell_id")))
 
 
 def recover_interrupted(cells: DataFrame, completed_at: Column) -> DataFrame:

@@ -68,7 +68,7 @@ def pending_cells(spark, folder):
         F.col("p_partkey").cast("string").alias("question_id"), F.col("p_name").alias("stem"),
         F.element_at(F.array(*[F.lit(s) for s in ("completed", "pending", "retryable", "failed")]),
                      F.col("p_size") % 4 + 1).alias("status"))
-    cells = grid.expand(parts, MODELS).join(parts.select("question_id", "status"), "question_id")
+    cells = grid.expand(parts, MODELS, keep=["status"])
     return pending(cells, parts.select("question_id", "stem"), ["m0", "m3"]).select("cell_id", "stem", "status")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridlens.functions.choices import question_text
 from gridlens.operators import agreement, grid
 from gridlens.plans import text_sql as S
-from gridlens.plans.adapters import table, texts
+from gridlens.plans.adapters import dealt, table, texts
 from gridlens.plans.catalog_ledger import state_events, state_events_of
 from gridlens.plans.registry import ORACLES, query
 from gridlens.sources import questions as Q
@@ -36,7 +36,7 @@ def raw_questions(spark, folder):
         F.when(shape.isin(2, 6), "B").when(shape == 3, b).when(shape == 4, "Option 3").when(shape == 5, "1").when(
             shape == 7, "A").alias("answer"),
         F.when(shape == 7, "B").alias("correct_answer")))
-    return table(spark, folder, "part").select(F.parse_json(raw).alias("raw"), F.col("p_partkey").alias("row_index"))
+    return dealt(spark, folder, "part", "p_partkey").select(F.parse_json(raw).alias("raw"), F.col("p_partkey").alias("row_index"))
 
 
 def normalized_questions(spark, folder):
@@ -97,7 +97,7 @@ def _block_questions(spark, folder):
     stem = F.concat(F.lit("Which fits "), F.col("p_name"), F.lit("?"), F.coalesce(F.concat(F.lit("\nAnswer  Choices:"), block), F.lit("")))
     raw = F.to_json(F.struct(stem.alias("question"), F.struct(a.alias("A"), b.alias("B"), c.alias("C")).alias("options"), F.col("p_partkey").alias("id"),
                              F.lit("B").alias("answer_idx")))
-    return table(spark, folder, "part").select(F.parse_json(raw).alias("raw"), F.col("p_partkey").alias("row_index"))
+    return dealt(spark, folder, "part", "p_partkey").select(F.parse_json(raw).alias("raw"), F.col("p_partkey").alias("row_index"))
 
 
 @query("embedded_choices", """WITH k AS (SELECT *, p_partkey % 6 AS kind, 'Which fits ' || p_name || '?' AS bare,

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from gridlens.functions import text as X
 from gridlens.functions.choices import gold_parser, parse_choices
-from gridlens.operators.distributed import first_per_key, global_row_number
+from gridlens.operators.distributed import first_per_key, global_row_number, materialize
 
 # Raw field names in order of preference, and the numeric base of the gold fields.
 STEM_FIELDS = ("question_clean", "question", "question_text", "stem", "prompt", "query")
@@ -152,8 +152,8 @@ def normalize_questions(raw: DataFrame, dataset: Column, source_split: Column, e
 
 
 def accept(questions: DataFrame) -> DataFrame:
-    """Accepted questions, the first of every id."""
-    kept = questions.filter("reject_reason is null").drop("reject_reason")
+    """Accepted questions, the first of every id; they are stored, so that nothing is read twice from its raw form."""
+    kept = materialize(questions.filter("reject_reason is null").drop("reject_reason"))
     return first_per_key(kept, ["id"], "row_index")
 
 

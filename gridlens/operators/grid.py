@@ -32,10 +32,14 @@ def schedule(cells: DataFrame) -> DataFrame:
 
 
 def plan_counts(cells: DataFrame) -> DataFrame:
-    """Planned cells with their distinct questions and models, for comparison with a manifest."""
-    units = cells.groupBy("question_id", "model_id").agg(F.count(F.lit(1)).alias("n"))
-    return units.agg(F.sum("n").alias("cells"), F.countDistinct("question_id").alias("questions"),
-                     F.countDistinct("model_id").alias("models"))
+    """Planned cells with their distinct questions and models, for comparison with a manifest.
+
+    Each kind of distinct value is counted by itself: several in one aggregation would shuffle every value once per kind.
+    """
+    models = cells.groupBy("model_id").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("cells"), F.count("model_id").alias("models"))
+    questions = cells.groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count("question_id").alias("questions"))
+    return models.crossJoin(questions).select("cells", "questions", "models")
 
 
 def first_appearance(rows: DataFrame, key: str, sequence: str) -> DataFrame:

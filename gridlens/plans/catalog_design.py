@@ -8,7 +8,7 @@ from gridlens import protocol as P
 from gridlens.functions.keys import hash_key
 from gridlens.functions.roles import ROLES
 from gridlens.operators import grid, sampling
-from gridlens.plans.adapters import CELLS_SQL, ROLE_CELLS_SQL, grid_cells, role_cells, table
+from gridlens.plans.adapters import CELLS_SQL, ROLE_CELLS_SQL, dealt, grid_cells, role_cells, table, tasks_for
 from gridlens.plans.registry import query
 
 MODELS = tuple(f"m{i}" for i in range(7))
@@ -23,8 +23,9 @@ keyed AS (SELECT *, sha256('sha256-balanced-cell-order-v1' || chr(0) || cell_id)
 
 
 def planned(spark, folder):
-    questions = table(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("question_id"))
-    return grid.expand(questions, MODELS)
+    parts = table(spark, folder, "part")
+    questions = parts.select(F.col("p_partkey").cast("string").alias("question_id"))
+    return grid.expand(questions.repartition(tasks_for(parts, 256), "question_id"), MODELS)
 
 
 @query("plan_grid", f"WITH {_PLAN_SQL} SELECT question_id, model_id, condition_id, cell_id, schedule_key FROM keyed")
@@ -64,7 +65,7 @@ SELECT cell_id, p_name AS stem, status FROM s WHERE status IN ('pending', 'retry
 def pending_cells(spark, folder):
     from gridlens.operators.ledger import pending
 
-    parts = table(spark, folder, "part").select(
+    parts = dealt(spark, folder, "part", "p_partkey").select(
         F.col("p_partkey").cast("string").alias("question_id"), F.col("p_name").alias("stem"),
         F.element_at(F.array(*[F.lit(s) for s in ("completed", "pending", "retryable", "failed")]),
                      F.col("p_size") % 4 + 1).alias("status"))

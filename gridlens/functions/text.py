@@ -22,11 +22,19 @@ def _fold_unicode(text: pd.Series) -> pd.Series:
     return text.map(lambda s: s if s is None else unicodedata.normalize("NFKC", s).casefold())
 
 
+# Spark writes out what lies between two chained Python functions wherever it is used.  Not so behind one whose values it may
+# not compute again: a text that is cleaned once is then folded, cut and matched as a column.
+_fold_unicode = _fold_unicode.asNondeterministic()
+
+
 @F.pandas_udf(T.StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda s: s if s is None else html.unescape(s))
 
 
+_unescape = _unescape.asNondeterministic()
+
+
 def let(value: Column, body) -> Column:
     """Name a value inside one expression, so that lambdas refer to it instead of computing it per element."""
     return F.transform(F.array(value), body)[0]

@@ -132,6 +132,9 @@ def _laid_out(marked: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["role_counts", "starts", "markers", "bodies"])
 
 
+_laid_out = _laid_out.asNondeterministic()
+
+
 def normalized_choices(choices: Column) -> Column:
     """Normalised choice texts; all texts of a question are folded in one go, since folding may need Python.
 

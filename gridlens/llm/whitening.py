@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.llm.tables import written
+from gridlens.llm.tables import stored
 
 SHIFT, GRID = 1_000_000, 64
 BLOCK_ROWS = 4096
+#: Entries of the fit list that one task of a pass reads.
+TASK_ENTRIES = 1 << 21
 #: Eigenvalues below this share of the largest are zero to rounding.
 ZERO = 1e-12
 
@@ -46,12 +48,12 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
-def _usable(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Rows with a finite vector of the commonest dimension, and that dimension (0 without rows)."""
+def _usable(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """Rows with a finite vector of the commonest dimension, that dimension (0 without rows) and their number."""
     finite = F.forall("v", lambda x: F.coalesce(F.abs(x) < 2.0**56, F.lit(False)))
     rows = rows.filter(F.col("v").isNotNull() & (F.size("v") > 0) & finite)
     sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
-    return (rows.filter(F.size("v") == sizes["size"]), sizes["size"]) if sizes else (rows, 0)
+    return (rows.filter(F.size("v") == sizes["size"]), sizes["size"], sizes["n"]) if sizes else (rows, 0, 0)
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
@@ -101,9 +103,10 @@ def _unpacked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[np.ndarr
 class FitList:
     """The distinct x vectors of a table with their number, exact sums, and passes over them."""
 
-    def __init__(self, rows: DataFrame, size: int):
+    def __init__(self, rows: DataFrame, size: int, n: int):
         self.size = size
-        self.blocks = written(_blocks(_packed(rows, size), size))
+        # Every pass is a task per part: as many parts as there are entries for, not as many as a shuffle happens to have.
+        self.blocks = stored(_blocks(_packed(rows, size).coalesce(max(1, math.ceil(n * size / TASK_ENTRIES))), size))
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, total = 0, [0] * size
@@ -260,10 +263,10 @@ def _moments(white: np.ndarray) -> np.ndarray:
 
 def whiten(embeddings: DataFrame, *, key: str = "vec_id", vector: str = "embedding", components: int = 16, **settings: float) -> DataFrame:
     """Per remaining row and component: key, component, n, deviation, whitened, explained and identity_error."""
-    rows, size = _usable(embeddings.select(F.col(key).alias("key"), F.col(vector).alias("v")))
+    rows, size, count = _usable(embeddings.select(F.col(key).alias("key"), F.col(vector).alias("v")))
     kind = dict(rows.dtypes)["key"]
     schema = f"key {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double"
-    fit = FitList(rows, size) if size else None
+    fit = FitList(rows, size, count) if size else None
     if fit is None or not fit.n:
         return embeddings.sparkSession.createDataFrame([], schema).withColumnRenamed("key", key)
     trace = fit.trace()

@@ -25,6 +25,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
+from gridlens.llm.tables import Memo
+
 #: Entries a task remembers before it starts over.
 MEMO_LIMIT = 600_000
 _SPACE_RUN = re.compile(r" \s| \Z")
@@ -123,20 +125,6 @@ def heap_merge(piece: bytes, ranks: dict[bytes, int], single: list[int]) -> list
     return [i for i in ids if i >= 0]
 
 
-class _Memo(dict):
-    """A dict that computes what it lacks and starts over once it is full."""
-
-    def __init__(self, compute):
-        super().__init__()
-        self.compute = compute
-
-    def __missing__(self, key):
-        if len(self) >= MEMO_LIMIT:
-            self.clear()
-        value = self[key] = self.compute(key)
-        return value
-
-
 class Codec:
     """Encoder and decoder of one task."""
 
@@ -146,8 +134,8 @@ class Codec:
         self.ranks = {token: rank for rank, token in enumerate(self.tokens)}
         self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.split = regex.compile(pattern).findall
-        self.pre_tokens = _Memo(self._pre_token)
-        self.words = _Memo(self._word)
+        self.pre_tokens = Memo(self._pre_token, MEMO_LIMIT)
+        self.words = Memo(self._word, MEMO_LIMIT)
 
     def _pre_token(self, text: str) -> bytes:
         piece = text.encode()

@@ -17,7 +17,9 @@ document of 4 GiB of ids does not fit the format and raises an error.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -34,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlens.llm.tables import stored
+from gridlens.llm.tables import Memo, stored
 from gridlens.session import ensure_checkpoint_dir
 
 # Fixed values of the seekable format.
@@ -46,18 +48,62 @@ INDEX = np.dtype([("key", "<i8"), ("missing", "u1")])
 MEMO_LIMIT = 600_000
 
 
+def _steps(name: str, **more) -> dict:
+    return {"type": name, **more}
+
+
+#: Normalizer and pre-tokenizer of the published word tokenizer.  What they do to plain text is known, see text_encoder.
+NORMALIZER = _steps("Sequence", normalizers=[
+    _steps("NFC"), _steps("Replace", pattern={"Regex": r"\s+"}, content=" "), _steps("Lowercase")])
+PRE_TOKENIZER = _steps("Sequence", pretokenizers=[
+    _steps("Split", pattern={"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, behavior="Removed", invert=True),
+    _steps("ByteLevel", add_prefix_space=False, trim_offsets=True, use_regex=False)])
+#: Anything but white space, visible ASCII and letters of Latin-1, none of which NFC changes.
+_NOT_PLAIN = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]").search
+#: The pre-tokenizer's pattern for plain text in lower case.
+_PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+").findall
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if visible, else one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 def text_encoder(path: str, end_id: int) -> Callable[[str], bytes]:
     """Encoder of whole texts by the tokenizers library, for a tokenizer that cuts at spaces and drops them.
 
-    What stands between two spaces is then encoded once per task and looked up afterwards.
+    What stands between two spaces is then encoded once per task and looked up afterwards.  With the published
+    tokenizer's steps, plain text is lower-cased and cut into pre-tokens here, and the library's model is given each
+    different one once, which leaves out the library's costly bookkeeping of offsets.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     end, memo = np.array([end_id], "<u4").tobytes(), {}
+    added = tokenizer.get_added_tokens_decoder().values()
+    specials = [t.content for t in added]
+    known = (tokenizer.normalizer is not None and json.loads(tokenizer.normalizer.__getstate__()) == NORMALIZER
+             and tokenizer.pre_tokenizer is not None and json.loads(tokenizer.pre_tokenizer.__getstate__()) == PRE_TOKENIZER
+             and tokenizer.truncation is None and tokenizer.padding is None and not any(t.normalized for t in added))
+    tokenize, letters = tokenizer.model.tokenize, _byte_letters()
+
+    def pre_token(piece: str) -> bytes:
+        piece = piece if piece.isascii() else piece.encode().decode("latin-1").translate(letters)
+        return array("I", [t.id for t in tokenize(piece)]).tobytes()
+
+    def word(text: str) -> bytes:
+        # Letters are one pre-token.
+        found = [text] if text.isalpha() else _PRE_TOKENS(text)
+        return pre_token(text) if len(found) == 1 else b"".join(map(words.__getitem__, found))
+
+    words = Memo(word, MEMO_LIMIT)
 
     def encode(text: str) -> bytes:
+        if known and not _NOT_PLAIN(text) and not any(t in text for t in specials):
+            return b"".join(map(words.__getitem__, text.lower().split())) + end
         parts = text.split(" ")
         new = list(set(parts).difference(memo))
         if len(memo) + len(new) > MEMO_LIMIT:
@@ -207,6 +253,7 @@ def read_token_files(folder: str, manifest: DataFrame, keys: list[int] | None =
                             names.append("ids")
                         yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    # A shard is a task's work again; a given number keeps the small rows from being put together.
+    # A shard is a task's work again.  Ranges, as the rows may come hashed by shard: Spark then takes that order for the one
+    # asked for and puts the small rows together in one task.
     shards = max(1, manifest.count())
-    return manifest.select("shard", "file", "start").repartition(shards, "shard").mapInArrow(read, schema)
+    return manifest.select("shard", "file", "start").repartitionByRange(shards, "shard").mapInArrow(read, schema)

@@ -66,3 +66,36 @@ def test_format():
     hurt[int(reader.offsets[1]) + 6] ^= 1
     with pytest.raises((ValueError, zstandard.ZstdError)):
         token_files.ShardReader(pa.BufferReader(bytes(hurt))).read(1)
+
+
+def test_plain_text_is_looked_up_by_word_in_lower_case():
+    given = []
+    encode = token_files.text_encoder(public_tokenizers.path("word_bpe_49k.json"), 2)
+    known = next(c.cell_contents for c in encode.__closure__ if isinstance(c.cell_contents, token_files.Memo))
+    rnd = random.Random(4)
+    parts = ["Straße", "STRASSE", "l'Été", "don't", "IT'S", "can'tx", "12ab", "naïve,", "(x)", "ÿÀ", "--", "a.\nb", "o'clock've", "Öl"]
+    for _ in range(2000):
+        text = "".join(rnd.choice([*parts, "\t", "\r\n", "'", '"', "0"]) + rnd.choice([" ", "", "  ", "\n"]) for _ in range(rnd.randint(0, 12)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == library(text), repr(text)
+        given.append(text)
+    # Every word in lower case is encoded once, however it is cased and whatever line it ends.
+    assert {w for t in given for w in t.lower().split()} <= set(known) and all(w == w.lower() for w in known)
+    for text in ("é x", "a b", "½ ×", "x <|endoftext|> y", "<|x", "\x1c", "\x0b a"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == library(text), repr(text)
+
+
+def test_every_shard_is_read_by_its_own_task(spark):
+    rows = spark.range(400).selectExpr("id as doc_id", "concat('word ', id) as text")
+    merging, number = "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"
+    before = {k: spark.conf.get(k) for k in (merging, number)}
+    spark.conf.set(merging, "false")
+    try:
+        folder, manifest = token_files.write_token_files(rows)
+        shards = manifest.count()
+        spark.conf.set(merging, "true")
+        spark.conf.set(number, shards)  # the manifest then comes hashed into as many parts
+        tasks = token_files.read_token_files(folder, manifest).selectExpr("spark_partition_id() as p").distinct().count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks == shards > 4

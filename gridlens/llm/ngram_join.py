@@ -7,7 +7,9 @@ sketch of fixed size, filled from every document, gives the order's levels, and
 * Classes whose sets can reach the threshold share one of the rarest ``n - ceil(0.8 n) + 1`` shingles of either.
   Shingles of such prefixes that two classes share are found by a map-side aggregate, so a shingle of a third of
   all documents is a handful of rows.
-* The order is cut into fragments.  For every candidate pair each fragment's overlap is counted by itself, in its
+* A class keeps the parities of its hashes' remainders, one or two bits a shingle.  Where two classes' parities differ their
+  shingles do, so most pairs below the threshold are dropped without their sets being met.
+* The order is cut into fragments.  For every other pair each fragment's overlap is counted by itself, in its
   own row and task, and the partial counts are added up per pair.  A class in many pairs is spread over fragments.
 * Components need not see all pairs of a group.  In each shared list, members are first compared with one class
   that shares most of its prefix; what is linked then counts as one.  Only classes of one list that are still in
@@ -68,6 +70,15 @@ class Sets:
         value[self.sizes == 0] = 0
         return th.signed(value)
 
+    def parities(self) -> list[bytes]:
+        """Per set a bit for every remainder of the hashes, set if an odd number of shingles has it; a power of two of them, at least the set's size."""
+        bits = np.left_shift(1, np.ceil(np.log2(np.maximum(self.sizes, 64))).astype(np.int64))
+        ends = np.cumsum(bits)
+        at = (ends - bits)[self.texts] + (self.hashes & (bits[self.texts] - 1).astype(np.uint64)).astype(np.int64)
+        odd = np.bincount(at, minlength=bits.sum()).astype(np.uint8) & 1
+        packed = np.packbits(odd, bitorder="little")
+        return [packed[low:high].tobytes() for low, high in zip(((ends - bits) // 8).tolist(), (ends // 8).tolist())]
+
     def ordered(self, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Global order key of every shingle and the permutation that sorts each text's set by it."""
         level = levels[self.hashes >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64)
@@ -75,35 +86,48 @@ class Sets:
         return key, np.lexsort((key, self.texts))
 
 
+def differences(left: bytes, right: bytes) -> int:
+    """How many shingles, at least, are in one of two sets only, by their parities.
+
+    A shingle of one set alone changes one bit; the longer parities are folded to the length of the shorter ones.
+    """
+    x, y = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _heads(docs: DataFrame, size: int) -> DataFrame:
-    """Per document id, set size and class; besides them, with ``block`` set, parts of the counting sketch."""
+    """Per document id, set size, class and parities; besides them, with ``block`` set, parts of the counting sketch."""
     rows = docs.select("key", "text", "uid")
-    kind = dict(rows.dtypes)["key"]
+    kind, names = dict(rows.dtypes)["key"], ["key", "uid", "n", "class", "parities", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, sketch, key_type = th.Powers(), np.zeros(1 << SKETCH_BITS, np.int64), None
         for batch in batches:
             key_type = batch.column("key").type
-            sizes, classes = [], []
+            sizes, classes, parities = [], [], []
             for piece in th.pieces(batch.column("text")):
                 sets = Sets(piece, powers, size)
                 sizes.append(sets.sizes)
                 classes.append(sets.classes())
+                parities.extend(sets.parities())
                 slots, counts = np.unique(sets.hashes >> np.uint64(64 - SKETCH_BITS), return_counts=True)
                 sketch[slots] += counts
             if sizes:
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key"), batch.column("uid"), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(classes)),
-                     pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["key", "uid", "n", "class", "block", "counts"])
+                     pa.array(parities, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if key_type is not None:
             blocks = [pa.compress(b.tobytes(), "zstd", asbytes=True) for b in np.split(sketch, SKETCH_BLOCKS)]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(SKETCH_BLOCKS, key_type), *[pa.nulls(SKETCH_BLOCKS, pa.int64())] * 2, pa.nulls(SKETCH_BLOCKS, pa.int64()),
-                 pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())],
-                names=["key", "uid", "n", "class", "block", "counts"])
+                [pa.nulls(SKETCH_BLOCKS, key_type), *[pa.nulls(SKETCH_BLOCKS, pa.int64())] * 3, pa.nulls(SKETCH_BLOCKS, pa.binary()),
+                 pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], names=names)
 
-    return rows.mapInArrow(run, f"key {kind}, uid long, n long, class long, block int, counts binary")
+    return rows.mapInArrow(run, f"key {kind}, uid long, n long, class long, parities binary, block int, counts binary")
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
@@ -143,6 +167,7 @@ class _Join:
         self.spark = docs.sparkSession
         heads = stored(_heads(docs, size))
         self.heads = heads.filter("block is null").select("key", "uid", "n", "class")
+        self.parities = heads.filter("n > 0").select("class", "parities")
         sketch = _sketch(heads.filter("block is not null").select("block", "counts"))
         levels = np.log2(np.maximum(sketch, 1)).astype(np.uint8)
         # A fixed number of bytes, see SKETCH_BITS.
@@ -239,6 +264,28 @@ class _Join:
 
         return self.docs.select("text").mapInArrow(run, "class long, fragment int, values binary")
 
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b, na, nb) those whose parities do not rule out that they reach the threshold.
+
+        Parities are a few bytes against all segments of two sets, and leave few pairs below the threshold.
+        """
+        percent = self.percent
+        active = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        known = self.parities.join(active, "class", "left_semi").groupBy("class").agg(F.first("parities").alias("parities"))
+        met = pairs
+        for side in "ab":
+            met = met.join(known.select(F.col("class").alias(side), F.col("parities").alias(f"p{side}")), side)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+                apart = np.array([differences(x, y) for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist())], np.int64)
+                # The common shingles are at most half of what is left of both sets.
+                may = (total - apart) * (100 + percent) >= 2 * percent * total
+                yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(may))
+
+        return met.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long, na long, nb long")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b, na, nb) those that reach the threshold, by partial overlaps per fragment."""
         sides = pairs.select("a", "b", "na", "nb", F.explode(F.array("a", "b")).alias("class"))
@@ -301,7 +348,10 @@ class _Join:
             if done is not None:
                 pairs = pairs.join(done, ["a", "b"], "left_anti")
             pairs = stored(pairs)
-            found = stored(self.links(pairs))
+            close = stored(self.close(pairs))
+            if links is not None and close.isEmpty():
+                break
+            found = stored(self.links(close))
             done = pairs.select("a", "b") if done is None else done.union(pairs.select("a", "b"))
             links = found if links is None else links.union(found)
             roots = connected_components(links, "a", "b")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gridlens.llm import text_hash as th
 from gridlens.llm.components import connected_components
 from gridlens.llm.ngram_join import Sets
-from gridlens.llm.tables import bitmap, in_bitmap, stored, written
+from gridlens.llm.tables import bitmap, few_tasks, in_bitmap, stored, written
 
 BUCKET_BITS, CLASS_BITS = 25, 24
 #: Members of a bucket that are compared with each other at once.
@@ -128,8 +128,11 @@ class _NearDuplicates:
         self.limits = least_matches(self.values, batch, percent, miss)
         heads = written(self._heads())
         self.heads = heads.select("key", "n", "class")
-        first = heads.filter("signature is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("signature").alias("signature"))
-        self.signatures = written(first)
+        first = heads.filter("signature is not null")
+        #: No table below has more classes; it bounds how many tasks they are written by.
+        self.classes = first.count()
+        first = first.groupBy("class").agg(F.first("n").alias("n"), F.first("signature").alias("signature"))
+        self.signatures = written(few_tasks(first, self.classes, 5000))
 
     def _heads(self) -> DataFrame:
         """(key, n, class, signature) of every document; only where a task first meets a class with its signature."""
@@ -176,13 +179,16 @@ class _NearDuplicates:
 
     def lists(self) -> DataFrame:
         """(bucket, band, class, n) of buckets with several classes."""
-        shared = stored(self._banded(None).groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket"))
-        return stored(self._banded(bitmap(shared, "bucket", BUCKET_BITS)).join(shared, "bucket", "left_semi"))
+        rows = self.classes * self.bands
+        shared = self._banded(None).groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket")
+        shared = stored(few_tasks(shared, rows // 2))
+        return stored(few_tasks(self._banded(bitmap(shared, "bucket", BUCKET_BITS)).join(shared, "bucket", "left_semi"), rows))
 
     def sets(self, lists: DataFrame) -> DataFrame:
         """(class, values): sorted shingles of the listed classes, six bytes each; other classes' signatures are done with."""
-        active = stored(lists.select("class").distinct())
-        self.signatures = written(self.signatures.join(active, "class", "left_semi"))
+        active = stored(few_tasks(lists.select("class").distinct(), self.classes))
+        self.classes = active.count()
+        self.signatures = written(few_tasks(self.signatures.join(active, "class", "left_semi"), self.classes, 5000))
         wanted = self.docs.sparkSession.sparkContext.broadcast(bitmap(active, "class", CLASS_BITS))
         size = self.size
 
@@ -204,7 +210,8 @@ class _NearDuplicates:
                         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(values, pa.binary())], names=["class", "values"])
 
         found = self.docs.select("text").mapInArrow(run, "class long, values binary")
-        return written(found.join(active, "class", "left_semi").groupBy("class").agg(F.first("values").alias("values")))
+        found = found.join(active, "class", "left_semi").groupBy("class").agg(F.first("values").alias("values"))
+        return written(few_tasks(found, self.classes, 2000))
 
     def pruned(self, pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b, na, nb) those that the sequential comparison lets pass."""
@@ -340,21 +347,23 @@ class _NearDuplicates:
         """(node, root) of every class that is linked with another one."""
         lists = self.lists()
         sets = self.sets(lists)
-        best = stored(self.with_pivots(lists, None, True))
+        best = stored(few_tasks(self.with_pivots(lists, None, True), self.classes))
         links = stored(self.verified(self.pruned(best), sets))
         # Two steps along the links name enough of the components to skip most further pairs.
         step = links.groupBy("b").agg(F.min("a").alias("a"))
-        step = stored(step.alias("p").join(step.alias("q"), F.col("p.a") == F.col("q.b"), "left").select(
-            F.col("p.b").alias("node"), F.coalesce("q.a", "p.a").alias("root")))
+        step = step.alias("p").join(step.alias("q"), F.col("p.a") == F.col("q.b"), "left").select(
+            F.col("p.b").alias("node"), F.coalesce("q.a", "p.a").alias("root"))
+        step = stored(few_tasks(step, self.classes))
         pairs = self.with_pivots(lists, step, False).join(best, ["a", "b"], "left_anti")
         links = links.union(stored(self.verified(self.pruned(pairs), sets)))
         roots = connected_components(links, "a", "b")
         further = stored(self.in_blocks(lists, roots, sets))
+        late = further.count()
         for c in ("a", "b"):
             ends = roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
             further = further.join(ends, c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
         # Few components are joined late, so only these go through another contraction.
-        joined = connected_components(further.select("_a", "_b"), "_a", "_b").select(F.col("node").alias("root"), F.col("root").alias("_joined"))
+        joined = connected_components(further.select("_a", "_b"), "_a", "_b", late).select(F.col("node").alias("root"), F.col("root").alias("_joined"))
         known = roots.unionByName(joined.select(F.col("root").alias("node"), "root").join(roots, "node", "left_anti"))
         return known.join(joined, "root", "left").select("node", F.coalesce("_joined", "root").alias("root"))
 

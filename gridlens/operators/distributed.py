@@ -7,6 +7,8 @@ the partitions before it, which is one row per partition.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,6 +50,39 @@ def global_row_number(df: DataFrame, order: Sequence[Column | str], name: str =
     )
 
 
+#: Leading hexadecimal digits by which rows are counted, and rows that a task numbers, as far as the digits tell them apart.
+_DIGITS = 3
+_SLICE_ROWS = 250_000
+
+
+def hashed_row_number(df: DataFrame, order: Mapping[str, Column], name: str = "row_number") -> DataFrame:
+    """Add the hashes of ``order``, expressions of the columns of ``df``, and the one-based position of every row in their order.
+
+    The first is the lower-case hexadecimal text of an evenly spread hash.  Its leading digits are counted first, which
+    gives every slice of the order its offset; then rows are dealt over the slices without their hashes and numbered
+    where they arrive.  They are shuffled once and stored nowhere, so ``df`` is computed twice and has to come out the
+    same.  Missing hashes come first; rows that agree on all hashes are numbered in any order.
+    """
+    leading = F.substring(next(iter(order.values())), 1, _DIGITS)
+    counts = df.groupBy(leading.alias("_digits")).agg(F.count(F.lit(1)).alias("_n")).collect()
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(sum(r["_n"] for r in counts) / _SLICE_ROWS))
+    slices = min(tasks, 16**_DIGITS)
+    sizes = [0] * slices
+    for r in counts:
+        sizes[int(r["_digits"] or "0", 16) * slices >> 4 * _DIGITS] += r["_n"]
+    offsets = F.array(*[F.lit(n) for n in itertools.accumulate(sizes[:-1], initial=0)]).cast("array<bigint>")
+
+    digits = F.coalesce(F.conv(leading, 16, 10).cast("int"), F.lit(0))
+    placed = df.withColumn("_slice", F.shiftright(digits * slices, 4 * _DIGITS)).repartitionById(slices, "_slice")
+    placed = placed.withColumns(dict(order)).sortWithinPartitions(*order).withColumn(
+        "_place", F.monotonically_increasing_id())
+    # Places count from the start of a slice only as long as every task holds one whole slice.
+    position = F.when(F.shiftright("_place", _ROW_BITS) == F.col("_slice"),
+                      F.col("_place").bitwiseAND(F.lit(_ROW_MASK)) + 1 + F.get(offsets, F.col("_slice")))
+    moved = F.raise_error(F.lit("a slice of the order is not in the task of its number"))
+    return placed.withColumn(name, position.otherwise(moved)).drop("_slice", "_place")
+
+
 _COMBINE = {
     "sum": (F.sum, lambda inside, before: inside + F.coalesce(before, F.lit(0))),
     "min": (F.min, F.least),

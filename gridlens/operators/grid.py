@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridlens import protocol as P
 from gridlens.functions import keys
-from gridlens.operators.distributed import global_row_number
+from gridlens.operators.distributed import global_row_number, hashed_row_number
 
 
 def expand(questions: DataFrame, models: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -26,8 +26,17 @@ def expand(questions: DataFrame, models: Sequence[str], keep: Sequence[str] = ()
 
 
 def schedule(cells: DataFrame) -> DataFrame:
-    """Zero-based position of every cell in the hashed order."""
-    numbered = global_row_number(cells, ["schedule_key", "cell_id"], "schedule_index")
+    """Zero-based position of every cell in the hashed order.
+
+    Cells without ``schedule_key`` and ``cell_id`` get both, as from :func:`expand`, where they are numbered: two keys
+    of 64 digits are most of a cell, and a large plan is shuffled and not stored without them.
+    """
+    if "schedule_key" in cells.columns:
+        numbered = global_row_number(cells, ["schedule_key", "cell_id"], "schedule_index")
+    else:
+        cell = keys.cell_key(F.col("question_id"), F.col("model_id"), F.col("condition_id"))
+        order = {"schedule_key": keys.schedule_key(cell), "cell_id": cell}
+        numbered = hashed_row_number(cells, order, "schedule_index")
     return numbered.withColumn("schedule_index", F.col("schedule_index") - 1)
 
 

@@ -36,7 +36,7 @@ def plan_grid(spark, folder):
 @query("schedule_order", f"""WITH {_PLAN_SQL}
 SELECT cell_id, row_number() OVER (ORDER BY schedule_key, cell_id) - 1 AS schedule_index FROM keyed""")
 def schedule_order(spark, folder):
-    return grid.schedule(planned(spark, folder).select("cell_id", "schedule_key")).select("cell_id", "schedule_index")
+    return grid.schedule(planned(spark, folder).drop("cell_id", "schedule_key")).select("cell_id", "schedule_index")
 
 
 @query("plan_counts", f"""WITH {_PLAN_SQL} SELECT count(*) AS cells, count(DISTINCT question_id) AS questions,
